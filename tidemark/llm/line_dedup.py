@@ -46,7 +46,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     drops = materialize(drops, "line-drops")
     d = drops.withColumnsRenamed({rid: "__line_d_id", rhash: "__line_d_hash"})
-    joined = base.join(d, F.col(rid).eqNullSafe(F.col("__line_d_id")) & F.col(rhash).eqNullSafe(F.col("__line_d_hash")), "left")
+    # the positions grow with the corpus: always a shuffle, at any size
+    joined = base.hint("merge").join(d, F.col(rid).eqNullSafe(F.col("__line_d_id")) & F.col(rhash).eqNullSafe(F.col("__line_d_hash")), "left")
     parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     drop = F.col("__line_drop")
     # array_except on integers uses a hash set: linear even for very long documents
