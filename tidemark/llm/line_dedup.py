@@ -38,8 +38,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # 128 bits from two seeds, so that distinct lines do not meet even among 10**12
     hashed = keyed.select(rid, rhash, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
     hot = hashed.groupBy("h1", "h2").agg(F.count_distinct(rid).alias("docs"), F.max(rid).alias("keeper")).filter(F.col("docs") >= min_docs)
+    # a table of its own, so that Spark can split a hot line's rows in the join
+    hot = materialize(hot.select("h1", "h2", "keeper"), "hot-lines")
     drops = (
-        hashed.join(hot.select("h1", "h2", "keeper"), ["h1", "h2"])
+        hashed.hint("merge").join(hot, ["h1", "h2"])
         .filter(~F.col(rid).eqNullSafe(F.col("keeper")))
         .groupBy(rid, rhash)
         .agg(F.collect_set("pos").alias("__line_drop"))
