@@ -179,4 +179,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without any test phrase, unchanged: decisions of contamination() joined back by id and text hash."""
     found = materialize(contamination(docs, benchmark, id_col, text_col, **options).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit_id"), F.col("row_hash").alias("__hit_hash")).distinct(), "contaminated")
-    return docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(F.col(text_col)) == F.col("__hit_hash")), "left_anti")
+    return docs.hint("merge").join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(F.col(text_col)) == F.col("__hit_hash")), "left_anti")

@@ -43,7 +43,7 @@ def set_name(unique: np.ndarray) -> bytes:
 def crowded(paths: DataFrame) -> DataFrame:
     """(path, node) rows whose path has two nodes or more, with that number as `size`. Counts are combined before the shuffle; Spark splits hot paths in the join."""
     sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return paths.join(sizes, "path")
+    return paths.hint("merge").join(sizes, "path")
 
 
 def _pairs(starts: np.ndarray, rows: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,14 +122,15 @@ def _likely(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     """
 
     def close(g: _Group, bytes_: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        same = (bytes_[left] == bytes_[right]).sum(1) / COORDINATES
-        news = np.minimum(COORDINATES, np.minimum(g.n[left], g.n[right]))
+        width = bytes_.shape[1]
+        same = (bytes_[left] == bytes_[right]).sum(1) / width
+        news = np.minimum(width, np.minimum(g.n[left], g.n[right]))
         # coordinates filled from neighbours repeat what few elements say, hence the factor 2 where the set is small
-        return same >= threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / news * np.where(news < COORDINATES, 2, 1))
+        return same >= threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / news * np.where(g.n[left] < 2 * COORDINATES, 2, 1))
 
     def work(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         g = _Group(table, threshold)
-        bytes_ = np.frombuffer(b"".join(g.col("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        bytes_ = np.frombuffer(b"".join(g.col("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
         wanted = np.zeros(table.num_rows, bool)
         sizes = np.diff(np.append(starts, table.num_rows))
 
@@ -236,24 +237,24 @@ def _roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def verified_links(buckets: DataFrame, nodes: DataFrame, elements_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(node, other, links): the exact links among nodes that share a bucket, as counts and edges, not as pairs.
 
-    buckets: distinct (path, node, size). nodes: (node, n, copies, mins), one row each. elements_of(names): (node,
+    buckets: distinct (path, node, size). nodes: (node, n, copies, mins), one row each; mins: a byte of each of some coordinates. elements_of(names): (node,
     elements sorted) for a frame of node names. A pair is compared in the smallest bucket that both are in, so no
     count is taken twice and no pair has to be made a row to tell. A bucket beyond BLOCK members is dealt out as
     pairs of blocks of about BLOCK members, so no task holds a whole large bucket and none of its pairs is left out.
     """
     listed = buckets.groupBy("node").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    described = nodes.join(listed, "node").select("node", "n", "copies", F.col("mins").alias("sketch"), "paths")
+    described = nodes.hint("merge").join(listed, "node").select("node", "n", "copies", F.col("mins").alias("sketch"), "paths")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = buckets.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("int"))
     dealt = placed.select(
         "path", "node", "block", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least("block", o).alias("bi"), F.greatest("block", o).alias("bj")))).alias("p")
     ).select(F.col("path").alias("bucket"), "node", "block", "p.bi", "p.bj")
-    full = dealt.join(described, "node").select("bucket", "bi", "bj", "block", "node", "n", "copies", "paths", "sketch")
+    full = dealt.hint("merge").join(described, "node").select("bucket", "bi", "bj", "block", "node", "n", "copies", "paths", "sketch")
     grouped = lambda df: df.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "node")
     kept = "bucket long, bi int, bj int, block int, node binary, n long, copies long, paths array<long>"
     likely = materialize(grouped(full).mapInArrow(lambda b: _likely(b, threshold), kept), "likely")
     elements = elements_of(likely.select("node").distinct())
-    return grouped(likely.join(elements, "node")).mapInArrow(lambda b: _verified(b, threshold), "node binary, other binary, links long")
+    return grouped(likely.hint("merge").join(elements, "node")).mapInArrow(lambda b: _verified(b, threshold), "node binary, other binary, links long")
 
 
 def semi(docs: DataFrame, names: DataFrame, on: list[str], row_bytes: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing
+from . import decontaminate, language, lengths, licenses, line_dedup, media, packing, passages, set_join, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_history(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -30,17 +34,69 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(read(spark, sf_dir, "documents")).drop("row_hash")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on `pages`, where addresses and declarations are evidence too."""
+    model = language.train(read(spark, sf_dir, "documents"))
+    return language.identify_pages(read(spark, sf_dir, "pages"), model)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histogram = lengths.length_histogram(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return lengths.context_limits(histogram)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = media.from_media(media.to_media(read(spark, sf_dir, "documents")))
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pcm, -64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("blocks").alias("blocks"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_power_of_two(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"), F.size("matches").alias("n_matches"), F.array_join("unmatched", " ").alias("unmatched"))
+
+
+def op9_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_documents(read(spark, sf_dir, "documents")).drop("row_hash")
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("row_hash")
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
+    "op6_media": op6_media,
     "op7_packing": op7_packing,
+    "op8_licenses": op8_licenses,
+    "op9_set_join": op9_set_join,
+    "op10_passages": op10_passages,
+    "page_languages": page_languages,
 }
 
+_OP1 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN g.keeper IS NOT NULL AND g.keeper IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.keeper IS DISTINCT FROM p.page_id THEN g.keeper END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 1000
+"""
+
 _OP2 = r"""
 WITH lines AS (
   SELECT doc_id, i, l, translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -79,4 +135,4 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.
 FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
 """
 
-ORACLE_SQL = {"op2_line_dedup": _OP2, "op3_decontaminate": _OP3}
+ORACLE_SQL = {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_decontaminate": _OP3}

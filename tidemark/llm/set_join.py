@@ -131,13 +131,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             leaves.append(found)
             break
         leaves.append(found.filter(F.col("size") <= leaf))
-        frontier, now = found.filter(F.col("size") > leaf).join(able.select("node", "mins"), "node").select("path", "node", "mins"), None
+        frontier, now = found.filter(F.col("size") > leaf).hint("merge").join(able.select("node", "mins"), "node").select("path", "node", "mins"), None
     buckets = leaves[0]
     for more in leaves[1:]:
         buckets = buckets.unionByName(more)
 
     def elements_of(names: DataFrame) -> DataFrame:
-        picked = materialize(nodes.join(names, "node").select("pick.doc_id", "pick.row_hash"), "picked").distinct()
+        picked = materialize(nodes.hint("merge").join(names, "node").select("pick.doc_id", "pick.row_hash"), "picked").distinct()
         keyed = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64("text").alias("row_hash"), "text")
         few = semi(keyed, picked.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash").distinct(), ["k", "row_hash"], 32)
         return _elements(few, words).dropDuplicates(["node"])
@@ -162,14 +162,14 @@ def low_bytes(nodes: DataFrame) -> DataFrame:
 def labelled(sets: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Class, copies and links of each row of sets."""
     roots = components(links.select("node", "other"))
-    ids = roots.join(nodes.select("node", "copy_id"), "node")
-    class_of = ids.join(ids.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "class_id")
+    ids = roots.hint("merge").join(nodes.select("node", "copy_id"), "node")
+    class_of = ids.hint("merge").join(ids.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "class_id")
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     labels = (
-        nodes.join(class_of, "node", "left").join(counted, "node", "left")
+        nodes.hint("merge").join(class_of, "node", "left").hint("merge").join(counted, "node", "left")
         .select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    return sets.select("doc_id", "row_hash", "node").join(labels, "node").select("doc_id", "row_hash", "copy_id", "class_id", "n_links")
+    return sets.select("doc_id", "row_hash", "node").hint("merge").join(materialize(labels, "labels"), "node").select("doc_id", "row_hash", "copy_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -178,7 +178,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     chosen = materialize(first.groupBy("class_id").agg(F.min("row_hash").alias("h"), F.count(F.lit(1)).alias("rows")), "chosen")
     c = chosen.select(F.col("class_id").alias("__one_id"), F.col("h").alias("__one_hash"), F.col("rows").alias("__one_rows"))
-    kept = docs.join(c, F.col(id_col).cast("long").eqNullSafe(F.col("__one_id")) & (F.xxhash64(F.col(text_col)) == F.col("__one_hash")))
+    kept = docs.hint("merge").join(c, F.col(id_col).cast("long").eqNullSafe(F.col("__one_id")) & (F.xxhash64(F.col(text_col)) == F.col("__one_hash")))
     columns = [F.col(f"`{x}`") for x in docs.columns]
     single = kept.filter("__one_rows = 1").select(*columns)
     if chosen.filter("rows > 1").isEmpty():
