@@ -17,9 +17,10 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents hold stay in the last one only; documents that had text and lose all of it go."""
-    kept = line_dedup.drop_repeated_lines(docs)
-    kept = kept.filter((F.col("n_dropped") == 0) | (F.col("kept_text") != ""))
-    return kept.select(*[(F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
+    kept = line_dedup.drop_repeated_lines(docs, prefix="__")
+    kept = kept.filter((F.col("__n_dropped") == 0) | (F.col("__kept_text") != ""))
+    new = {"text": F.col("__kept_text"), "n_chars": F.length("__kept_text").cast("long")}
+    return kept.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ def line_key(line: Column) -> Column:
     return F.when(F.length(bare) == F.octet_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with `kept_text` (text without repeated lines), `n_lines` and `n_dropped` added.
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, prefix: str = "") -> DataFrame:
+    """docs with `kept_text` (text without repeated lines), `n_lines` and `n_dropped` added, their names after `prefix`; columns of those names are replaced.
 
     A line goes if its key has at least min_chars code points, stands in at least min_docs distinct ids, and the row's
     id is not the largest one holding it. Null or empty text is one empty line. Rows with one id count as one
@@ -55,8 +55,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # array_except on integers uses a hash set: linear even for very long documents
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop), lambda i: F.get(parts, i)), "\n")
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(drop.isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias("kept_text"),
-        F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.when(drop.isNotNull(), drop)), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(f"`{c}`") for c in docs.columns if c not in (f"{prefix}kept_text", f"{prefix}n_lines", f"{prefix}n_dropped")],
+        F.when(drop.isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept).alias(f"{prefix}kept_text"),
+        F.size(parts).cast("long").alias(f"{prefix}n_lines"),
+        F.coalesce(F.size(F.when(drop.isNotNull(), drop)), F.lit(0)).cast("long").alias(f"{prefix}n_dropped"),
     )
