@@ -284,12 +284,12 @@ def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float
                 events[hit].coords = events[hit].coords or raw.coords
             e = events[hit]
             if (name, url) not in e.links:
-                e.links[name, url] = own
-            elif own:
-                e.links[name, url] = own
-            for key in (("url", name, url), ("id", name, own)):
-                if key[2]:
-                    by_listing.setdefault(key, []).append(hit)
+                by_listing.setdefault(("url", name, url), []).append(hit)
+            elif own and e.links[name, url]:  # the link's id is replaced
+                by_listing["id", name, e.links[name, url]].remove(hit)
+            if own:
+                by_listing.setdefault(("id", name, own), []).append(hit)
+            e.links[name, url] = own or e.links.get((name, url))
         rows = [e.row() | {"id": e.id, "outcome": "created", "merged": m} for e, m in zip(events, merged, strict=True)] + [e.row() | {"id": e.id, "outcome": "skipped_far", "merged": 0} for e in skipped]
         return rows
 

@@ -12,7 +12,7 @@ AQI_BOUNDS = (50, 100, 150, 200, 300)
 
 
 def compass(degrees: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, COMPASS)), (F.pmod(F.bround(degrees / 22.5), F.lit(16)) + 1).cast("int"))
+    return F.when(degrees.isNotNull(), F.element_at(F.array(*map(F.lit, COMPASS)), (F.pmod(F.bround(degrees / 22.5), F.lit(16)) + 1).cast("int")))
 
 
 def conditions(observations: DataFrame) -> DataFrame:
