@@ -68,7 +68,7 @@ def test_replay_equals_poll_by_poll(spark):
             changes = state
         else:
             changes = history.reconcile(state.drop("change"), one, now)
-        changes = changes.localCheckpoint() if False else spark.createDataFrame(changes.collect(), changes.schema)
+        changes = spark.createDataFrame(changes.collect(), changes.schema)
         log += [(r.source_key, r.external_id, at(k), r.change, "Closed" if r.change == "closed" else r.status, r.fingerprint) for r in changes.collect() if r.change != "unchanged"]
         merged = history.merged_state(state.drop("change"), changes) if k > 1 else changes.drop("change")
         state = spark.createDataFrame(merged.collect(), merged.schema)

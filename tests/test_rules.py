@@ -59,7 +59,7 @@ def test_titles(spark):
 
 
 def test_truncate(spark):
-    cases = [("short", "short"), ("x" * 30 + ". " + "y" * 40, "x" * 30 + "."), ("word " * 10 + "w" * 30, ("word " * 10).rstrip() + "…"), ("a, " + "b" * 60, "a…"), ("z" * 60, "z" * 50 + "…"), ("A. " + "b " * 40, "A. " + "b " * 23 + "b…" if False else None)]
+    cases = [("short", "short"), ("x" * 30 + ". " + "y" * 40, "x" * 30 + "."), ("word " * 10 + "w" * 30, ("word " * 10).rstrip() + "…"), ("a, " + "b" * 60, "a…"), ("z" * 60, "z" * 50 + "…"), ("A. " + "b " * 40, None)]
     got = ask(spark, "t string, want string", cases, text.truncate_sentences(F.col("t"), 50))
 
     def plain(t):
