@@ -222,6 +222,16 @@ def _per_component(rows: DataFrame, run, schema: str, rows_per_group: int = 4000
     return rows.withColumn("__g", F.pmod(F.xxhash64("component"), F.lit(parts))).groupBy("__g").applyInPandas(many, schema)
 
 
+def _alone(links: Column) -> list[Column]:
+    """The fields of an event that merges with none; columns title, at, ends_at and so on."""
+    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    title = F.coalesce("title", F.lit(""))
+    return [
+        canonical_key(title, F.timestamp_seconds("at")).alias("canonical_key"), title.alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.col("at"), F.col("ends_at"), F.col("venue_name"), F.col("address"), F.col("image_url"),
+        F.when(both, F.col("latitude")).alias("latitude"), F.when(both, F.col("longitude")).alias("longitude"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), links.alias("links"),
+    ]
+
+
 def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float, float] | None = None, blocked: Collection[str] = ()) -> DataFrame:
     """Unique events of a batch of raws taken in input order (seq): id (the first report's seq), the merged fields, and outcome counts per event: created 1, merged n, and rows skipped as too far (outcome `skipped_far`).
 
@@ -241,7 +251,8 @@ def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float
     edges = chain(n, "k").union(title_pairs(n, MAX_HOURS)).union(near(n.filter("source_event_id IS NOT NULL"), "source_event_id")).union(near(n, "source_url"))
     parts = connected_components(cut_lineage(edges.filter("a <> b")))
     tagged = raws.withColumns({"tags": tag_names(F.col("tags"), F.col("title"), F.col("description"), blocked), "at": at, "ends_at": F.col("end_time").cast("timestamp")})
-    grouped = tagged.join(parts.select(F.col("id").alias("seq"), "component"), "seq", "left").withColumn("component", F.coalesce("component", "seq"))
+    parts = cut_lineage(parts.select(F.col("id").alias("seq"), "component"))
+    grouped = tagged.join(parts, "seq")
     columns = ["component", "seq", "title", "at", "ends_at", "source_name", "source_url", "source_event_id", "description", "venue_name", "address", "latitude", "longitude", "image_url", "tags"]
 
     def run(pdf: pd.DataFrame) -> list[dict]:
@@ -294,6 +305,11 @@ def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float
         return rows
 
     out = _per_component(grouped.select(*columns), run, f"{_OUT}, id long, outcome string, merged long")
+    # a raw that touches no other is an event as it is
+    far = F.lit(False) if max_miles <= 0 else F.coalesce(haversine_miles(F.lit(center[0]), F.lit(center[1]), F.col("latitude"), F.col("longitude")) > max_miles, F.lit(False))
+    link = F.struct("source_name", "source_url", F.nullif("source_event_id", F.lit("")).alias("source_event_id"))
+    alone = tagged.join(parts, "seq", "left_anti").select(*_alone(F.when(far, F.slice(F.array(link), 1, 0)).otherwise(F.array(link))), F.col("seq").alias("id"), F.when(far, "skipped_far").otherwise("created").alias("outcome"), F.lit(0).cast("long").alias("merged"))
+    out = out.unionByName(alone)
     return out.withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
 
 
@@ -310,7 +326,8 @@ def reconcile_events(events: DataFrame, now: Column) -> DataFrame:
     w = Window.partitionBy("k", "day").orderBy("at", "id")
     same = n.select("id", F.lag("id").over(w).alias("p")).filter("p IS NOT NULL").select(F.col("p").alias("a"), F.col("id").alias("b"))
     parts = connected_components(cut_lineage(same.union(title_pairs(n, 2 * MAX_HOURS, same_day=True)).filter("a <> b")))
-    grouped = up.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = cut_lineage(parts)
+    grouped = up.join(parts, "id")
     columns = ["component", "id", "title", "at", "ends_at", "description", "venue_name", "address", "latitude", "longitude", "image_url", "tags", "links"]
 
     def run(pdf: pd.DataFrame) -> list[dict]:
@@ -338,6 +355,8 @@ def reconcile_events(events: DataFrame, now: Column) -> DataFrame:
         return rows
 
     out = _per_component(grouped.select(*columns), run, f"{_OUT}, id long, absorbed long")
+    alone = up.join(parts, "id", "left_anti").select(*_alone(F.col("links")), "id", F.lit(0).cast("long").alias("absorbed"))
+    out = out.unionByName(alone)
     return out.withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
 
 
