@@ -182,5 +182,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     r = removals.withColumnsRenamed({"doc_id": "r_id", "row_hash": "r_hash"})
     per_row = hits.groupBy(*row).agg(F.count(F.lit(1)).alias("n_repeats"), F.sort_array(F.collect_set("class_id")).alias("class_ids"))
     joined = per_row.hint("merge").join(r, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("row_hash") == F.col("r_hash")), "left")
-    none = F.lit(None).cast("array<struct<start:long,end:long>>")
-    return joined.select(*row, "n_repeats", "class_ids", F.array_except("class_ids", F.array("doc_id")).alias("partners"), F.coalesce("removals", F.slice(F.coalesce(none, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))), 1, 0)).alias("removals"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return joined.select(*row, "n_repeats", "class_ids", F.array_except("class_ids", F.array("doc_id")).alias("partners"), F.coalesce("removals", none).alias("removals"))
