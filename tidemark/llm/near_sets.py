@@ -42,7 +42,8 @@ def set_name(unique: np.ndarray) -> bytes:
 
 def crowded(paths: DataFrame) -> DataFrame:
     """(path, node) rows whose path has two nodes or more, with that number as `size`. Counts are combined before the shuffle; Spark splits hot paths in the join."""
-    sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # a table of its own, so that Spark can split a hot path's rows in the join
+    sizes = materialize(paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "path-sizes")
     return paths.hint("merge").join(sizes, "path")
 
 
