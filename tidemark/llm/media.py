@@ -14,7 +14,7 @@ from .flac import decode, encode
 
 UNIT = 64
 #: Payload bytes that a task encodes or decodes at once; one longer text goes alone.
-_CHUNK = 2 << 20
+_CHUNK = 3 << 19
 
 
 def padded(text: bytes) -> bytes:
