@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_words, texts
+from .common import texts
 
 #: Known licence sentences by identifier, as words (lower case, only letters and digits).
 SENTENCES = {
@@ -40,6 +40,7 @@ SENTENCES = {
 RULES = [
     ("Apache-2.0", ["ApacheHead", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheHead", "ApacheComply"]),
+    ("Apache-2.0", ["ApacheHead"]),
     ("Apache-2.0", ["ApacheRef"]),
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs", "MitLiability"]),
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs"]),
@@ -48,33 +49,77 @@ RULES = [
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("GPL-3.0-or-later", ["GplRedistribute", "GplHope", "GplSee"]),
     ("GPL-3.0-or-later", ["GplRedistribute"]),
+    ("GPL-3.0-or-later", ["GplLaterRef"]),
     ("GPL-3.0-only", ["GplRef"]),
+    ("BSD-3-Clause", ["Bsd3Ref"]),
+    ("BSD-2-Clause", ["Bsd2Ref"]),
     ("CC-BY-NC-4.0", ["CcByNcRef"]),
     ("All-rights-reserved", ["Reserved"]),
 ]
 
+_LICENSE = "licen[cs]e"
+_GPL3 = f"(?:(?:gnu )?(?:general public {_LICENSE}|gpl) (?:gpl )?(?:version |v ?)?3(?: 0)?|(?:gnu )?gplv3(?: 0)?|version 3 of the (?:gnu )?(?:general public {_LICENSE}|gpl))(?: {_LICENSE})?(?: only)?(?: as published by the free software foundation)?"
+_LATER = "(?:[+]| or (?:later|newer|higher|any later|any newer|at your option any later))(?: version)?"
+
+#: How a text refers to a licence it is under, by identifier: patterns of words, put after the openings below.
+REFERENCES = {
+    "GplLaterRef": f"{_GPL3}{_LATER}",
+    "GplRef": _GPL3,
+    "ApacheRef": f"apache (?:software )?(?:foundation )?(?:{_LICENSE} )?(?:version |v ?)?2(?: 0)?(?: {_LICENSE})?",
+    "MitRef": f"(?:mit|expat|mit expat|mit x11)(?: open source)? {_LICENSE}",
+    "Bsd3Ref": f"(?:bsd (?:3|three) clause(?: (?:new or )?(?:new|revised|modified))?|(?:3|three) clause bsd|(?:new|revised|modified) bsd)(?: {_LICENSE})?",
+    "Bsd2Ref": f"(?:bsd (?:2|two) clause(?: simplified)?|(?:2|two) clause bsd|simplified bsd|freebsd)(?: {_LICENSE})?",
+    "CcByNcRef": f"(?:cc by nc|creative commons attribution non ?commercial) 4 0(?: international)?(?: public)?(?: {_LICENSE})?",
+}
+_OPENING = f"(?:(?:this work is )?(?:licensed|released|distributed|redistributed|available|published|provided|issued|shared|offered|covered|is|are) (?:under|by)|under(?= the terms)|governed by|subject to|spdx {_LICENSE} identifier|{_LICENSE})(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? "
+#: A licence's bare name counts only right after an opening without an article.
+_BARE = {"MitRef": f"(?:licensed under|released under|distributed under|spdx {_LICENSE} identifier) mit"}
+#: The notice with another program's name, or without the words on the choice.
+_NOTICES = {
+    "GplRedistribute": "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version",
+    "GplHope": "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+}
+
 #: A sentence ends at . ! ? or : before white space, and at an empty line.
 _ENDS = re.compile(rb"[.!?:]+(?=\s)|\n[ \t\r]*\n")
-
-
-def identified(text: bytes, known: dict[bytes, str]) -> tuple[int, list[tuple[str, int, int]]]:
-    """Number of sentences, and (identifier, start, end) in bytes of those known. A sentence over several lines that is not known as a whole is looked up line by line."""
-    found, at, n = [], 0, 0
+#: Words as in fold_words; line ends, + and the signs that can end a sentence (as .) stay.
+_MARKED = bytes(46 if c in b".!?" else c if c in b"\n+" else c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Between two words of a known sentence: any signs, also : and ; but no full stop before white space and no empty line.
+_GAP = r"(?:[ +]|\.(?![ \n])|\n(?! *\n))+"
+_NO_WORD = r"(?![0-9a-z\x80-\xff])"
+_NOT = (b" not", b" never", b" longer", b" t")
+#: Beside the longest word of each known sentence: a text without any of these refers to no licence.
+_ANCHORS = {b"licen", b"apache", b"gpl", b"bsd", b"clause", b" nc", b"released", b"distributed", b"software"}
+
+
+Known = tuple[re.Pattern[bytes], list[str], set[bytes]]
+
+
+def compiled(sentences: dict[str, str], references: bool) -> Known:
+    """A pattern for any known sentence, the longest first, the identifier of each of its groups, and words of which a text with a known sentence holds one."""
+    known = sorted(sentences.items(), key=lambda kv: -len(kv[1].split()))
+    forms = [(k, re.escape(v).replace("\\ ", " ")) for k, v in known]
+    if references:
+        refs = [(k, _OPENING + v) for k, v in REFERENCES.items()]
+        forms = [refs[0], *forms, *refs[1:], *_BARE.items(), *_NOTICES.items()]
+    body = "|".join(f"({v.replace(' ?', '(?: )?').replace(' ', _GAP)}){_NO_WORD}" for _, v in forms)
+    anchors = {max(v.encode().split(), key=len) for _, v in known} | (_ANCHORS if references else set())
+    return re.compile(f"(?<![0-9a-z\\x80-\\xff])(?:{body})".encode("latin-1")), [k for k, _ in forms], anchors
+
+
+def identified(text: bytes, known: Known) -> tuple[int, list[tuple[str, int, int]]]:
+    """Number of sentences, and (identifier, start, end) in bytes of the known ones, left to right, wherever they stand: alone, over several lines, or next to other words of the same line; not where a word like `not` stands before."""
+    at, n = 0, 0
     for m in [*_ENDS.finditer(text), None]:
         end = m.end() if m else len(text)
-        if sentence := text[at:end]:
-            n += 1
-            name = known.get(b" ".join(fold_words(sentence))) if len(sentence) < 4096 else None
-            if name:
-                found.append((name, at, end))
-            elif b"\n" in sentence:
-                here = at
-                for line in sentence.split(b"\n"):
-                    if (name := known.get(b" ".join(fold_words(line)))) is not None:
-                        found.append((name, here, here + len(line)))
-                    here += len(line) + 1
+        n += at < end
         at = end
-    return n, found
+    words = text.translate(_MARKED)
+    pattern, names, anchors = known
+    if not any(a in words for a in anchors):
+        return n, []
+    denied = lambda k: (b" " + words[max(0, k - 16) : k]).rstrip(b" \n").endswith(_NOT)
+    return n, [(names[m.lastindex - 1], m.start(), m.end()) for m in pattern.finditer(words) if not denied(m.start())]
 
 
 def matched(ids: list[str], rules: list[tuple[str, list[str]]]) -> list[tuple[str, int, int]]:
@@ -97,7 +142,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no sentences; repeated rows are scanned each. Nothing is shuffled: the sentences and
     rules are fixed and small, a document is scanned where it is read.
     """
-    known = {v.encode(): k for k, v in (sentences or SENTENCES).items()}
+    known = compiled(sentences or SENTENCES, references=sentences is None)
     rules = RULES if rules is None else rules
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("sentence_ids", pa.list_(pa.string())), ("licenses", pa.list_(pa.string())),
