@@ -67,6 +67,14 @@ def title_pairs(nodes: DataFrame, hours: int, same_day: bool = False) -> DataFra
     """
     t = nodes.select("id", "at", title_tokens(F.col("title")).alias("tokens")).filter(F.size("tokens") >= 2)
     groups = t.groupBy("tokens", "at").agg(F.min("id").alias("id"))
+    met = _near_titles(groups, hours, same_day)
+    found = met.filter(tokens_match(F.col("ta"), F.col("tb"))).select("a", "b")
+    copies = t.join(groups.withColumnRenamed("id", "first"), ["tokens", "at"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return found.union(copies)
+
+
+def _near_titles(groups: DataFrame, hours: int, same_day: bool = False) -> DataFrame:
+    """(a, b, ta, tb) of groups (id, at, tokens) that may match: they share a signature and start at most `hours` apart, a < b."""
     step = hours * 3600
     sig = groups.select("id", "at", "tokens", F.floor(F.col("at") / step).alias("bucket"), F.explode("tokens").alias("token")).select("id", "at", "tokens", "bucket", "token", F.explode(deletions(F.col("token"))).alias("sig"))
     df = sig.groupBy("sig").agg(F.count_distinct("id").alias("df"))
@@ -79,9 +87,7 @@ def title_pairs(nodes: DataFrame, hours: int, same_day: bool = False) -> DataFra
     if same_day:
         met = met.filter(F.floor(F.col("at_a") / 86400) == F.floor(F.col("at_b") / 86400))
     low = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ta")).otherwise(F.col("tb")).alias("ta"), F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")).alias("tb"))
-    found = low.dropDuplicates(["a", "b"]).filter(tokens_match(F.col("ta"), F.col("tb"))).select("a", "b")
-    copies = t.join(groups.withColumnRenamed("id", "first"), ["tokens", "at"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return found.union(copies)
+    return low.dropDuplicates(["a", "b"])
 
 
 def located_match(a: str, b: str) -> Column:
@@ -92,13 +98,46 @@ def located_match(a: str, b: str) -> Column:
     return F.when(both, haversine_miles(c("latitude", a), c("longitude", a), c("latitude", b), c("longitude", b)) <= MAX_MILES).otherwise(text("venue_name") | text("address"))
 
 
+def _place_keys(meets: bool) -> Column:
+    """Keys of a row's place (cell, latitude, longitude, venue, addr): two rows that agree in place share one between a side with `meets` and a side without.
+
+    Rows with coordinates meet in cells of a cube grid round the earth, wider than half a mile, all others by venue or address.
+    """
+    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    cell = lambda d: F.concat_ws(":", F.lit("g"), *[(F.col("cell")[k] + d[k]).cast("string") for k in range(3)])
+    cells = F.array(*[cell((x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)] if meets else [cell((0, 0, 0))])
+    named = lambda mark: [F.concat(F.lit(f"{c}{mark}:"), F.col(c)) for c in ("venue", "addr")]
+    if meets:
+        keys = F.when(both, F.concat(cells, F.array(*named("n")))).otherwise(F.array(*named("n"), *named("c")))
+    else:
+        keys = F.when(both, F.concat(cells, F.array(*named("c")))).otherwise(F.array(*named("n")))
+    return F.array_distinct(F.array_compact(keys))
+
+
 def fuzzy_pairs(listings: DataFrame) -> DataFrame:
-    """(a, b) of listings (id, title, starts_at, latitude, longitude, venue_name, address) that one event's test accepts: starts within two hours, matching titles, agreeing places. Every pair among equal titles of one hour is looked at through the first of them only."""
+    """(a, b) of all listings (id, title, starts_at, latitude, longitude, venue_name, address), a < b, that one event's test accepts: starts within two hours, matching titles, agreeing places.
+
+    Titles are compared once for all rows of equal tokens and start; the rows of two groups then meet by place. Groups go
+    by what they hold, so ids that repeat mix no rows.
+    """
     at = F.unix_seconds(F.col("starts_at").cast("timestamp"))
-    pairs = title_pairs(listings.select("id", "title", at.alias("at")), MAX_HOURS)
-    side = lambda x: listings.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "latitude", "longitude", "venue_name", "address")])
-    j = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    return j.filter(located_match("_a", "_b")).select("a", "b")
+    t = listings.withColumns({"at": at, "tokens": title_tokens(F.col("title"))}).filter(F.size("tokens") >= 2)
+    t = t.withColumn("group", F.concat_ws(" ", "tokens", F.col("at").cast("string")))
+    groups = t.select(F.col("group").alias("id"), "at", "tokens").dropDuplicates(["id"])
+    alike = _near_titles(groups, MAX_HOURS).filter(tokens_match(F.col("ta"), F.col("tb")) | tokens_match(F.col("tb"), F.col("ta"))).select(F.col("a").alias("group_a"), F.col("b").alias("group_b"))
+    alike = alike.union(groups.select("id", F.col("id")))
+    phi, lam = F.radians("latitude"), F.radians("longitude")
+    size = 1.02 * MAX_MILES / EARTH_MILES
+    cell = F.array(*[F.floor(x / size) for x in (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))])
+    name = lambda c: F.when(F.col(c) != "", normal_title(F.col(c)))
+    rows = t.withColumns({"cell": cell, "venue": name("venue_name"), "addr": name("address")})
+    side = lambda x, meets: rows.withColumn("key", F.explode(_place_keys(meets))).select(*[F.col(c).alias(f"{c}_{x}") for c in ("group", "key", "id", "tokens", "latitude", "longitude", "venue_name", "address")])
+    met = alike.join(side("x", True).withColumnRenamed("group_x", "group_a"), "group_a").withColumnRenamed("key_x", "key").join(side("y", False).withColumnsRenamed({"group_y": "group_b", "key_y": "key"}), ["group_b", "key"])
+    low = F.col("id_x") < F.col("id_y")
+    # the side with the smaller id comes first in the title's test
+    titles = F.when(low, tokens_match(F.col("tokens_x"), F.col("tokens_y"))).otherwise(tokens_match(F.col("tokens_y"), F.col("tokens_x")))
+    other = low | ((F.col("group_a") != F.col("group_b")) & (F.col("id_x") != F.col("id_y")))
+    return met.filter(other & located_match("_x", "_y") & titles).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def known_events(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
