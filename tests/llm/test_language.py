@@ -56,3 +56,21 @@ def test_evidence_decides_short_texts(spark):
     assert by[0].lang == "de" and by[102].lang == "und" and by[103].lang == "und"
     alone = {r.page_id: r for r in identify_pages(spark.createDataFrame([(100, "http://solo.example.com/x", "<html>an</html>")], "page_id long, url string, html string"), model).collect()}
     assert alone[100].lang == "en" and by[100].confidence != alone[100].confidence
+
+
+def test_every_label_is_learnt(spark):
+    """A label with few rows among many, and copies of one text, do not leave the sample without a language or past its bound."""
+    rng = random.Random(12)
+    data = [(i, text("en", 12, rng), "en") for i in range(600)] + [(1000 + i, text("fr", 12, rng), "fr") for i in range(3)]
+    hot = text("de", 12, rng)
+    data += [(2000 + i, hot, "de") for i in range(300)]
+    df = frame(spark, data).repartition(7)
+    assert train(df, rows=40).languages == ["de", "en", "fr"]
+    by = {r.doc_id: r for r in identify_documents(df, train_rows=40).collect()}
+    assert all(by[i].lang == lang for i, _, lang in data if lang != "en") and sum(by[i].lang == "en" for i in range(600)) >= 590
+    from tidemark.llm.language import _bounds
+
+    hashes = frame(spark, data).select("lang", F.xxhash64("text").alias("h")).distinct()
+    bounds = _bounds(hashes, 40)
+    took = {r.lang: r.n for r in hashes.groupBy("lang").agg(F.count_if(F.col("h") <= F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("lang")]).alias("n")).collect()}
+    assert took == {"de": 1, "fr": 3, "en": 36}

@@ -44,14 +44,32 @@ class Model:
         self.table = np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32).copy()
 
 
+def _bounds(hashes: DataFrame, rows: int) -> dict[str, int]:
+    """The largest hash of each label's share of `rows`, of distinct (lang, h): only about the shares reach the driver."""
+    counts = {r.lang: r.n for r in hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, share = rows, 1
+    for k, n in enumerate(sorted(counts.values())):
+        share = max(left // (len(counts) - k), 1)
+        if n > share:
+            break
+        left -= n
+    # hashes are evenly spread: a little more than the share lies under this part of their range
+    most = [(lang, -(1 << 63) + min(int((1 << 64) * (share + 6 * share**0.5 + 10) / n), (1 << 64) - 1)) for lang, n in counts.items()]
+    if not most:
+        return {}
+    near = hashes.join(F.broadcast(hashes.sparkSession.createDataFrame(most, "lang string, most long")), "lang").filter("h <= most").select("lang", "h").toPandas()
+    return {lang: int(h.nsmallest(share).max()) for lang, h in near.groupby("lang")["h"]}
+
+
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = 20_000) -> Model:
-    """A model from the `rows` labelled rows whose text hash is smallest (all of them where there are fewer): a bounded sample, the same on every run.
+    """A model from at most `rows` distinct labelled texts, of each label those whose hash is smallest (all of them where there are fewer): a bounded sample, the same on every run.
 
-    Rows without text or label teach nothing. Trigrams are counted in tasks and summed by (language, trigram); what
+    Labels share the rows evenly, and what a rare one leaves goes to the others, so every label is in the model at
+    every size. Rows without text or label teach nothing, copies under one label teach once. Trigrams are counted in tasks and summed by (language, trigram); what
     reaches the driver is at most 65,536 counts for each language.
     """
     known = labelled.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    bound = known.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    bounds = _bounds(materialize(known.select("lang", "h").distinct(), "labelled"), rows)
     schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +88,11 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
             code = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(total[code])], schema=schema)
 
-    if bound is None:
+    if not bounds:
         return Model([], np.zeros((0, 1 << _BITS)))
-    sums = known.filter(F.col("h") <= bound).select("lang", "text").mapInArrow(work, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(list(bounds.items()), "lang string, bound long"))
+    sample = known.join(limits, "lang").filter("h <= bound").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sums = sample.select("lang", "text").mapInArrow(work, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     counts = np.zeros((len(languages), 1 << _BITS))
     counts[np.searchsorted(languages, sums["lang"]), sums["code"]] = sums["n"]
