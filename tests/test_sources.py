@@ -78,6 +78,13 @@ def test_ical(spark):
     assert (b.title, b.start_time, b.image_url, b.source_url) == ("Untitled event", dt.datetime(2024, 1, 2), None, "https://u")
 
 
+def test_ical_past_a_million_events(spark):
+    """The last event of a large file is read; those before it have no start."""
+    last = "BEGIN:VEVENT\nUID:z\nSUMMARY:Last\nDTSTART:20240601T180000Z\nEND:VEVENT\n"
+    raw = spark.range(1).select(F.lit("s").alias("source_name"), F.lit("u").alias("feed_url"), F.concat(F.repeat(F.lit("BEGIN:VEVENT\n"), 1_000_000), F.lit(last)).alias("payload"))
+    assert [r.title for r in calendars.ical(raw).select("title").collect()] == ["Last"]
+
+
 def test_structured_pages(spark):
     node = {"@type": "Event", "name": "Car &amp; Tea", "startDate": "2024-07-01T09:00", "location": {"name": "Lot", "address": {"streetAddress": "1 St", "postalCode": "37402"}}, "image": [{"url": "a/stock.png"}, "b.png"], "url": "https://x.org/e/show/?a"}
     html = f'<script type="application/ld+json">{json.dumps({"@graph": [node, {"@type": "Org"}]})}</script><script type="application/ld+json">oops</script><script type="application/ld+json">{json.dumps([{"@type": "Event", "name": "undated"}])}</script>'

@@ -83,7 +83,8 @@ def graph_search(raw: DataFrame) -> DataFrame:
 def ical(raw: DataFrame) -> DataFrame:
     """iCal files (source_name, feed_url, payload): events without start dropped, a date alone is midnight UTC, the first usable image attachment."""
     text = F.regexp_replace(F.regexp_replace("payload", "\r\n?", "\n"), "\n[ \t]", "")
-    rows = raw.select("source_name", "feed_url", F.posexplode(F.slice(F.split(text, "BEGIN:VEVENT\n?"), 2, 1_000_000)).alias("seq", "body")).withColumn("body", F.concat(F.lit("\n"), F.split_part("body", F.lit("END:VEVENT"), F.lit(1))))
+    parts = F.split(text, "BEGIN:VEVENT\n?")
+    rows = raw.select("source_name", "feed_url", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("seq", "body")).withColumn("body", F.concat(F.lit("\n"), F.split_part("body", F.lit("END:VEVENT"), F.lit(1))))
 
     def prop(name: str) -> Column:
         v = F.regexp_extract("body", rf"(?i)\n{name}(?:;[^:\n]*)?:([^\n]*)", 1)
