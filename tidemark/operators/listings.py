@@ -123,16 +123,18 @@ def fuzzy_pairs(listings: DataFrame) -> DataFrame:
     at = F.unix_seconds(F.col("starts_at").cast("timestamp"))
     t = listings.withColumns({"at": at, "tokens": title_tokens(F.col("title"))}).filter(F.size("tokens") >= 2)
     t = t.withColumn("group", F.concat_ws(" ", "tokens", F.col("at").cast("string")))
-    groups = t.select(F.col("group").alias("id"), "at", "tokens").dropDuplicates(["id"])
+    groups = t.groupBy(F.col("group").alias("id"), "at", "tokens").agg(F.count(F.lit(1)).alias("n"))
     alike = _near_titles(groups, MAX_HOURS).filter(tokens_match(F.col("ta"), F.col("tb")) | tokens_match(F.col("tb"), F.col("ta"))).select(F.col("a").alias("group_a"), F.col("b").alias("group_b"))
-    alike = alike.union(groups.select("id", F.col("id")))
+    alike = alike.union(groups.filter("n > 1").select("id", F.col("id")))
     phi, lam = F.radians("latitude"), F.radians("longitude")
     size = 1.02 * MAX_MILES / EARTH_MILES
     cell = F.array(*[F.floor(x / size) for x in (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))])
     name = lambda c: F.when(F.col(c) != "", normal_title(F.col(c)))
     rows = t.withColumns({"cell": cell, "venue": name("venue_name"), "addr": name("address")})
-    side = lambda x, meets: rows.withColumn("key", F.explode(_place_keys(meets))).select(*[F.col(c).alias(f"{c}_{x}") for c in ("group", "key", "id", "tokens", "latitude", "longitude", "venue_name", "address")])
-    met = alike.join(side("x", True).withColumnRenamed("group_x", "group_a"), "group_a").withColumnRenamed("key_x", "key").join(side("y", False).withColumnsRenamed({"group_y": "group_b", "key_y": "key"}), ["group_b", "key"])
+    side = lambda df, x, meets: df.select("group_a", "group_b", F.explode(_place_keys(meets)).alias("key"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "tokens", "latitude", "longitude", "venue_name", "address")])
+    # only rows of groups that may match get keys
+    one, two = (alike.join(rows.withColumnRenamed("group", g), g) for g in ("group_a", "group_b"))
+    met = side(one, "x", True).join(side(two, "y", False), ["group_a", "group_b", "key"])
     low = F.col("id_x") < F.col("id_y")
     # the side with the smaller id comes first in the title's test
     titles = F.when(low, tokens_match(F.col("tokens_x"), F.col("tokens_y"))).otherwise(tokens_match(F.col("tokens_y"), F.col("tokens_x")))
