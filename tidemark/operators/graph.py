@@ -5,31 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.tables import discard, materialize
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every id of the edges: component is the smallest id reachable.
 
-    Each round every id takes the smallest label among its neighbours and then its label's label (pointer jumping), so
-    rounds grow with the logarithm of the longest chain. Rounds are checkpointed to the shared folder, where one is set.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of `edges` (node, other), ids of any type with an order: root is the smallest node of its component.
+
+    Alternates the public large-star and small-star steps until nothing changes. Each round is a written table, and the
+    one before it is removed. Hot centres are combined before the shuffle (min) and split by Spark in the join. Loops
+    (node = other) and null ends add nothing; repeated edges count once; no edges, no rows.
     """
-    both = edges.select(F.col(a).alias("id"), F.col(b).alias("n")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy("id").agg(F.least(F.col("id"), F.min("n")).alias("component")))
+    e = materialize(edges.filter(F.col("node") != F.col("other")).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct(), "edges")
+    mark = None
     while True:
-        seen = both.join(labels.select(F.col("id").alias("n"), F.col("component").alias("c")), "n").groupBy("id").agg(F.min("c").alias("c"))
-        new = labels.join(seen, "id").select("id", F.least("component", "c").alias("component"), F.col("component").alias("was"))
-        jump = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = cut_lineage(new.join(jump, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "was"))
-        if new.filter("component <> was").isEmpty():
-            return new.select("id", "component")
-        labels = new.select("id", "component")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a temporary one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
+        small = joined.select("u", F.col("m").alias("v")).union(joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        last, e = e, materialize(small, "edges")
+        discard(last)
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -7,35 +7,38 @@ starts_at, ends_at, venue_name, address, image_url, latitude, longitude, tags, l
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import hashlib
 import math
 import re
-from collections.abc import Collection
+from collections.abc import Callable, Collection, Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import EARTH_MILES, haversine_miles, near_box
-from tidemark.functions.text import TITLE_STOPWORDS, canonical_key, keyword_keys, normal_title, title_tokens, tokens_match
-from tidemark.operators.graph import connected_components, cut_lineage
+from tidemark.functions.text import TITLE_STOPWORDS, canonical_key, key_of, keyword_keys, normal_title, title_tokens, token_equal, tokens_match
+from tidemark.operators.graph import components
+from tidemark.tables import materialize
 
 MAX_HOURS, MAX_MILES = 2, 0.5
 
-#: Keywords of each topic, separated by |; blanks around ` ai ` count.
+#: Keywords of each topic; the blanks around ` ai ` count.
 TOPICS = {
-    "music": "concert|music|band|live music|dj|jazz|symphony|acoustic".split("|"),
-    "food": "food|dinner|brunch|tasting|beer|brewery|wine|culinary".split("|"),
-    "arts": "art|gallery|exhibit|theatre|theater|museum|dance|film".split("|"),
-    "outdoors": "hike|trail|river|kayak|outdoor|park|climb|garden".split("|"),
-    "family": "family|kids|children|story time|storytime|all ages".split("|"),
-    "sports": "game|run|race|marathon|lookouts|soccer|basketball|cycling".split("|"),
-    "tech": "tech|startup|coding|developer|hackathon| ai |data|software".split("|"),
-    "community": "market|fair|fundraiser|volunteer|meetup|networking|charity".split("|"),
-    "education": "class|workshop|lecture|seminar|course|talk|learn".split("|"),
-    "nightlife": "bar|club|nightlife|party|trivia|happy hour".split("|"),
-    "cars": "car show|cruise-in|cruise in|cars and coffee|car meet|hot rod|classic car|corvette|mustang|camaro|auto show".split("|"),
+    "music": ["concert", "music", "band", "live music", "dj", "jazz", "symphony", "acoustic"],
+    "food": ["food", "dinner", "brunch", "tasting", "beer", "brewery", "wine", "culinary"],
+    "arts": ["art", "gallery", "exhibit", "theatre", "theater", "museum", "dance", "film"],
+    "outdoors": ["hike", "trail", "river", "kayak", "outdoor", "park", "climb", "garden"],
+    "family": ["family", "kids", "children", "story time", "storytime", "all ages"],
+    "sports": ["game", "run", "race", "marathon", "lookouts", "soccer", "basketball", "cycling"],
+    "tech": ["tech", "startup", "coding", "developer", "hackathon", " ai ", "data", "software"],
+    "community": ["market", "fair", "fundraiser", "volunteer", "meetup", "networking", "charity"],
+    "education": ["class", "workshop", "lecture", "seminar", "course", "talk", "learn"],
+    "nightlife": ["bar", "club", "nightlife", "party", "trivia", "happy hour"],
+    "cars": ["car show", "cruise-in", "cruise in", "cars and coffee", "car meet", "hot rod", "classic car", "corvette", "mustang", "camaro", "auto show"],
 }
 
 
@@ -58,36 +61,56 @@ def deletions(token: Column) -> Column:
     return F.when(F.length(token) >= 5, F.array_distinct(F.concat(F.array(token), shorter))).otherwise(F.array(token))
 
 
+def near_words(words: DataFrame) -> DataFrame:
+    """(word, near) of distinct words that count as equal, each with itself: long words meet by their deletion signatures."""
+    long = words.filter(F.length("word") >= 5).select("word", F.explode(deletions(F.col("word"))).alias("sig"))
+    met = long.join(long.select(F.col("word").alias("near"), "sig"), "sig").filter((F.col("word") != F.col("near")) & token_equal(F.col("word"), F.col("near"))).select("word", "near").distinct()
+    return met.union(words.select("word", F.col("word").alias("near")))
+
+
 def title_pairs(nodes: DataFrame, hours: int, same_day: bool = False) -> DataFrame:
     """(a, b) of nodes (id, title, at in seconds) whose titles match and whose starts lie at most `hours` apart, a < b.
 
-    Each title probes with its single rarest token against the signatures of all tokens in its time bucket and the
-    next ones: every token of the smaller title must find one, so no match is lost and common words are never probed.
-    Titles that are alike meet first: equal normal titles of one hour are one node.
+    Nodes of equal tokens and start are one: the first of them stands for all in the pairs, and has a pair with each.
+    Titles of fewer than two tokens match none; a null title has none.
     """
-    t = nodes.select("id", "at", title_tokens(F.col("title")).alias("tokens")).filter(F.size("tokens") >= 2)
-    groups = t.groupBy("tokens", "at").agg(F.min("id").alias("id"))
-    met = _near_titles(groups, hours, same_day)
-    found = met.filter(tokens_match(F.col("ta"), F.col("tb"))).select("a", "b")
-    copies = t.join(groups.withColumnRenamed("id", "first"), ["tokens", "at"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    return found.union(copies)
+    return _pairs_of_normal(nodes.select("id", "at", normal_title(F.col("title")).alias("normal")), hours, same_day)
+
+
+def _pairs_of_normal(nodes: DataFrame, hours: int, same_day: bool = False) -> DataFrame:
+    """title_pairs() of nodes (id, at, normal), whose titles are normal already."""
+    t = materialize(nodes.filter(F.contains("normal", F.lit(" ")) & F.col("at").isNotNull()).select("id", "at", F.split("normal", " ").alias("tokens")), "titles")
+    groups = t.groupBy("tokens", "at").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    shared = groups.filter("id < last").select("tokens", "at", F.col("id").alias("a"))
+    copies = t.join(shared, ["tokens", "at"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return _near_titles(groups.drop("last"), hours, same_day).unionByName(copies)
 
 
 def _near_titles(groups: DataFrame, hours: int, same_day: bool = False) -> DataFrame:
-    """(a, b, ta, tb) of groups (id, at, tokens) that may match: they share a signature and start at most `hours` apart, a < b."""
+    """(a, b) of groups (id, at, tokens) with matching titles that start at most `hours` apart, a < b.
+
+    Words are compared once, on the vocabulary. Every token of the smaller title must find its like in the larger one,
+    so each title looks for its rarest token only, in its own time bucket and the next ones, among titles of its size or
+    more: no match is lost and common words are looked for only where a title has nothing rarer.
+    """
     step = hours * 3600
-    sig = groups.select("id", "at", "tokens", F.floor(F.col("at") / step).alias("bucket"), F.explode("tokens").alias("token")).select("id", "at", "tokens", "bucket", "token", F.explode(deletions(F.col("token"))).alias("sig"))
-    df = sig.groupBy("sig").agg(F.count_distinct("id").alias("df"))
-    tok = sig.join(df, "sig").groupBy("id", "at", "tokens", "bucket", "token").agg(F.sum("df").alias("df"))
-    rare = tok.groupBy("id", "at", "tokens", "bucket").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    probe = rare.select("id", "at", "tokens", "bucket", F.explode(deletions(F.col("token"))).alias("sig"))
-    probe = probe.select(F.col("id").alias("a"), F.col("at").alias("at_a"), F.col("tokens").alias("ta"), "sig", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
-    other = sig.select(F.col("id").alias("b"), F.col("at").alias("at_b"), F.col("tokens").alias("tb"), "bucket", "sig")
-    met = probe.join(other, ["bucket", "sig"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= step))
+    groups = materialize(groups.select("id", "at", "tokens", F.size("tokens").alias("n"), F.floor(F.col("at") / step).alias("bucket")), "titles")
+    words = groups.select("id", F.explode(F.array_distinct("tokens")).alias("word"))
+    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
+    near = materialize(near_words(counts.select("word")), "near-words")
+    spread = near.join(counts.select(F.col("word").alias("near"), "df"), "near").groupBy("word").agg(F.sum("df").alias("df"))
+    rare = words.join(spread, "word").groupBy("id").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
+    buckets = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
+    probe = groups.join(rare, "id").join(near, "word").select(F.col("near").alias("word"), F.col("id").alias("p"), F.col("at").alias("at_p"), F.col("tokens").alias("tp"), F.col("n").alias("np"), buckets)
+    other = groups.select(F.explode(F.array_distinct("tokens")).alias("word"), F.col("id").alias("o"), F.col("at").alias("at_o"), F.col("tokens").alias("to"), F.col("n").alias("no"), "bucket")
+    when = F.abs(F.col("at_p") - F.col("at_o")) <= step
     if same_day:
-        met = met.filter(F.floor(F.col("at_a") / 86400) == F.floor(F.col("at_b") / 86400))
-    low = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("ta")).otherwise(F.col("tb")).alias("ta"), F.when(F.col("a") < F.col("b"), F.col("tb")).otherwise(F.col("ta")).alias("tb"))
-    return low.dropDuplicates(["a", "b"])
+        when = when & (F.floor(F.col("at_p") / 86400) == F.floor(F.col("at_o") / 86400))
+    # of equally long titles that with the smaller id comes first in the test, and one of them is enough to find the pair
+    first = F.col("p") < F.col("o")
+    match = F.when((F.col("np") < F.col("no")) | first, tokens_match(F.col("tp"), F.col("to"))).otherwise(tokens_match(F.col("to"), F.col("tp")))
+    met = probe.join(other, ["bucket", "word"]).filter((F.col("np") <= F.col("no")) & (F.col("p") != F.col("o")) & when).filter(match)
+    return met.select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct()
 
 
 def located_match(a: str, b: str) -> Column:
@@ -114,27 +137,36 @@ def _place_keys(meets: bool) -> Column:
     return F.array_distinct(F.array_compact(keys))
 
 
+#: Row pairs of two title groups up to which they are compared directly; beyond, the rows meet by place keys.
+_DIRECT = 256
+
+
 def fuzzy_pairs(listings: DataFrame) -> DataFrame:
     """(a, b) of all listings (id, title, starts_at, latitude, longitude, venue_name, address), a < b, that one event's test accepts: starts within two hours, matching titles, agreeing places.
 
-    Titles are compared once for all rows of equal tokens and start; the rows of two groups then meet by place. Groups go
-    by what they hold, so ids that repeat mix no rows.
+    Titles are compared once for all rows of equal tokens and start. The rows of two small groups are then compared
+    directly, those of larger ones meet by place; both ways find the same pairs. Groups go by what they hold, so ids that
+    repeat mix no rows.
     """
     at = F.unix_seconds(F.col("starts_at").cast("timestamp"))
-    t = listings.withColumns({"at": at, "tokens": title_tokens(F.col("title"))}).filter(F.size("tokens") >= 2)
-    t = t.withColumn("group", F.concat_ws(" ", "tokens", F.col("at").cast("string")))
-    groups = t.groupBy(F.col("group").alias("id"), "at", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    alike = _near_titles(groups, MAX_HOURS).filter(tokens_match(F.col("ta"), F.col("tb")) | tokens_match(F.col("tb"), F.col("ta"))).select(F.col("a").alias("group_a"), F.col("b").alias("group_b"))
-    alike = alike.union(groups.filter("n > 1").select("id", F.col("id")))
+    t = listings.withColumns({"at": at, "tokens": title_tokens(F.col("title"))}).filter((F.size("tokens") >= 2) & F.col("at").isNotNull())
     phi, lam = F.radians("latitude"), F.radians("longitude")
     size = 1.02 * MAX_MILES / EARTH_MILES
     cell = F.array(*[F.floor(x / size) for x in (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))])
     name = lambda c: F.when(F.col(c) != "", normal_title(F.col(c)))
-    rows = t.withColumns({"cell": cell, "venue": name("venue_name"), "addr": name("address")})
-    side = lambda df, x, meets: df.select("group_a", "group_b", F.explode(_place_keys(meets)).alias("key"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "tokens", "latitude", "longitude", "venue_name", "address")])
-    # only rows of groups that may match get keys
-    one, two = (alike.join(rows.withColumnRenamed("group", g), g) for g in ("group_a", "group_b"))
-    met = side(one, "x", True).join(side(two, "y", False), ["group_a", "group_b", "key"])
+    rows = materialize(t.select("id", "at", "tokens", F.concat_ws(" ", "tokens", F.col("at").cast("string")).alias("group"), "latitude", "longitude", "venue_name", "address", cell.alias("cell"), name("venue_name").alias("venue"), name("address").alias("addr")), "listings")
+    groups = materialize(rows.groupBy("group").agg(F.first("at").alias("at"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "title-groups")
+    alike = _near_titles(groups.select(F.col("group").alias("id"), "at", "tokens"), MAX_HOURS)
+    sizes = lambda g: groups.select(F.col("group").alias(f"group_{g}"), F.col("rows").alias(f"rows_{g}"))
+    alike = alike.select(F.col("a").alias("group_a"), F.col("b").alias("group_b")).join(sizes("a"), "group_a").join(sizes("b"), "group_b")
+    alike = materialize(alike.unionByName(groups.filter("rows > 1").select(F.col("group").alias("group_a"), F.col("group").alias("group_b"), F.col("rows").alias("rows_a"), F.col("rows").alias("rows_b"))), "like-groups")
+    few = F.col("rows_a") * F.col("rows_b") <= _DIRECT
+    columns = ("id", "tokens", "latitude", "longitude", "venue_name", "address")
+    plain = lambda x, g: rows.select(F.col("group").alias(g), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    direct = alike.filter(few).select("group_a", "group_b").join(plain("x", "group_a"), "group_a").join(plain("y", "group_b"), "group_b")
+    keyed = lambda g, x, meets: alike.filter(~few).select("group_a", "group_b").join(rows.withColumnRenamed("group", g), g).select("group_a", "group_b", F.explode(_place_keys(meets)).alias("key"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    by_place = keyed("group_a", "x", True).join(keyed("group_b", "y", False), ["group_a", "group_b", "key"]).drop("key")
+    met = direct.unionByName(by_place)
     low = F.col("id_x") < F.col("id_y")
     # the side with the smaller id comes first in the title's test
     titles = F.when(low, tokens_match(F.col("tokens_x"), F.col("tokens_y"))).otherwise(tokens_match(F.col("tokens_y"), F.col("tokens_x")))
@@ -156,7 +188,22 @@ def known_events(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFr
     return one.unionByName(two)
 
 
-# The order-dependent rules below run inside one independent group at a time; small helpers say them for one pair.
+def drifted_keys(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
+    """(event_id, canonical_key, new_key, seq): what the key of a stored event becomes when its own listing comes back under another title or hour.
+
+    Of the raws that tier 1 gives to an event, the first one (by seq) whose key differs and is no stored event's names the
+    new key. Where several events would take one key, the first raw's event gets it and the others keep theirs.
+    """
+    own = known_events(raws, events, links).filter("tier = 1").select("seq", "event_id")
+    keys = raws.select("seq", canonical_key(F.col("title"), F.col("start_time")).alias("new_key"))
+    stored_keys = events.select(F.col("id").alias("event_id"), "canonical_key")
+    moved = own.join(keys, "seq").join(stored_keys, "event_id").filter("new_key <> canonical_key")
+    free = moved.join(events.select(F.col("canonical_key").alias("new_key")), "new_key", "left_anti")
+    firsts = free.groupBy("event_id", "canonical_key").agg(F.min(F.struct("seq", "new_key")).alias("f")).select("event_id", "canonical_key", "f.seq", "f.new_key")
+    return firsts.groupBy("new_key").agg(F.min(F.struct("seq", "event_id", "canonical_key")).alias("w")).select("w.event_id", "w.canonical_key", "new_key", "w.seq")
+
+
+# The order-dependent rules below run along one independent group at a time; small helpers say them for one pair.
 
 _STOP = frozenset(TITLE_STOPWORDS)
 
@@ -177,13 +224,13 @@ def _near(a: str, b: str) -> bool:
 
 
 def _titles(a: list[str], b: list[str]) -> bool:
-    small, left = (a, list(b)) if len(a) <= len(b) else (b, list(a))
-    for token in small:
-        k = next((k for k, o in enumerate(left) if _near(token, o)), None)
-        if k is None:
-            return False
-        del left[k]
-    return len(small) >= 2
+    """As tokens_match(): the places of the larger title are bits, and each token of the smaller one uses up the lowest free bit of its like."""
+    short, wide = sorted((a, b), key=len)
+    used = 0
+    for word in short:
+        fits = sum(1 << k for k, o in enumerate(wide) if _near(word, o)) & ~used
+        used |= fits & -fits
+    return len(short) >= 2 and used.bit_count() == len(short)
 
 
 def _key(tokens: list[str], at: int) -> str:
@@ -198,7 +245,7 @@ def _miles(a: tuple[float, float], b: tuple[float, float]) -> float:
 
 
 def _null(v):
-    return None if v is None or v != v or v is pd.NaT else v
+    return None if v is None or v != v else v
 
 
 class _Event:
@@ -212,6 +259,7 @@ class _Event:
         self.coords = (lat, lon) if lat is not None and lon is not None else None
         self.tags = list(row["tags"]) if row.get("tags") is not None else []
         self.links: dict[tuple[str, str], str | None] = {}
+        self.count = 0
         self.retitle()
 
     def retitle(self) -> None:
@@ -240,37 +288,142 @@ class _Event:
         for k, v in o.links.items():
             self.links.setdefault(k, v)
         self.tags += [t for t in o.tags if t not in self.tags]
+        self.count += 1
         self.retitle()
 
     def row(self) -> dict:
         lat, lon = self.coords or (None, None)
-        return {"canonical_key": self.key, "title": self.title, "description": self.description, "at": self.at, "ends_at": self.ends, "venue_name": self.venue, "address": self.address, "image_url": self.image, "latitude": lat, "longitude": lon,
+        return {"id": self.id, "canonical_key": self.key, "title": self.title, "description": self.description, "at": self.at, "ends_at": self.ends, "venue_name": self.venue, "address": self.address, "image_url": self.image, "latitude": lat, "longitude": lon,
                 "tags": self.tags, "links": [{"source_name": a, "source_url": b, "source_event_id": i} for (a, b), i in self.links.items()]}
 
 
-_OUT = "canonical_key string, title string, description string, at long, ends_at timestamp, venue_name string, address string, image_url string, latitude double, longitude double, tags array<string>, links array<struct<source_name:string,source_url:string,source_event_id:string>>"
-
-
-def _per_component(rows: DataFrame, run, schema: str, rows_per_group: int = 4000) -> DataFrame:
-    """run() for the rows of each component. Small components share a group of about rows_per_group rows, so that the many singletons cost no call each."""
-    rows = cut_lineage(rows)
-    parts = max(1, rows.count() // rows_per_group)
-
-    def many(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [r for _, part in pdf.groupby("component", sort=False) for r in run(part)]
-        return pd.DataFrame(out)
-
-    return rows.withColumn("__g", F.pmod(F.xxhash64("component"), F.lit(parts))).groupBy("__g").applyInPandas(many, schema)
-
-
-def _alone(links: Column) -> list[Column]:
-    """The fields of an event that merges with none; columns title, at, ends_at and so on."""
-    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-    title = F.coalesce("title", F.lit(""))
-    return [
-        canonical_key(title, F.timestamp_seconds("at")).alias("canonical_key"), title.alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.col("at"), F.col("ends_at"), F.col("venue_name"), F.col("address"), F.col("image_url"),
-        F.when(both, F.col("latitude")).alias("latitude"), F.when(both, F.col("longitude")).alias("longitude"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), links.alias("links"),
-    ]
+class _InTime:
+    """Events of one group that start within two hours of a time, first come first."""
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, int]] = []
+
+    def add(self, at: int, number: int) -> None:
+        bisect.insort(self.starts, (at, number))
+
+    def around(self, at: int) -> list[int]:
+        low, high = bisect.bisect_left(self.starts, (at - MAX_HOURS * 3600, -1)), bisect.bisect_right(self.starts, (at + MAX_HOURS * 3600, 1 << 62))
+        return sorted(number for _, number in self.starts[low:high])
+
+
+class _Upsert:
+    """Raws of one group, in order of seq, to events."""
+
+    def __init__(self, max_miles: float, center: tuple[float, float] | None):
+        self.max_miles, self.center = max_miles, center
+        self.events: list[_Event] = []
+        self.skipped: list[_Event] = []
+        self.by_key: dict[str, int] = {}
+        self.by_listing: dict[tuple, list[int]] = {}
+        self.times = _InTime()
+
+    def listed(self, raw: _Event, listing: tuple) -> int | None:
+        """The event that has this listing on the raw's day; it adopts the raw's key unless another one has that."""
+        found = [k for k in self.by_listing.get(listing, ()) if self.events[k].at // 86400 == raw.at // 86400]
+        if not found:
+            return None
+        e = self.events[min(found)]
+        if e.key != raw.key and raw.key not in self.by_key:
+            if self.by_key.get(e.key) == min(found):
+                del self.by_key[e.key]
+            e.key = raw.key
+            self.by_key[raw.key] = min(found)
+        return min(found)
+
+    def add(self, row: dict) -> None:
+        raw = _Event(row | {"id": row["seq"]}, int(row["at"]))
+        name, url, own = row["source_name"], row["source_url"], _null(row["source_event_id"])
+        listing = ("id", name, own) if own else ("url", name, url)
+        hit = self.listed(raw, listing) if None not in listing else None
+        if hit is None:
+            hit = self.by_key.get(raw.key)
+        if hit is None:
+            hit = next((k for k in self.times.around(raw.at) if raw.alike(self.events[k])), None)
+        if hit is None and self.max_miles > 0 and raw.coords and _miles(self.center, raw.coords) > self.max_miles:
+            self.skipped.append(raw)
+            return
+        if hit is None:
+            hit = len(self.events)
+            self.events.append(raw)
+            self.by_key.setdefault(raw.key, hit)
+            self.times.add(raw.at, hit)
+        else:
+            self.events[hit].count += 1
+            self.events[hit].fill(raw)
+            self.events[hit].coords = self.events[hit].coords or raw.coords
+        links = self.events[hit].links
+        if (name, url) not in links:
+            self.by_listing.setdefault(("url", name, url), []).append(hit)
+        elif own and links[name, url]:  # the link's id is replaced
+            self.by_listing["id", name, links[name, url]].remove(hit)
+        if own:
+            self.by_listing.setdefault(("id", name, own), []).append(hit)
+        links[name, url] = own or links.get((name, url))
+
+    def rows(self) -> list[dict]:
+        return [e.row() | {"outcome": "created", "merged": e.count} for e in self.events] + [e.row() | {"outcome": "skipped_far", "merged": 0} for e in self.skipped]
+
+
+class _Reconcile:
+    """Stored events of one group, in order of id: each goes to the first survivor of its day that takes it, else survives."""
+
+    def __init__(self) -> None:
+        self.heads: list[_Event] = []
+        self.times = _InTime()
+
+    def add(self, row: dict) -> None:
+        e = _Event(row, int(row["at"]))
+        for x in row["links"] if row["links"] is not None else []:
+            e.links[x["source_name"], x["source_url"]] = x["source_event_id"]
+        for k in self.times.around(e.at):
+            head = self.heads[k]
+            if head.at // 86400 == e.at // 86400 and (head.key == e.key or head.alike(e)):
+                head.absorb(e)
+                return
+        self.times.add(e.at, len(self.heads))
+        self.heads.append(e)
+
+    def rows(self) -> list[dict]:
+        return [e.row() | {"absorbed": e.count} for e in self.heads]
+
+
+_OUT = "id long, canonical_key string, title string, description string, at long, ends_at long, venue_name string, address string, image_url string, latitude double, longitude double, tags array<string>, links array<struct<source_name:string,source_url:string,source_event_id:string>>"
+
+
+def _along_groups(rows: DataFrame, order: str, fresh: Callable, extra: dict[str, str]) -> DataFrame:
+    """Feed the rows of each component to one fresh() in the given order. Rows come by Arrow batches from a sorted partition, so a task holds what the rule remembers, never the rows of a group."""
+    texts, numbers = pa.string(), {"id": pa.int64(), "at": pa.int64(), "ends_at": pa.int64(), "latitude": pa.float64(), "longitude": pa.float64()}
+    names = [c.split(" ")[0] for c in _OUT.split(", ")]
+    lists = {"tags": pa.list_(texts), "links": pa.list_(pa.struct([(c, texts) for c in ("source_name", "source_url", "source_event_id")]))}
+    schema = pa.schema([(c, numbers.get(c, lists.get(c, texts))) for c in names] + [(c, pa.int64() if t == "long" else texts) for c, t in extra.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rule, done = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["component"] != group:
+                    done += rule.rows() if rule else []
+                    group, rule = row["component"], fresh()
+                rule.add(row)
+            if len(done) >= 5000:
+                yield pa.RecordBatch.from_pylist(done, schema)
+                done = []
+        done += rule.rows() if rule else []
+        for k in range(0, len(done), 5000):
+            yield pa.RecordBatch.from_pylist(done[k : k + 5000], schema)
+
+    ends = F.unix_micros(F.col("ends_at").cast("timestamp"))
+    out = rows.withColumn("ends_at", ends).repartition("component").sortWithinPartitions("component", order).mapInArrow(run, _OUT + "".join(f", {c} {t}" for c, t in extra.items()))
+    return out.withColumn("ends_at", F.timestamp_micros("ends_at"))
+
+
+def _located(columns: tuple[str, str] = ("latitude", "longitude")) -> Column:
+    return F.col(columns[0]).isNotNull() & F.col(columns[1]).isNotNull()
 
 
 def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float, float] | None = None, blocked: Collection[str] = ()) -> DataFrame:
@@ -278,80 +431,73 @@ def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float
 
     A raw goes to the event that lists it already (same source and listing, same UTC day), else to the one with its
     canonical key, else to the first one its title, time and place match, else it makes an event, unless it lies
-    farther than max_miles from center. The batch is split to groups that cannot touch each other (same key, matching titles within two
-    hours, or one listing on the same or the next day), and the rule runs in order inside each.
+    farther than max_miles from center. Canonical keys are the nodes of a graph, tied by matching titles within two hours
+    and by a listing they share on one day or the next. A key that is tied to no other is one event, so its raws, few or
+    a third of the table, are folded by aggregates. Tied keys form components that cannot touch each other, and the
+    rule runs along each in order.
     """
     if max_miles > 0 and center is None:
         raise ValueError("max_miles needs a center")
     at = F.unix_seconds(F.col("start_time").cast("timestamp"))
-    n = raws.select(F.col("seq").alias("id"), "title", at.alias("at"), canonical_key(F.col("title"), F.col("start_time")).alias("k"), "source_name", "source_url", "source_event_id")
-    first = lambda *by: Window.partitionBy(*by).orderBy("id")
-    chain = lambda df, *by: df.select("id", F.lag("id").over(first(*by)).alias("p")).filter("p IS NOT NULL").select(F.col("p").alias("a"), F.col("id").alias("b"))
-    # rows of one listing in order of day: neighbours at most a day apart are linked
-    near = lambda df, c: df.select("id", F.lag("id").over(Window.partitionBy("source_name", c).orderBy("at", "id")).alias("p"), (F.floor(F.col("at") / 86400) - F.lag(F.floor(F.col("at") / 86400)).over(Window.partitionBy("source_name", c).orderBy("at", "id"))).alias("d")).filter("p IS NOT NULL AND d <= 1").select(F.col("p").alias("a"), F.col("id").alias("b"))
-    edges = chain(n, "k").union(title_pairs(n, MAX_HOURS)).union(near(n.filter("source_event_id IS NOT NULL"), "source_event_id")).union(near(n, "source_url"))
-    parts = connected_components(cut_lineage(edges.filter("a <> b")))
-    tagged = raws.withColumns({"tags": tag_names(F.col("tags"), F.col("title"), F.col("description"), blocked), "at": at, "ends_at": F.col("end_time").cast("timestamp")})
-    parts = cut_lineage(parts.select(F.col("id").alias("seq"), "component"))
-    grouped = tagged.join(parts, "seq")
-    columns = ["component", "seq", "title", "at", "ends_at", "source_name", "source_url", "source_event_id", "description", "venue_name", "address", "latitude", "longitude", "image_url", "tags"]
-
-    def run(pdf: pd.DataFrame) -> list[dict]:
-        import bisect
-
-        events: list[_Event] = []
-        merged: list[int] = []
-        by_key: dict[str, int] = {}
-        by_listing: dict[tuple, list[int]] = {}
-        times: list[tuple[int, int]] = []
-        skipped = []
-        for row in pdf.sort_values("seq").to_dict("records"):
-            raw = _Event(row | {"id": row["seq"]}, int(row["at"]))
-            name, url, own = row["source_name"], row["source_url"], _null(row["source_event_id"])
-            listing = ("id", name, own) if own else ("url", name, url)
-            hit = next((k for k in sorted(set(by_listing.get(listing, ()))) if events[k].at // 86400 == raw.at // 86400), None)
-            if hit is not None:
-                e = events[hit]
-                if e.key != raw.key and raw.key not in by_key:
-                    by_key.pop(e.key, None) if by_key.get(e.key) == hit else None
-                    e.key = raw.key
-                    by_key[raw.key] = hit
-            if hit is None:
-                hit = by_key.get(raw.key)
-            if hit is None:
-                a, b = bisect.bisect_left(times, (raw.at - MAX_HOURS * 3600, -1)), bisect.bisect_right(times, (raw.at + MAX_HOURS * 3600, 1 << 62))
-                hit = next((k for k in sorted(k for _, k in times[a:b]) if raw.alike(events[k])), None)
-            if hit is None:
-                if max_miles > 0 and raw.coords and _miles(center, raw.coords) > max_miles:
-                    skipped.append(raw)
-                    continue
-                hit = len(events)
-                events.append(raw)
-                merged.append(0)
-                by_key.setdefault(raw.key, hit)
-                bisect.insort(times, (raw.at, hit))
-            else:
-                merged[hit] += 1
-                events[hit].fill(raw)
-                events[hit].coords = events[hit].coords or raw.coords
-            e = events[hit]
-            if (name, url) not in e.links:
-                by_listing.setdefault(("url", name, url), []).append(hit)
-            elif own and e.links[name, url]:  # the link's id is replaced
-                by_listing["id", name, e.links[name, url]].remove(hit)
-            if own:
-                by_listing.setdefault(("id", name, own), []).append(hit)
-            e.links[name, url] = own or e.links.get((name, url))
-        rows = [e.row() | {"id": e.id, "outcome": "created", "merged": m} for e, m in zip(events, merged, strict=True)] + [e.row() | {"id": e.id, "outcome": "skipped_far", "merged": 0} for e in skipped]
-        return rows
-
-    out = _per_component(grouped.select(*columns), run, f"{_OUT}, id long, outcome string, merged long")
-    # a raw that touches no other is an event as it is
-    far = F.lit(False) if max_miles <= 0 else F.coalesce(haversine_miles(F.lit(center[0]), F.lit(center[1]), F.col("latitude"), F.col("longitude")) > max_miles, F.lit(False))
-    link = F.struct("source_name", "source_url", F.nullif("source_event_id", F.lit("")).alias("source_event_id"))
-    alone = tagged.join(parts, "seq", "left_anti").select(*_alone(F.when(far, F.slice(F.array(link), 1, 0)).otherwise(F.array(link))), F.col("seq").alias("id"), F.when(far, "skipped_far").otherwise("created").alias("outcome"), F.lit(0).cast("long").alias("merged"))
-    out = out.unionByName(alone)
-    return out.withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
+    tags = tag_names(F.col("tags"), F.col("title"), F.col("description"), blocked)
+    rows = materialize(
+        raws.select("seq", F.coalesce("title", F.lit("")).alias("title"), at.alias("at"), normal_title(F.col("title")).alias("normal"), "start_time", F.col("end_time").cast("timestamp").alias("ends_at"), "source_name", "source_url", "source_event_id",
+                    F.coalesce("description", F.lit("")).alias("description"), "venue_name", "address", "latitude", "longitude", "image_url", tags.alias("tags")).withColumn("k", key_of(F.col("normal"), F.col("start_time"))).drop("start_time"), "raws")
+    edges = _pairs_of_normal(rows.select(F.col("k").alias("id"), "at", "normal").distinct(), MAX_HOURS)
+    rows = rows.drop("normal")
+    day = F.floor(F.col("at") / 86400).alias("day")
+    for column in ("source_event_id", "source_url"):
+        listed = rows.filter(F.col(column).isNotNull() & F.col("source_name").isNotNull()).select("source_name", column, day, "k").distinct()
+        low = listed.groupBy("source_name", column, "day").agg(F.min("k").alias("low"))
+        edges = edges.unionByName(listed.join(low, ["source_name", column, "day"]).select(F.col("low").alias("a"), F.col("k").alias("b")))
+        after = low.select("source_name", column, (F.col("day") - 1).alias("day"), F.col("low").alias("next"))
+        edges = edges.unionByName(low.join(after, ["source_name", column, "day"]).select(F.col("low").alias("a"), F.col("next").alias("b")))
+    parts = materialize(components(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))).select(F.col("node").alias("k"), F.col("root").alias("component")), "key-components")
+    tied = _along_groups(rows.join(parts, "k").drop("k"), "seq", lambda: _Upsert(max_miles, center), {"outcome": "string", "merged": "long"})
+    single = _fold_keys(rows.join(parts, "k", "left_anti"), max_miles, center)
+    return tied.unionByName(single).withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
+
+
+def _fold_keys(rows: DataFrame, max_miles: float, center: tuple[float, float] | None) -> DataFrame:
+    """Raws whose key is tied to no other: each key is one event, made by its first raw that is not too far; rows before that one are skipped."""
+    rows = rows.withColumn("own", F.nullif("source_event_id", F.lit("")))
+    skipped = None
+    if max_miles > 0:
+        rows = rows.withColumn("far", F.coalesce(haversine_miles(F.lit(center[0]), F.lit(center[1]), F.col("latitude"), F.col("longitude")) > max_miles, F.lit(False)))
+        makers = rows.groupBy("k").agg(F.min(F.when(~F.col("far"), F.col("seq"))).alias("maker"))
+        rows = rows.join(makers, "k")
+        early = F.col("maker").isNull() | (F.col("seq") < F.col("maker"))
+        skipped, rows = rows.filter(early), rows.filter(~early)
+    # a link is one of (source, URL); a null of these is a value like any other
+    first = lambda value, given: F.min(F.when(given, F.struct("seq", value)))
+    texts = ("venue_name", "address", "image_url")
+    # a maker's own empty text stays, later ones fill with what is not empty
+    firsts = {c: F.struct(F.min(F.struct("seq", c)).alias("maker"), first(F.col(c), F.col(c) != "").alias("later")) for c in texts}
+    by_link = rows.groupBy("k", "source_name", "source_url").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "title", "at", "tags")).alias("maker"), F.max(F.when(F.col("own").isNotNull(), F.struct("seq", "own")))["own"].alias("own"),
+        first(F.col("description"), F.col("description") != "").alias("description"), first(F.col("ends_at"), F.col("ends_at").isNotNull()).alias("ends_at"), first(F.struct("latitude", "longitude").alias("at"), _located()).alias("coords"),
+        *[v.alias(c) for c, v in firsts.items()],
+    )
+    link = F.struct(F.col("maker.seq").alias("seq"), "source_name", "source_url", F.col("own").alias("source_event_id"))
+    events = by_link.groupBy("k").agg(
+        F.sum("n").alias("n"), F.min("maker").alias("maker"), F.min("description").alias("description"), F.min("ends_at").alias("ends_at"), F.min("coords").alias("coords"),
+        *[F.struct(F.min(F.col(c)["maker"]).alias("maker"), F.min(F.col(c)["later"]).alias("later")).alias(c) for c in texts], F.array_sort(F.collect_list(link)).alias("links"),
+    )
+    link_out = lambda x: F.struct(x["source_name"].alias("source_name"), x["source_url"].alias("source_url"), x["source_event_id"].alias("source_event_id"))
+    out = events.select(
+        F.col("maker.seq").alias("id"), F.col("k").alias("canonical_key"), "maker.title", F.coalesce(F.col("description")["description"], F.lit("")).alias("description"), F.col("maker.at").alias("at"), F.col("ends_at.ends_at").alias("ends_at"),
+        *[F.coalesce(F.col(c)["maker"][c], F.col(c)["later"][c]).alias(c) for c in texts], F.col("coords.at.latitude").alias("latitude"), F.col("coords.at.longitude").alias("longitude"), F.coalesce("maker.tags", F.array().cast("array<string>")).alias("tags"),
+        F.transform("links", link_out).alias("links"), F.lit("created").alias("outcome"), (F.col("n") - 1).alias("merged"),
+    )
+    if skipped is not None:
+        none = F.slice(F.array(F.struct("source_name", "source_url", F.col("own").alias("source_event_id"))), 1, 0)
+        out = out.unionByName(skipped.select(F.col("seq").alias("id"), F.col("k").alias("canonical_key"), "title", "description", "at", "ends_at", *texts, *_complete(), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), none.alias("links"), F.lit("skipped_far").alias("outcome"), F.lit(0).cast("long").alias("merged")))
+    return out
+
+
+def _complete() -> list[Column]:
+    """Coordinates, null unless both are given."""
+    return [F.when(_located(), F.col(c)).alias(c) for c in ("latitude", "longitude")]
 
 
 def reconcile_events(events: DataFrame, now: Column) -> DataFrame:
@@ -359,46 +505,23 @@ def reconcile_events(events: DataFrame, now: Column) -> DataFrame:
 
     In each UTC day, in id order, a survivor absorbs every later row of its key or that it is alike; its title, place
     and key change as it does. A survivor's title is always some member's and its members lie within four hours, so
-    rows split to independent groups by equal keys and by matching titles within four hours of one day.
+    keys with matching titles within four hours of one day form independent groups.
     """
     at = F.unix_seconds(F.col("starts_at").cast("timestamp"))
-    up = events.filter(F.col("starts_at") >= now).withColumn("at", at)
-    n = up.select("id", "title", "at", normal_title(F.col("title")).alias("k"), F.floor(F.col("at") / 86400).alias("day"))
-    w = Window.partitionBy("k", "day").orderBy("at", "id")
-    same = n.select("id", F.lag("id").over(w).alias("p")).filter("p IS NOT NULL").select(F.col("p").alias("a"), F.col("id").alias("b"))
-    parts = connected_components(cut_lineage(same.union(title_pairs(n, 2 * MAX_HOURS, same_day=True)).filter("a <> b")))
-    parts = cut_lineage(parts)
-    grouped = up.join(parts, "id")
-    columns = ["component", "id", "title", "at", "ends_at", "description", "venue_name", "address", "latitude", "longitude", "image_url", "tags", "links"]
-
-    def run(pdf: pd.DataFrame) -> list[dict]:
-        todo = []
-        for row in pdf.sort_values("id").to_dict("records"):
-            e = _Event(row, int(row["at"]))
-            for x in row["links"] if row["links"] is not None else []:
-                e.links[x["source_name"], x["source_url"]] = x["source_event_id"]
-            todo.append(e)
-        days: dict[int, list[_Event]] = {}
-        for e in todo:
-            days.setdefault(e.at // 86400, []).append(e)
-        rows = []
-        for rest in days.values():
-            while rest:
-                head, *others = rest
-                rest, count = [], 0
-                for o in others:
-                    if head.key == o.key or head.alike(o):
-                        head.absorb(o)
-                        count += 1
-                    else:
-                        rest.append(o)
-                rows.append(head.row() | {"id": head.id, "absorbed": count})
-        return rows
-
-    out = _per_component(grouped.select(*columns), run, f"{_OUT}, id long, absorbed long")
-    alone = up.join(parts, "id", "left_anti").select(*_alone(F.col("links")), "id", F.lit(0).cast("long").alias("absorbed"))
-    out = out.unionByName(alone)
-    return out.withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
+    columns = ["id", "title", "ends_at", "description", "venue_name", "address", "latitude", "longitude", "image_url", "tags", "links"]
+    up = events.filter(F.col("starts_at") >= now).select(*columns, at.alias("at"), "starts_at", normal_title(F.col("title")).alias("normal"))
+    up = materialize(up.withColumn("k", key_of(F.col("normal"), F.col("starts_at"))).drop("starts_at"), "upcoming")
+    keys = up.groupBy("k", "at", "normal").agg(F.count(F.lit(1)).alias("n"))
+    edges = _pairs_of_normal(keys.select(F.col("k").alias("id"), "at", "normal"), 2 * MAX_HOURS, same_day=True)
+    up = up.drop("normal")
+    tied = components(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))).select(F.col("node").alias("k"), F.col("root").alias("component"))
+    # stored keys that repeat are groups of their own where nothing else ties them
+    repeated = keys.groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1").select("k")
+    parts = materialize(tied.unionByName(repeated.join(tied, "k", "left_anti").select("k", F.col("k").alias("component"))), "key-components")
+    merged = _along_groups(up.join(parts, "k").drop("k"), "id", _Reconcile, {"absorbed": "long"})
+    none = F.array().cast("array<string>")
+    alone = up.join(parts, "k", "left_anti").select("id", F.col("k").alias("canonical_key"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"), "at", "ends_at", "venue_name", "address", "image_url", *_complete(), F.coalesce("tags", none).alias("tags"), "links", F.lit(0).cast("long").alias("absorbed"))
+    return merged.unionByName(alone).withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
 
 
 def backfilled(reports: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
@@ -440,22 +563,24 @@ def all_tags(event_tags: DataFrame) -> DataFrame:
     return event_tags.select("tag").distinct().orderBy("tag")
 
 
-def rolled_tags(tree: DataFrame, most: int = 32) -> DataFrame:
-    """(id, name) of each tag's ancestor one level below its root; a root is itself; a missing parent or a cycle ends at the last node reached."""
+def rolled_tags(tree: DataFrame) -> DataFrame:
+    """(id, name) of each tag's ancestor one level below its root; a root is itself; a missing parent or a cycle ends at the last node reached.
+
+    One level a round, for as long as a tag has a parent it has not passed: trees of any depth, and cycles end.
+    """
     t = tree.select("id", "name", "parent")
-    cur = t.select("id", F.col("id").alias("at"), F.col("name").alias("top"), F.col("name").alias("below"), F.col("parent").alias("up"), F.array("id").alias("seen"), F.lit(False).alias("stuck"))
-    for _ in range(most):
-        open_ = F.col("up").isNotNull() & ~F.col("stuck")
-        if cur.filter(open_).isEmpty():
-            break
-        n = t.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), F.col("parent").alias("p_up"))
-        j = cur.join(n, open_ & (F.col("up") == F.col("p_id")), "left")
-        step = F.col("p_id").isNotNull() & ~F.array_contains("seen", F.col("p_id"))
-        cur = cut_lineage(j.select(
-            "id", F.when(step, F.col("p_id")).otherwise(F.col("at")).alias("at"), F.when(step, F.col("p_name")).otherwise(F.col("top")).alias("top"), F.when(step, F.col("top")).otherwise(F.col("below")).alias("below"),
-            F.when(step, F.col("p_up")).otherwise(F.col("up")).alias("up"), F.when(step, F.concat("seen", F.array("p_id"))).otherwise(F.col("seen")).alias("seen"), (F.col("stuck") | (F.col("up").isNotNull() & ~step)).alias("stuck"),
-        ))
-    return cur.select("id", F.when(F.col("up").isNull() & (F.size("seen") > 1), F.col("below")).otherwise(F.col("top")).alias("name"))
+    up = t.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), F.col("parent").alias("p_up"))
+    open_ = t.select("id", F.col("name").alias("top"), F.col("name").alias("below"), F.col("parent").alias("up"), F.array("id").alias("seen"))
+    done = []
+    while True:
+        met = open_.join(up, F.col("up") == F.col("p_id"), "left")
+        on = F.col("p_id").isNotNull() & ~F.array_contains("seen", F.col("p_id"))
+        met = materialize(met.withColumn("on", on), "tag-levels")
+        # a root below which the way led ends one level under it
+        done.append(met.filter(~F.col("on")).select("id", F.when(F.col("up").isNull() & (F.size("seen") > 1), F.col("below")).otherwise(F.col("top")).alias("name")))
+        open_ = met.filter("on").select("id", F.col("p_name").alias("top"), F.col("top").alias("below"), F.col("p_up").alias("up"), F.concat("seen", F.array("p_id")).alias("seen"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def digest(events: DataFrame, now: Column, origin: tuple[float, float], zone: str = "America/New_York", miles: float = 35, most: int = 10) -> DataFrame:
