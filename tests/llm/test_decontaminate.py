@@ -29,7 +29,7 @@ def brute(texts, items):
                     if w[k : k + n] == b[s : s + n]:
                         hit |= set(range(k, k + n))
                         names.add(item)
-        out.append((i, len(w), len(hit), sorted(x for x in names if x is not None)))
+        out.append((i, len(w), len(hit), sorted(str(x) for x in names if x is not None)))
     return sorted(out, key=repr)
 
 
@@ -69,11 +69,11 @@ def cases():
     return texts, items
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 200])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "max_words"), [(8 << 20, 1_000_000), (200, 1_000_000), (200, 3)])
+def test_against_brute_force(spark, block_bytes, max_words):
     texts, items = cases()
     b = spark.createDataFrame(items, "item_id long, text string")
-    out = contamination(spark.createDataFrame(rows(texts), DOCS), b, block_bytes=block_bytes).collect()
+    out = contamination(spark.createDataFrame(rows(texts), DOCS), b, block_bytes=block_bytes, max_words=max_words).collect()
     got = sorted([(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r.item_ids)) for r in out], key=repr)
     assert got == brute(texts, items)
     assert all(a.end < b.start for r in out for a, b in zip(r.spans, r.spans[1:], strict=False))
@@ -87,3 +87,10 @@ def test_drop_and_empty_tables(spark):
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([t for t, x in zip(texts, [brute([t], items)[0] for t in texts], strict=True) if not x[2]], key=repr)
     assert contamination(df.limit(0), b).count() == 0
     assert contamination(df, b.limit(0)).filter("size(spans) > 0").count() == 0
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("007", "one two three"), ("x", "other words")], "doc_id string, text string")
+    b = spark.createDataFrame([("00", "two three"), ("b", "one two")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, [tuple(s) for s in r.spans], list(r.item_ids)) for r in contamination(docs, b).collect()}
+    assert got == {"007": (3, [(0, 3)], ["00", "b"]), "x": (2, [], [])}

@@ -74,3 +74,8 @@ def test_every_label_is_learnt(spark):
     bounds = _bounds(hashes, 40)
     took = {r.lang: r.n for r in hashes.groupBy("lang").agg(F.count_if(F.col("h") <= F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("lang")]).alias("n")).collect()}
     assert took == {"de": 1, "fr": 3, "en": 36}
+
+
+def test_without_labels_nothing_goes(spark):
+    df = frame(spark, [(1, "some words here", None), (2, None, None)])
+    assert keep_identified(df).count() == 2

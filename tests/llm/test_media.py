@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tests.llm.fixtures import DOCS, corpus, rows
 from tidemark.llm import flac
-from tidemark.llm.media import from_media, padded, to_media
+from tidemark.llm.media import from_media, padded, pcm_blocks, stored, to_media
 
 
 @given(st.lists(st.binary(min_size=1, max_size=300) | st.integers(1, 9000).map(lambda n: bytes((k * k // 7) % 256 for k in range(n))) | st.integers(1, 9000).map(lambda n: b"ab c" * n), min_size=1, max_size=5))
@@ -72,3 +72,29 @@ def test_table(spark):
     for r in got:
         assert same.setdefault(r.pcm, (r.media, r.feature)) == (r.media, r.feature)
     assert from_media(to_media(spark.createDataFrame([], DOCS))).count() == 0
+
+
+def test_long_payloads_go_by_groups():
+    """Frames of one payload over several groups, and several payloads in one: the streams are those of each payload alone."""
+    rng = np.random.default_rng(5)
+    long = rng.integers(97, 123, 2 * flac.GROUP + 5000, dtype=np.uint8).tobytes()
+    short = b"a few words " * 50
+    streams = flac.encode([short, long, short])
+    assert streams[0] == streams[2] == flac.encode([short])[0]
+    back = flac.decode(streams)
+    assert [b[0] for b in back] == [short, long, short]
+    blocks = back[1][1]
+    assert [b.first_sample for b in blocks] == list(range(0, len(long), flac.BLOCK))
+    begin = flac._metadata(streams[1])[0]
+    one = flac._frames(streams[1][begin + blocks[-2].frame_offset : begin + blocks[-1].frame_offset], [0])[0][0]
+    assert flac._unsigned(one) == long[blocks[-2].first_sample : blocks[-1].first_sample]
+
+
+def test_pcm_blocks(spark):
+    texts = {1: "word " * 3000, 2: None, 3: "ä" * 50}
+    media = stored(to_media(spark.createDataFrame(rows(texts.items()), DOCS)))
+    got = {}
+    for r in pcm_blocks(media).orderBy("doc_id", "block").collect():
+        assert r.first_sample == len(got.get(r.doc_id, b"")) and len(r.pcm) == r.samples <= flac.BLOCK
+        got[r.doc_id] = got.get(r.doc_id, b"") + r.pcm
+    assert got == {k: padded((t or "").encode()) for k, t in texts.items()}

@@ -43,6 +43,9 @@ def test_round_trip(spark, tmp_path):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.start, np.frombuffer(r.ids, "<u4").tolist(), r.doc_tokens) for r in back)
     want = sorted((i if i is not None else -1, s, (ids(t) + [1])[s : s + n], len(ids(t)) + 1) for i, t in texts for s, n in cut(len(ids(t)) + 1, 64))
     assert got == want
+    assert sorted(r.sequence_id for r in back) == list(range(len(back)))
+    again = pack_power_of_two(spark.createDataFrame(rows(texts[::-1]), DOCS).repartition(7), PATH, longest=64).collect()
+    assert sorted((r.sequence_id, r.ids) for r in again) == sorted((r.sequence_id, r.ids) for r in back)
 
 
 def test_empty_and_bad(spark):

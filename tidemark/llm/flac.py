@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 BLOCK = 4096
+#: Samples of the frames that are coded or decoded at once.
+GROUP = 3 << 19
 RATE = 8000
 _LPC_ORDER, _LPC_BITS = 4, 9
 _SIGN = bytes(b ^ 0x80 for b in range(256))
@@ -101,14 +104,56 @@ def _residuals(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int,
     return out
 
 
+def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of frames of about GROUP samples, which are worked on at once."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + GROUP, "right")))
+        yield first, last
+        first = last
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload; byte b is the sample b - 128. A payload has at least one byte."""
+    """A FLAC stream for each payload; byte b is the sample b - 128. A payload has at least one byte.
+
+    Frames do not depend on each other: they are coded group by group, so the memory at work does not grow with a payload.
+    """
     sizes_of = np.array([len(p) for p in payloads])
     frames_of = -(-sizes_of // BLOCK)
     sizes = np.full(frames_of.sum(), BLOCK)
     sizes[np.cumsum(frames_of) - 1] = sizes_of - (frames_of - 1) * BLOCK
+    owner = np.repeat(np.arange(len(payloads)), frames_of)
+    number = np.arange(len(sizes)) - np.repeat(np.cumsum(frames_of) - frames_of, frames_of)
+    parts: list[list[bytes]] = [[] for _ in payloads]
+    total = np.zeros(len(sizes), np.int64)
+    for first, last in _groups(sizes):
+        x = b"".join(payloads[o][BLOCK * n : BLOCK * n + z] for o, n, z in zip(owner[first:last].tolist(), number[first:last].tolist(), sizes[first:last].tolist(), strict=True))
+        data, total[first:last] = _coded(np.frombuffer(x, np.uint8), sizes[first:last], number[first:last])
+        ends = np.cumsum(total[first:last])
+        for o in np.unique(owner[first:last]).tolist():
+            a, b = np.searchsorted(owner[first:last], (o, o + 1))
+            parts[o].append(data[int(ends[a - 1]) if a else 0 : int(ends[b - 1])].tobytes())
+    out, f = [], 0
+    for k, (p, many) in enumerate(zip(payloads, frames_of.tolist(), strict=True)):
+        rate = RATE << 44 | 7 << 36 | len(p)
+        md5 = hashlib.md5()
+        for at in range(0, len(p), GROUP):
+            md5.update(p[at : at + GROUP].translate(_SIGN))
+        info = BLOCK.to_bytes(2, "big") * 2 + int(total[f : f + many].min()).to_bytes(3, "big") + int(total[f : f + many].max()).to_bytes(3, "big") + rate.to_bytes(8, "big") + md5.digest()
+        offsets = (np.cumsum(total[f : f + many]) - total[f : f + many]).tolist()
+        table = b"".join((BLOCK * j).to_bytes(8, "big") + offset.to_bytes(8, "big") + size.to_bytes(2, "big") for j, (offset, size) in enumerate(zip(offsets, sizes[f : f + many].tolist(), strict=True)))
+        out.append(b"".join([b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table, *parts[k]]))
+        parts[k] = []
+        f += many
+    return out
+
+
+def _coded(samples: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each) of the frames of some sizes and numbers, whose samples follow each other as unsigned bytes."""
     starts = np.cumsum(sizes) - sizes
-    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
+    x = samples.astype(np.int32) - 128
 
     # a predictor for each frame: what leaves the smallest residuals
     none = np.zeros(len(sizes), np.int32)
@@ -141,7 +186,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     coded &= ~np.repeat(constant | verbatim, sizes)
 
     # what stands before the codewords
-    heads, number = [], np.arange(len(sizes)) - np.repeat(np.cumsum(frames_of) - frames_of, frames_of)
+    heads = []
     for f, (size, n) in enumerate(zip(sizes.tolist(), number.tolist(), strict=True)):
         head = bytes([0xFF, 0xF8, 0xC0 if size == BLOCK else 0x70, 0x02]) + _number(n) + (b"" if size == BLOCK else (size - 1).to_bytes(2, "big"))
         head += bytes([crc8(head)])
@@ -191,16 +236,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         data[at : at + len(head)] |= np.frombuffer(head, np.uint8)
     crc = crc16(data, frame_at, frame_at + total - 2)
     data[frame_at + total - 2], data[frame_at + total - 1] = (crc >> 8).astype(np.uint8), (crc & 0xFF).astype(np.uint8)
-
-    out, f = [], 0
-    for p, many in zip(payloads, frames_of.tolist(), strict=True):
-        a, b = int(frame_at[f]), int(frame_at[f + many - 1] + total[f + many - 1])
-        rate = RATE << 44 | 7 << 36 | len(p)
-        info = BLOCK.to_bytes(2, "big") * 2 + int(total[f : f + many].min()).to_bytes(3, "big") + int(total[f : f + many].max()).to_bytes(3, "big") + rate.to_bytes(8, "big") + hashlib.md5(p.translate(_SIGN)).digest()
-        table = b"".join((BLOCK * j).to_bytes(8, "big") + (int(frame_at[f + j]) - a).to_bytes(8, "big") + int(sizes[f + j]).to_bytes(2, "big") for j in range(many))
-        out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + data[a:b].tobytes())
-        f += many
-    return out
+    return data, total
 
 
 @dataclass
@@ -369,51 +405,65 @@ def _frames(data: bytes, at: list[int]) -> tuple[list[np.ndarray], list[int]]:
     return out, ends
 
 
+def _metadata(stream: bytes) -> tuple[int, int, bytes, int, list[tuple[int, int, int]]]:
+    """(where the frames begin, samples, MD5, the largest frame's bytes or 0, seek points: sample, offset and samples of a frame)."""
+    if stream[:4] != b"fLaC":
+        raise ValueError("no FLAC stream")
+    at, last, points = 4, False, []
+    while not last:
+        last, what, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        body = stream[at + 4 : at + 4 + size]
+        if what == 0:
+            rate = int.from_bytes(body[10:18], "big")
+            if rate >> 41 & 7 or (rate >> 36 & 31) != 7:
+                raise ValueError("only one channel of 8 bits is read")
+            total, md5, largest = rate & (1 << 36) - 1, body[18:34], int.from_bytes(body[7:10], "big")
+        elif what == 3:
+            points = [(int.from_bytes(body[j : j + 8], "big"), int.from_bytes(body[j + 8 : j + 16], "big"), int.from_bytes(body[j + 16 : j + 18], "big")) for j in range(0, size, 18)]
+        at += 4 + size
+    points = [x for x in points if x[0] != (1 << 64) - 1]
+    full = points and points[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(points, points[1:], strict=False)) and points[-1][0] + points[-1][2] == total
+    return at, total, md5, largest, points if full else []
+
+
+def _unsigned(x: np.ndarray) -> bytes:
+    return (x + 128).astype(np.uint8).tobytes()
+
+
 def decode(streams: list[bytes]) -> list[tuple[bytes, list[Block]]]:
     """(payload, blocks) of each stream. Frame checksums and the MD5 of all samples must hold.
 
-    Frames whose places the seek table gives are decoded side by side; a stream without a full table goes frame by frame.
+    Frames whose places the seek table gives are decoded side by side, group by group; a stream without a full table goes
+    frame by frame.
     """
-    frame_at: list[list[int]] = []
-    infos = []
-    base = 0
-    for stream in streams:
-        if stream[:4] != b"fLaC":
-            raise ValueError("no FLAC stream")
-        at, last, points = 4, False, []
-        while not last:
-            last, what, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
-            body = stream[at + 4 : at + 4 + size]
-            if what == 0:
-                rate = int.from_bytes(body[10:18], "big")
-                if rate >> 41 & 7 or (rate >> 36 & 31) != 7:
-                    raise ValueError("only one channel of 8 bits is read")
-                total, md5 = rate & (1 << 36) - 1, body[18:34]
-            elif what == 3:
-                points = [(int.from_bytes(body[j : j + 8], "big"), int.from_bytes(body[j + 8 : j + 16], "big"), int.from_bytes(body[j + 16 : j + 18], "big")) for j in range(0, size, 18)]
-            at += 4 + size
-        points = [x for x in points if x[0] != (1 << 64) - 1]
-        full = points and points[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in zip(points, points[1:], strict=False)) and points[-1][0] + points[-1][2] == total
-        infos.append((base, at, total, md5, bool(full)))
-        frame_at.append([base + at + x[1] for x in points] if full else [base + at] if total else [])
-        base += len(stream)
-    data = b"".join(streams)
-    got: list[list[np.ndarray]] = [[] for _ in streams]
+    known = [_metadata(s) for s in streams]
+    got: list[list[bytes]] = [[] for _ in streams]
     places: list[list[int]] = [[] for _ in streams]
-    while todo := [(k, a) for k, x in enumerate(frame_at) for a in x]:
-        samples, ends = _frames(data, [a for _, a in todo])
-        frame_at = [[] for _ in streams]
-        for (k, a), x, end in zip(todo, samples, ends, strict=True):
-            got[k].append(x)
-            places[k].append(a - infos[k][0] - infos[k][1])
-            if not infos[k][4] and sum(map(len, got[k])) < infos[k][2]:
-                frame_at[k] = [end]
+    frames = []
+    for k, (begin, total, _, largest, points) in enumerate(known):
+        ends = [x[1] for x in points[1:]] + [len(streams[k]) - begin]
+        frames += [(k, begin + x[1], begin + e, x[2]) for x, e in zip(points, ends, strict=True)] if points else []
+        at, done = begin, 0
+        while not points and done < total:
+            (x,), (end,) = _frames(streams[k][at : at + largest] if largest else streams[k][at:], [0])
+            got[k].append(_unsigned(x))
+            places[k].append(at - begin)
+            at, done = at + end, done + len(x)
+    for first, last in _groups(np.array([f[3] for f in frames], np.int64)):
+        some = frames[first:last]
+        sizes = np.array([b - a for _, a, b, _ in some])
+        data = b"".join(streams[k][a:b] for k, a, b, _ in some)
+        for (k, a, _, _), x in zip(some, _frames(data, (np.cumsum(sizes) - sizes).tolist())[0], strict=True):
+            got[k].append(_unsigned(x))
+            places[k].append(a - known[k][0])
     out = []
-    for k, (_, _, total, md5, _) in enumerate(infos):
-        x = np.concatenate(got[k]) if got[k] else np.zeros(0, np.int64)
-        payload = (x[:total] + 128).astype(np.uint8).tobytes()
-        if len(x) < total or hashlib.md5(payload.translate(_SIGN)).digest() != md5:
+    for k, (_, total, md5, _, _) in enumerate(known):
+        sizes, payload = [len(x) for x in got[k]], b"".join(got[k])[:total]
+        got[k] = []
+        check = hashlib.md5()
+        for at in range(0, len(payload), GROUP):
+            check.update(payload[at : at + GROUP].translate(_SIGN))
+        if len(payload) < total or check.digest() != md5:
             raise ValueError("samples fail their MD5")
-        first = np.cumsum([0, *map(len, got[k])]).tolist()
-        out.append((payload, [Block(a, len(x), p) for a, x, p in zip(first, got[k], places[k], strict=False)]))
+        out.append((payload, [Block(a, n, p) for a, n, p in zip(np.cumsum([0, *sizes]).tolist(), sizes, places[k], strict=False)]))
     return out

@@ -179,9 +179,9 @@ def identify(rows: DataFrame, model: Model, key: list[str], text: Column, host:
     return scored.select(*key, "lang", "confidence", "grams", (F.col("confidence") >= 0.5).alias("accepted"))
 
 
-def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", host_col: str = "source", train_rows: int = 20_000) -> DataFrame:
-    """(doc_id, row_hash, lang, confidence, grams, accepted) of documents: texts against a model of their own labelled rows, sources as hosts. The label itself is no evidence."""
-    model = train(docs, text_col, label_col, train_rows)
+def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", host_col: str = "source", train_rows: int = 20_000, model: Model | None = None) -> DataFrame:
+    """(doc_id, row_hash, lang, confidence, grams, accepted) of documents: texts against a model of their own labelled rows, or a given one, sources as hosts. The label itself is no evidence."""
+    model = train(docs, text_col, label_col, train_rows) if model is None else model
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
     return identify(rows, model, ["doc_id", "row_hash"], F.col("text"), F.col("host"))
 
@@ -203,8 +203,11 @@ def identify_pages(pages: DataFrame, model: Model, id_col: str = "page_id") -> D
     return identify(rows, model, ["page_id"], visible_text(F.col("html")), F.col("host"), declared_language(F.col("html")))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs whose language is accepted, unchanged: decisions join back by id and text hash."""
-    found = identify_documents(docs, id_col, text_col, **options).filter(~F.col("accepted"))
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = 20_000, **options) -> DataFrame:
+    """docs whose language is accepted, unchanged: decisions join back by id and text hash. Where no row has a label there is nothing to tell languages by, and all rows stay."""
+    model = train(docs, text_col, label_col, train_rows)
+    if not model.languages:
+        return docs
+    found = identify_documents(docs, id_col, text_col, model=model, **options).filter(~F.col("accepted"))
     gone = materialize(found.select(F.col("doc_id").alias("__lang_id"), F.col("row_hash").alias("__lang_hash")).distinct(), "rejected")
     return docs.hint("merge").join(gone, F.col(id_col).eqNullSafe(F.col("__lang_id")) & (F.xxhash64(F.col(text_col)) == F.col("__lang_hash")), "left_anti")

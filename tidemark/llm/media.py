@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
-from .flac import decode, encode
+from .common import materialize, texts
+from .flac import BLOCK, GROUP, decode, encode
 
 UNIT = 64
-#: Payload bytes that a task encodes or decodes at once; one longer text goes alone.
-_CHUNK = 3 << 19
 
 
 def padded(text: bytes) -> bytes:
@@ -40,7 +38,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
-            for part in _chunks([padded(t or b"") for t in texts(b.column(1))], _CHUNK):
+            for part in _chunks([padded(t or b"") for t in texts(b.column(1))], GROUP):
                 rows = b.slice(done, len(part))
                 sizes = [len(t or b"") for t in texts(rows.column(1))]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(encode(part), pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -50,9 +48,14 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _feature(pcm: bytes, blocks: int) -> str:
-    """Exact integers of the samples: blocks, peak, sum of squares, sign changes."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    return f"blocks={blocks};peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+    """Exact integers of the samples: blocks, peak, sum of squares, sign changes. Longer texts go by parts."""
+    peak = energy = crossings = 0
+    for at in range(0, len(pcm), GROUP):
+        x = np.frombuffer(pcm[max(0, at - 1) : at + GROUP], np.uint8).astype(np.int32) - 128  # with the sample before
+        crossings += int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+        x = x[1 if at else 0 :]
+        peak, energy = max(peak, int(np.abs(x).max())), energy + int((x * x).sum(dtype=np.int64))
+    return f"blocks={blocks};peak={peak};energy={energy};crossings={crossings}"
 
 
 def from_media(media: DataFrame) -> DataFrame:
@@ -66,7 +69,7 @@ def from_media(media: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
-            for part in _chunks(b.column(2).to_pylist(), _CHUNK):
+            for part in _chunks(b.column(2).to_pylist(), GROUP):
                 rows = b.slice(done, len(part))
                 got = decode(part)
                 blocks = [[{"first_sample": x.first_sample, "samples": x.samples, "frame_offset": x.frame_offset} for x in g[1]] for g in got]
@@ -76,3 +79,28 @@ def from_media(media: DataFrame) -> DataFrame:
                 done += len(part)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id long, n_bytes long, media binary, pcm binary, blocks array<struct<first_sample:long,samples:long,frame_offset:long>>, feature string")
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, block, first_sample, samples, frame_offset, pcm): the decoded blocks of each stream as rows of at most 4096 samples, ready to be written.
+
+    A reader that wants a sample takes the block of its first_sample, or seeks the stream's frame by frame_offset.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("first_sample", pa.int64()), ("samples", pa.int64()), ("frame_offset", pa.int64()), ("pcm", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, stream in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ((pcm, blocks),) = decode([stream])
+                for at in range(0, len(blocks), GROUP // BLOCK):
+                    some = blocks[at : at + GROUP // BLOCK]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc_id] * len(some), pa.int64()), pa.array(range(at, at + len(some)), pa.int64()), *(pa.array([getattr(x, c) for x in some], pa.int64()) for c in ("first_sample", "samples", "frame_offset")),
+                         pa.array([pcm[x.first_sample : x.first_sample + x.samples] for x in some], pa.binary())], schema=schema)
+
+    return media.select("doc_id", "media").mapInArrow(work, "doc_id long, block long, first_sample long, samples long, frame_offset long, pcm binary")
+
+
+def stored(media: DataFrame) -> DataFrame:
+    """media written to the shared folder and read back from there."""
+    return materialize(media, "media")

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+
 from .common import WordHashes, fold_words, materialize, mix, shingles, texts
-from .near_sets import COORDINATES, components, crowded, semi, set_name, sketch, verified_links
+from .near_sets import COORDINATES, crowded, semi, set_name, sketch, verified_links
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _REACH = 23

@@ -11,8 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
+
 from .common import WordHashes, fold_words, materialize, mix, shingles, texts
-from .near_sets import BLOCK, COORDINATES, components, crowded, semi, set_name, sketch, verified_links
+from .near_sets import BLOCK, COORDINATES, crowded, semi, set_name, sketch, verified_links
 
 _ODD = np.uint64(0xD1342543DE82EF95)
 

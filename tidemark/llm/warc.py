@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,10 +154,27 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, _RUN_DDL)
 
 
+def _row(batch: pa.RecordBatch, k: int) -> tuple:
+    return tuple(c[k].as_py() for c in batch.columns)
+
+
+def _rows_of(parts: list[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
+    """The rows of a run, a few at a time; what is read is let go."""
+    parts.reverse()
+    while parts:
+        part = parts.pop()
+        for at in range(0, part.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in part.slice(at, rows).columns), strict=True)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
+
+
 class LoserTree:
-    """k-way merge: inner nodes hold the losers of their matches, so the next row takes one match per level."""
+    """k-way merge: inner nodes hold the losers of their matches, so the next row takes one match per level. It holds one row of each run."""
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list[Iterable[tuple]]):
         self.k = len(runs)
         self.runs = [iter(r) for r in runs]
         self.head = [next(r, None) for r in self.runs]
@@ -201,44 +218,48 @@ def merge_runs(runs: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
     """Runs merged to one order by URL key, time and page: partition after partition, and row after row inside each.
 
     Ranges of keys are dealt to tasks of about rows_per_task rows (also a hot URL's captures, as time and page are part
-    of the key); each task merges its parts of all runs by a loser tree.
+    of the key). A task gets its stretch of every run as Arrow batches, in the order of the run, and merges them by a
+    loser tree that turns a few rows of each to Python at a time.
     """
     n = runs.count()
     tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_task))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[pa.RecordBatch]] = {}
+        pieces: list[list[pa.RecordBatch]] = []
+        last = None
         for b in batches:
             names = b.column(0).to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
             for s, e in zip(edge, np.append(edge[1:], len(names)), strict=True):
-                parts.setdefault(names[s], []).append(b.slice(s, e - s))
-        rows = []
-        for name in sorted(parts):
-            run = [r for b in parts[name] for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            if any(_order(a) > _order(b) for a, b in zip(run, run[1:], strict=False)):
-                run.sort(key=_order)  # a run read in several pieces
-            rows.append(run)
+                part = b.slice(s, e - s)
+                # a run read in two places goes on as two runs
+                if last is None or last[0] != names[s] or last[1] > _order(_row(part, 0)):
+                    pieces.append([])
+                pieces[-1].append(part)
+                last = names[s], _order(_row(part, part.num_rows - 1))
         out = []
-        for row in LoserTree(rows):
+        for row in LoserTree([_rows_of(parts) for parts in pieces]):
             out.append(row)
             if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RUN, strict=True)], schema=_RUN)
+                yield _batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RUN, strict=True)], schema=_RUN)
+            yield _batch(out)
 
     return runs.repartitionByRange(tasks, "url_key", "captured", "page_id").mapInArrow(work, _RUN_DDL)
 
 
-def capture_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None) -> DataFrame:
+def capture_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None, time_col: str | None = None) -> DataFrame:
     """Write pages as archives (to path, or a new folder of the shared one), read them back, and return all captures in global order.
 
+    The capture time is time_col's; pages without such a column get one of their id, see capture_time(), and a null time
+    too.
     Nulls, empty payloads and repeated rows give records of their own, see with_revisits() and records(). A lost
     executor costs only its tasks: archives and runs are written tables.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "archives")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("html"))
-    write_archives(records(with_revisits(rows)), path)
+    given = F.col(time_col).cast("timestamp") if time_col else F.lit(None).cast("timestamp")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("html"), F.coalesce(given, capture_time(F.col(id_col).cast("long"))).alias("captured"))
+    write_archives(records(with_revisits(rows), time=F.col("captured")), path)
     return merge_runs(materialize(capture_runs(spark, path), "capture-runs"))
