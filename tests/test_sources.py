@@ -71,10 +71,11 @@ def test_aggregator_and_search(spark):
 
 
 def test_ical(spark):
-    text = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Long na\r\n me\\, ok\r\nDTSTART;TZID=America/New_York:20240701T090000\r\nDTEND:20240701T150000Z\r\nATTACH;FMTTYPE=image/png:https://x/a\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20240102\r\nURL:https://u\r\nATTACH:https://x/Generic-1.jpg\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:undated\r\nEND:VEVENT\r\nEND:VCALENDAR"
+    text = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Long na\r\n me\\, ok\r\nDESCRIPTION:a\\;b\\\\nc\\nd\r\nDTSTART;TZID=America/New_York:20240701T090000\r\nDTEND:20240701T150000Z\r\nATTACH;FMTTYPE=image/png:https://x/a\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20240102\r\nURL:https://u\r\nATTACH:https://x/Generic-1.jpg\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nSUMMARY:undated\r\nEND:VEVENT\r\nEND:VCALENDAR"
     raw = spark.createDataFrame([("i", "feed", text)], "source_name string, feed_url string, payload string")
     a, b = sorted(calendars.ical(raw).collect(), key=lambda r: r.seq)
     assert (a.title, a.start_time, a.end_time, a.image_url, a.source_url, a.source_event_id) == ("Long name, ok", dt.datetime(2024, 7, 1, 13), dt.datetime(2024, 7, 1, 15), "https://x/a", "feed", "1")
+    assert a.description == "a;b\\nc\nd"
     assert (b.title, b.start_time, b.image_url, b.source_url) == ("Untitled event", dt.datetime(2024, 1, 2), None, "https://u")
 
 
@@ -96,9 +97,13 @@ def test_listing_and_details(spark):
     listing = '<a class="col third fundraiser" href="/events/moon"><h3>Moon <b>Walk</b></h3><img src="m.png"></a><a class="col third fundraiser" href="/events/moon"><h3>Again</h3></a><a class="col third fundraiser" href="/x"></a>'
     cards = calendars.listing_cards(spark.createDataFrame([("https://zoo.org/list", listing)], "page_url string, html string"))
     assert [tuple(r) for r in cards.collect()] == [("https://zoo.org/events/moon", "Moon Walk", "m.png")]
-    page = '<div class="intro"><h1>Moonwalk</h1></div><div class="event-logo"><h5><span>July 22 | 9:00 PM - 1 AM</span><span>July 1 | 9 AM - 10 AM</span></h5></div>'
+    page = '<div class="intro"><h1>Moonwalk</h1></div><div class="event-logo"><h3>Under <b>stars</b></h3><div><p>not this</p></div><p>With\n guides.</p><h5><span>July 22 | 9:00 PM - 1 AM</span><span>July 1 | 9 AM - 10 AM</span></h5></div>'
     details = spark.createDataFrame([("https://zoo.org/events/moon", page)], "url string, html string")
     (r,) = calendars.occurrences(cards, details, F.lit("2026-07-20 12:00:00").cast("timestamp"), "Zoo", ("Zoo", "1 St", 35.0, -85.0)).collect()
+    assert r.description == "Under stars With guides."
+    bare = page.replace("<h3>Under <b>stars</b></h3>", "").replace("<p>With\n guides.</p>", "") + '<div id="prices"><section class="two-thirds"><p>One.</p><ul><li>x</li></ul><p>Two.</p></section><section><p>no</p></section></div>'
+    (o,) = calendars.occurrences(cards, spark.createDataFrame([("https://zoo.org/events/moon", bare)], "url string, html string"), F.lit("2026-07-20 12:00:00").cast("timestamp"), "Zoo", ("Zoo", "1 St", 35.0, -85.0)).collect()
+    assert o.description == "One. Two."
     assert (r.title, r.source_event_id, r.start_time, r.end_time) == ("Moonwalk", "moon#2026-07-22", dt.datetime(2026, 7, 23, 1), dt.datetime(2026, 7, 23, 5))
     pages = spark.createDataFrame([("a", 1, 0), ("a", 0, 5), ("b", 1, 1)], "id string, page int, pos int")
     assert sorted((x.id, x.page) for x in calendars.merge_pages(pages, "id", "page", "pos").collect()) == [("a", 0), ("b", 1)]
@@ -115,6 +120,17 @@ def test_news_feed(spark, tmp_path):
     assert (b.guid, b.image_url, b.published, b.summary) == ("https://a/2", "e.jpg", dt.datetime(2024, 1, 2), "")
 
 
+def test_atom_feed(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title><entry><title type="html">One &amp;lt;i&amp;gt;x&amp;lt;/i&amp;gt;</title><link rel="self" href="https://a/self"/><link href="https://a/1"/><link rel="enclosure" type="image/png" href="e.png"/><id>tag:1</id><published>2024-01-01T10:00:00Z</published><updated>2024-01-02T10:00:00Z</updated>'
+        '<summary>short</summary><content type="html">&lt;p&gt;full body&lt;/p&gt;</content><category term="Sports"/><category term=""/></entry><entry><title>Two</title><link href="https://a/2" rel="alternate"/><updated>2024-01-03T00:00:00+01:00</updated><summary>only this</summary></entry><entry><title>no link</title></entry></feed>'
+    )
+    now = F.lit("2024-01-05 00:00:00").cast("timestamp")
+    a, b = sorted(news.feed_articles(news.read_feeds(spark, str(tmp_path)), now).collect(), key=lambda r: r.url)
+    assert (a.guid, a.title, a.url, a.summary, a.image_url, list(a.tags), a.published) == ("tag:1", "One x", "https://a/1", "full body", "e.png", ["Sports"], dt.datetime(2024, 1, 1, 10))
+    assert (b.guid, b.url, b.summary, b.published) == ("https://a/2", "https://a/2", "only this", dt.datetime(2024, 1, 2, 23))
+
+
 def test_news_listing(spark):
     html = '<div class="views-row"><div class="views-field-title"><h3><a href=" /n/1">First <i>item</i></a></h3></div><div class="views-field-body"><div class="field-content"><p>Body.</p></div></div><div class="views-field-created"><time datetime="2024-01-01T10:00:00-04:00">x</time></div></div><div class="views-row"><h3>no link</h3></div><div class="views-row"><div class="views-field-title"><h3><a href="b">Second</a></h3></div></div>'
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")

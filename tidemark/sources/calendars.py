@@ -88,7 +88,9 @@ def ical(raw: DataFrame) -> DataFrame:
 
     def prop(name: str) -> Column:
         v = F.regexp_extract("body", rf"(?i)\n{name}(?:;[^:\n]*)?:([^\n]*)", 1)
-        for code, sign in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\;", ";")):
+        # each backslash escapes the sign after it, also another backslash
+        v = F.replace(v, F.lit("\\\\"), F.lit("\x00"))
+        for code, sign in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\\;", ";"), ("\x00", "\\")):
             v = F.replace(v, F.lit(code), F.lit(sign))
         return F.nullif(v, F.lit(""))
 
@@ -183,15 +185,64 @@ def listing_cards(raw: DataFrame) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(w)).filter("k = 1").select("url", "title", "image_url")
 
 
+@F.pandas_udf(T.StringType())
+def _blurb(pages: pd.Series) -> pd.Series:
+    """What a detail page says of its event: headings and paragraphs right below the block of dates, else the paragraphs of the wide section of prices."""
+    from html.parser import HTMLParser
+
+    void = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    class Blurb(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__()
+            self.open: list[tuple[str, set, str]] = []
+            self.found: dict[str, list[str]] = {"dates": [], "prices": []}
+
+        def handle_starttag(self, tag, attrs):
+            if tag in void:
+                return
+            a = dict(attrs)
+            self.open.append((tag, set((a.get("class") or "").split()), a.get("id") or ""))
+            if tag in ("h3", "p") and len(self.open) > 1 and "event-logo" in self.open[-2][1]:
+                self.found["dates"].append("")
+            elif tag == "p" and self.in_prices():
+                self.found["prices"].append("")
+
+        def in_prices(self) -> bool:
+            ids = [k for k, x in enumerate(self.open) if x[2] == "prices"]
+            return bool(ids) and any(x[0] == "section" and "two-thirds" in x[1] for x in self.open[ids[0] + 1 :])
+
+        def handle_endtag(self, tag):
+            at = next((k for k in reversed(range(len(self.open))) if self.open[k][0] == tag), None)
+            if at is not None:
+                del self.open[at:]
+
+        def handle_data(self, data):
+            for k, (tag, _, _) in enumerate(self.open):
+                if tag in ("h3", "p") and k and "event-logo" in self.open[k - 1][1]:
+                    self.found["dates"][-1] += data
+                    return
+            if any(x[0] == "p" for x in self.open) and self.in_prices() and self.found["prices"]:
+                self.found["prices"][-1] += data
+
+    def one(page: str | None) -> str:
+        b = Blurb()
+        b.feed(page or "")
+        joined = [" ".join(" ".join(x.split()) for x in b.found[c]).strip() for c in ("dates", "prices")]
+        return joined[0] or joined[1]
+
+    return pages.map(one)
+
+
 def occurrences(cards: DataFrame, details: DataFrame, now: Column, source_name: str, venue: tuple[str, str, float, float]) -> DataFrame:
     """One listing per surviving occurrence of each detail page (url, html): spans of the date heading, ids of page and local day."""
     spans = F.regexp_extract_all(F.regexp_extract("html", r"(?is)class=\"event-logo\".*?<h5[^>]*>(.*?)</h5>", 1), F.lit(r"(?is)<span[^>]*>(.*?)</span>"), F.lit(1))
-    rows = cards.join(details, "url").select("url", "title", "image_url", strip_html(F.regexp_extract("html", r"(?is)class=\"intro\".*?<h1[^>]*>(.*?)</h1>", 1)).alias("heading"), F.posexplode(spans).alias("seq", "span"))
+    rows = cards.join(details, "url").select("url", "title", "image_url", strip_html(F.regexp_extract("html", r"(?is)class=\"intro\".*?<h1[^>]*>(.*?)</h1>", 1)).alias("heading"), _blurb("html").alias("description"), F.posexplode(spans).alias("seq", "span"))
     rows = rows.withColumn("o", occurrence(strip_html("span"), now)).filter("o IS NOT NULL")
     day = F.date_format(F.from_utc_timestamp("o.start", "America/New_York"), "yyyy-MM-dd")
     return rows.select(
         F.coalesce(F.nullif(F.col("heading"), F.lit("")), F.col("title")).alias("title"), F.col("o.start").alias("start_time"), F.col("o.end").alias("end_time"), F.lit(source_name).alias("source_name"), F.col("url").alias("source_url"),
-        F.concat(F.substring_index(F.regexp_replace("url", "/+$", ""), "/", -1), F.lit("#"), day).alias("source_event_id"), F.lit("").alias("description"), F.lit(venue[0]).alias("venue_name"), F.lit(venue[1]).alias("address"), F.lit(venue[2]).alias("latitude"),
+        F.concat(F.substring_index(F.regexp_replace("url", "/+$", ""), "/", -1), F.lit("#"), day).alias("source_event_id"), "description", F.lit(venue[0]).alias("venue_name"), F.lit(venue[1]).alias("address"), F.lit(venue[2]).alias("latitude"),
         F.lit(venue[3]).alias("longitude"), "image_url", F.array().cast("array<string>").alias("tags"), "seq",
     )
 

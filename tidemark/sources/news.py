@@ -14,11 +14,32 @@ from tidemark.operators.stories import lead_image
 ITEM = "title string, link string, guid string, pubDate string, updated string, description string, `content:encoded` string, category array<string>, enclosure array<struct<_url:string,_type:string>>"
 
 
+#: An entry of an Atom feed; elements with attributes and markup inside come as text.
+ENTRY = "title string, link array<struct<_href:string,_rel:string,_type:string>>, id string, published string, updated string, summary string, content string, category array<struct<_term:string>>"
+
+
 def read_feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """Items of RSS files by Spark's XML reader; broken files give no rows."""
     return spark.read.format("xml").option("rowTag", row_tag).option("mode", "DROPMALFORMED").option("ignoreNamespace", "false").schema(ITEM).load(path)
 
 
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files in the columns of read_feed(): the link is the first that is no enclosure and names no other relation than `alternate`, the id is the guid."""
+    e = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(ENTRY).load(path)
+    links = F.coalesce("link", F.array().cast("array<struct<_href:string,_rel:string,_type:string>>"))
+    pages = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    enclosed = F.filter(links, lambda x: x["_rel"] == "enclosure")
+    return e.select(
+        "title", F.get(pages, F.lit(0))["_href"].alias("link"), F.col("id").alias("guid"), F.col("published").alias("pubDate"), "updated", F.col("summary").alias("description"), F.col("content").alias("content:encoded"),
+        F.transform(F.coalesce("category", F.array().cast("array<struct<_term:string>>")), lambda c: F.coalesce(c["_term"], F.lit(""))).alias("category"), F.transform(enclosed, lambda x: F.struct(x["_href"].alias("_url"), x["_type"].alias("_type"))).alias("enclosure"),
+    )
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """Items of all feed files of a folder, RSS and Atom."""
+    return read_feed(spark, path).unionByName(read_atom(spark, path))
+
+
 def _feed_time(text: Column) -> Column:
     """`Mon, 01 Jan 2024 10:00:00 +0000` or ISO."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"(GMT|UTC|Z)$", "+0000")
