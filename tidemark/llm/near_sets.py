@@ -18,21 +18,38 @@ COORDINATES = 128
 BLOCK = 512
 _PAIRS_AT_ONCE = 1 << 18
 _SMALL = 32
-#: Ids of at most this many bytes are sent to every executor; more are joined by a shuffle.
-_BROADCAST_BYTES = 64 << 20
+#: Keys of at most this many bytes are sent to every executor; more are joined by a shuffle.
+_BROADCAST_BYTES = 16 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch(unique: np.ndarray) -> np.ndarray:
-    """128 numbers of 32 bits; two sets agree in a coordinate with about their Jaccard similarity as probability."""
-    x = np.sort(mix(unique + _STEP))
-    place = (x >> np.uint64(57)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    full, value = place[first], (x[first] >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
-    at = np.searchsorted(full, np.arange(COORDINATES))
-    away = np.where(at < len(full), full[at % len(full)], full[0] + COORDINATES) - np.arange(COORDINATES)
-    return ((value[at % len(full)] + away.astype(np.uint64) * _STEP) & np.uint64(0xFFFFFFFF)).astype("<u4")
+def sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 numbers of 32 bits for each of many sets that are not empty; set k holds values[starts[k] : starts[k + 1]], distinct. Two sets agree in a coordinate with about their Jaccard similarity as probability."""
+    sizes = np.diff(np.append(starts, len(values)))
+    x = mix(values + _STEP)
+    cell = np.repeat(np.arange(len(starts)), sizes) * COORDINATES + (x >> np.uint64(57)).astype(np.int64)
+    low = np.full(len(starts) * COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(low, cell, x)
+    full = np.zeros(len(low), bool)
+    full[cell] = True
+    full = full.reshape(-1, COORDINATES)
+    low = ((low >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).reshape(-1, COORDINATES)
+    # an empty coordinate takes the next full one, beyond the last the first again
+    at = np.where(full, np.arange(COORDINATES), 2 * COORDINATES)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+    at = np.minimum(at, at[:, :1] + COORDINATES)
+    away = (at - np.arange(COORDINATES)).astype(np.uint64)
+    return ((np.take_along_axis(low, at % COORDINATES, 1) + away * _STEP) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, owner) sorted by owner and value, each value once for an owner. Owners come in order."""
+    by = np.lexsort((values, owner))
+    values, owner = values[by], owner[by]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], owner[new]
 
 
 def set_name(unique: np.ndarray) -> bytes:
@@ -258,7 +275,7 @@ def verified_links(buckets: DataFrame, nodes: DataFrame, elements_of: Callable[[
     return grouped(likely.hint("merge").join(elements, "node")).mapInArrow(lambda b: _verified(b, threshold), "node binary, other binary, links long")
 
 
-def semi(docs: DataFrame, names: DataFrame, on: list[str], row_bytes: int) -> DataFrame:
-    """docs whose key is in names: sent to every executor if counted to be small, else by a shuffle."""
+def semi(docs: DataFrame, names: DataFrame, on: list[str], row_bytes: int = 128) -> DataFrame:
+    """docs whose key is in names: sent to every executor if counted to be small, else by a shuffle. row_bytes: what a key of two numbers takes in a hashed relation, its row and its place in the map, rounded up."""
     small = names.count() * row_bytes <= _BROADCAST_BYTES
-    return docs.join(F.broadcast(names) if small else names, on, "left_semi")
+    return docs.join(F.broadcast(names) if small else names.hint("merge"), on, "left_semi")

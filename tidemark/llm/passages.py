@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import components
 
 from .common import WordHashes, fold_words, materialize, mix, shingles, texts
-from .near_sets import COORDINATES, crowded, semi, set_name, sketch, verified_links
+from .near_sets import COORDINATES, crowded, distinct, semi, set_name, sketches, verified_links
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _REACH = 23
@@ -29,15 +29,22 @@ def tune_bands(threshold: float, recall: float, coordinates: int = COORDINATES)
     return best
 
 
-def lines_of(parts: list[list[bytes]], h: np.ndarray, least: int, words: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first word, number of words, set of shingles) of each line of at least `least` words."""
+def lines_of(parts: list[list[bytes]], least: int) -> Iterator[tuple[int, int]]:
+    """(first word, number of words) of each line of at least `least` words."""
     at = 0
     for p in parts:
         if len(p) >= least:
-            yield at, len(p), np.unique(h[at : at + len(p) - words + 1])
+            yield at, len(p)
         at += len(p)
 
 
+def line_sets(shingled: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, where each set begins) of the distinct shingles of lines, sorted."""
+    owner = np.repeat(np.arange(len(shingled)), [len(x) for x in shingled])
+    elements, owner = distinct(np.concatenate(shingled), owner)
+    return elements, np.searchsorted(owner, np.arange(len(shingled) + 1))
+
+
 def windows_of(h: np.ndarray, n: int, least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first words, two hashes) of windows of `least` words. A window begins where a shingle's hash is the smallest of _REACH shingles in a row, so two equal passages of least + _REACH - 1 words have an equal window, wherever they stand."""
     low = np.lib.stride_tricks.sliding_window_view(h, min(_REACH, len(h)))
@@ -50,11 +57,11 @@ def windows_of(h: np.ndarray, n: int, least: int, words: int) -> tuple[np.ndarra
 
 
 def _banded(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band, of coordinates spread over the sketch."""
+    """A key for each band of each sketch, of coordinates spread over it."""
     at = np.arange(bands * rows) * (COORDINATES // (bands * rows))
-    m, key = mins[at].astype(np.uint64).reshape(rows, bands), np.arange(1, bands + 1, dtype=np.uint64)
+    m, key = mins[:, at].astype(np.uint64).reshape(-1, rows, bands), np.arange(1, bands + 1, dtype=np.uint64)[None, :]
     for j in range(rows):
-        key = mix(key * _STEP + m[j])
+        key = mix(key * _STEP + m[:, j])
     return key
 
 
@@ -69,8 +76,17 @@ def _paragraphs(docs: DataFrame, least: int, words: int, bands: int, rows: int)
     def batch(lines: list[tuple], windows: list[tuple]) -> pa.RecordBatch:
         cols: list[list[pa.Array]] = [[] for _ in _FIELDS]
         if lines:
-            for col, f, values in zip(cols, _FIELDS, zip(*lines, strict=True), strict=True):
-                col.append(pa.array(values, f[1]))
+            elements, starts = line_sets([x[4] for x in lines])
+            mins = sketches(elements, starts[:-1])
+            keys = _banded(mins, bands, rows).view(np.int64)
+            short = mins[:, ::4].astype(np.uint8)
+            given = {
+                **{c: pa.array([x[k] for x in lines], pa.int64()) for k, c in enumerate(("doc_id", "row_hash", "start", "words"))}, "kind": pa.array(np.zeros(len(lines), np.int32)),
+                "node": pa.array([set_name(elements[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary()), "n": pa.array(np.diff(starts)),
+                "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * bands, pa.int32()), pa.array(keys.ravel())), "mins": pa.array([x.tobytes() for x in short], pa.binary()),
+            }
+            for col, (name, kind) in zip(cols, _FIELDS, strict=True):
+                col.append(given[name] if name in given else pa.nulls(len(lines), kind))
         if windows:
             many = np.array([len(w[2]) for w in windows])
             total = int(many.sum())
@@ -92,12 +108,12 @@ def _paragraphs(docs: DataFrame, least: int, words: int, bands: int, rows: int)
                 if len(flat) < least:
                     continue
                 h = shingles(hashes.of(flat), words)
-                for start, count, unique in lines_of(parts, h, least, words):
-                    mins = sketch(unique)
-                    lines.append((doc_id, row_hash, 0, start, count, None, None, set_name(unique), len(unique), _banded(mins, bands, rows).view(np.int64), mins[::4].astype(np.uint8).tobytes()))
+                for start, count in lines_of(parts, least):
+                    lines.append((doc_id, row_hash, start, count, h[start : start + count - words + 1]))
+                    held += count // 4
                 windows.append((doc_id, row_hash, *windows_of(h, len(flat), least, words)))
                 held += len(windows[-1][2])
-                if held + 8 * len(lines) >= _FLUSH:
+                if held >= _FLUSH:
                     yield batch(lines, windows)
                     lines, windows, held = [], [], 0
         if lines or windows:
@@ -113,18 +129,18 @@ def _elements(docs: DataFrame, least: int, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            nodes, sets = [], []
-            for text in texts(b.column(0)):
+            lines, held = [], 0
+            for k, text in enumerate(texts(b.column(0))):
                 parts = [fold_words(line) for line in (text or b"").split(b"\n")]
                 h = shingles(hashes.of([w for p in parts for w in p]), words)
-                for _, _, unique in lines_of(parts, h, least, words):
-                    nodes.append(set_name(unique))
-                    sets.append(np.sort(unique.view(np.int64)))
-                if len(nodes) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
-                    nodes, sets = [], []
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                lines += [h[start : start + count - words + 1] for start, count in lines_of(parts, least)]
+                held += len(h)
+                if lines and (held > _FLUSH or k == b.num_rows - 1):
+                    elements, starts = line_sets(lines)
+                    spans = list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+                    sets = [np.sort(elements[a:b].view(np.int64)) for a, b in spans]
+                    yield pa.RecordBatch.from_arrays([pa.array([set_name(elements[a:b]) for a, b in spans], pa.binary()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                    lines, held = [], 0
 
     return docs.select("text").mapInArrow(work, "node binary, elements array<long>")
 
@@ -161,7 +177,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         names = materialize(names, "names")
         picked = nodes.hint("merge").join(names, "node").select(F.coalesce("pick.doc_id", F.lit(0)).alias("k"), "pick.row_hash").distinct()
         keyed = source.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash", "text")
-        few = semi(keyed, materialize(picked, "picked"), ["k", "row_hash"], 32)
+        few = semi(keyed, materialize(picked, "picked"), ["k", "row_hash"])
         return _elements(few, least, words).hint("merge").join(names, "node", "left_semi").dropDuplicates(["node"])
 
     links = materialize(verified_links(buckets, nodes.select("node", "n", "copies", "mins"), elements_of, threshold), "line-links")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import components
 
 from .common import WordHashes, fold_words, materialize, mix, shingles, texts
-from .near_sets import BLOCK, COORDINATES, crowded, semi, set_name, sketch, verified_links
+from .near_sets import BLOCK, COORDINATES, crowded, distinct, semi, set_name, sketches, verified_links
 
 _ODD = np.uint64(0xD1342543DE82EF95)
 
@@ -31,22 +31,36 @@ def runs_for(threshold: float, depth: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
 
 
+def _sets_of(values: list[bytes | None], words: int, at_once: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, places of the sets that are not empty, elements, where each set begins) for runs of texts of about at_once shingles: sorted sets of word shingles."""
+    hashes, first, parts, size = WordHashes(), 0, [], 0
+    for k, text in enumerate(values):
+        parts.append(shingles(hashes.of(fold_words(text or b"")), words))
+        size += len(parts[-1])
+        if size >= at_once or k == len(values) - 1:
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            elements, owner = distinct(np.concatenate(parts), owner)
+            starts = np.searchsorted(owner, np.arange(len(parts) + 1))
+            yield first, np.append(np.flatnonzero(np.diff(starts)), len(parts)), elements, starts
+            first, parts, size = k + 1, [], 0
+
+
 def named_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(doc_id, row_hash, node, n, mins): each document's set of word shingles by name, its size and its sketch (null for a set of none)."""
     schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("mins", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            out = []
-            for text in texts(b.column(2)):
-                unique = np.unique(shingles(hashes.of(fold_words(text or b"")), words))
-                if len(unique):
-                    out.append((set_name(unique), len(unique), sketch(unique).tobytes()))
-                else:
-                    out.append((xxhash.xxh3_128_digest(b"text:" + (text or b"")), 0, None))
-            node, n, mins = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(mins, pa.binary())], schema=schema)
+            for first, own, values, starts in _sets_of(texts(b.column(2)), words):
+                mins = iter(sketches(values, starts[own[:-1]]) if len(values) else [])
+                node, n, kept = [], [], []
+                for k, text in enumerate(texts(b.column(2).slice(first, len(starts) - 1))):
+                    unique = values[starts[k] : starts[k + 1]]
+                    node.append(set_name(unique) if len(unique) else xxhash.xxh3_128_digest(b"text:" + (text or b"")))
+                    n.append(len(unique))
+                    kept.append(next(mins).tobytes() if len(unique) else None)
+                part = b.slice(first, len(node))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     return rows.mapInArrow(work, "doc_id long, row_hash long, node binary, n long, mins binary")
@@ -141,7 +155,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def elements_of(names: DataFrame) -> DataFrame:
         picked = materialize(nodes.hint("merge").join(names, "node").select("pick.doc_id", "pick.row_hash"), "picked").distinct()
         keyed = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64("text").alias("row_hash"), "text")
-        few = semi(keyed, picked.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash").distinct(), ["k", "row_hash"], 32)
+        few = semi(keyed, picked.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash").distinct(), ["k", "row_hash"])
         return _elements(few, words).dropDuplicates(["node"])
 
     # the low byte of each coordinate is enough to tell whether a pair is worth its exact comparison
@@ -163,9 +177,10 @@ def low_bytes(nodes: DataFrame) -> DataFrame:
 
 def labelled(sets: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Class, copies and links of each row of sets."""
-    roots = components(links.select("node", "other"))
-    ids = roots.hint("merge").join(nodes.select("node", "copy_id"), "node")
-    class_of = ids.hint("merge").join(ids.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("node", "class_id")
+    # nodes in order of their smallest id, so that the smallest node of a component names its class and no class is gathered
+    named = lambda c: nodes.select(F.col("node").alias(c), F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "node").alias(f"{c}_named"))
+    edges = links.select("node", "other").filter("node <> other").distinct().hint("merge").join(named("node"), "node").hint("merge").join(named("other"), "other")
+    class_of = components(edges.select(F.col("node_named").alias("node"), F.col("other_named").alias("other"))).select("node.node", F.col("root.copy_id").alias("class_id"))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     labels = (
         nodes.hint("merge").join(class_of, "node", "left").hint("merge").join(counted, "node", "left")
