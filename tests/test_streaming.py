@@ -1,10 +1,11 @@
 import datetime as dt
+import shutil
 
 from pyspark.sql import functions as F
 
 from tests.test_history import SNAP, at, row
 from tidemark.operators import history
-from tidemark.streaming.changes import article_batches, entity_changes, poll_batches, signals
+from tidemark.streaming.changes import VersionedTable, article_batches, entity_changes, poll_batches, signals
 
 
 def write_polls(spark, path, polls):
@@ -22,31 +23,38 @@ def test_entity_changes(spark, tmp_path):
 
 
 def test_poll_batches(spark, tmp_path):
-    """Folding polls in batches gives what the replay of all of them gives."""
+    """Folding polls in batches gives what the replay of all of them gives; a batch that comes again changes nothing, also after a failure between message and state."""
     rows = [row(1, "1"), row(1, "2"), row(2, "1", "x"), row(3, "1", "x"), row(3, "2")]
     s = spark.createDataFrame(rows, SNAP)
     p = s.select("source_key", "poll_at").distinct().withColumn("ok", F.lit(True))
-    held = {"state": history.final_state(s.limit(0), p), "out": []}
-    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
-    run = poll_batches(lambda: held["state"], lambda df: held.update(state=keep(df)), lambda m: held["out"].extend(m.collect()), lambda b: b.select("source_key", "poll_at").distinct().withColumn("ok", F.lit(True)))
+    state, outbox = VersionedTable(spark, str(tmp_path / "state")), VersionedTable(spark, str(tmp_path / "outbox"))
+    run = poll_batches(state, outbox, lambda b: b.select("source_key", "poll_at").distinct().withColumn("ok", F.lit(True)), history.final_state(s.limit(0), p))
     write_polls(spark, tmp_path / "in", [[r for r in rows if r[1] == at(k)] for k in (1, 2, 3)])
     stream = spark.readStream.schema(s.schema).parquet(str(tmp_path / "in/*"))
     stream.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    assert [(m.observed_at, list(m.new), list(m.updated), list(m.closed)) for m in held["out"]] == [(at(1), ["1", "2"], [], []), (at(2), [], ["1"], ["2"]), (at(3), [], ["2"], [])]
-    assert {r.external_id: r.is_active for r in held["state"].collect()} == {"1": True, "2": True}
+    want = [(at(1), ["1", "2"], [], []), (at(2), [], ["1"], ["2"]), (at(3), [], ["2"], [])]
+    told = lambda: [(m.observed_at, list(m.new), list(m.updated), list(m.closed)) for m in outbox.all().orderBy("version").collect()]
+    assert told() == want
+    assert {r.external_id: r.is_active for r in state.read().collect()} == {"1": True, "2": True}
+    shutil.rmtree(tmp_path / "state" / f"version={state.versions()[-1]}")
+    run(s, 0)
+    assert told() == want and {r.external_id: r.is_active for r in state.read().collect()} == {"1": True, "2": True}
     run(s.filter(F.col("poll_at") == F.lit(at(3))), 9)
-    assert len(held["out"]) == 3  # nothing changed, no message
+    assert told() == want  # nothing changed, no message
 
 
-def test_article_batches(spark):
+def test_article_batches(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     schema = "id long, source_id int, guid string, url string, title string, summary string, category string, published timestamp, fetched_at timestamp, image_url string, cluster_id long"
     art = lambda i, title: (i, i, f"g{i}", f"u{i}", title, "", "news", t, t, None, None)
-    held = {"rows": spark.createDataFrame([art(1, "Warehouse blaze on Amnicola Highway")] + [art(50 + k, f"filler{k} words{k}") for k in range(8)], schema), "signals": []}
-    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
-    run = article_batches(lambda: held["rows"], lambda df: held.update(rows=keep(df)), lambda s: held["signals"].extend(s.collect()), lambda: dt.datetime(2024, 1, 2))
-    run(spark.createDataFrame([art(2, "Crews battle warehouse blaze on Amnicola Highway")], schema), 3)
-    got = {r.id: r.cluster_id for r in held["rows"].collect()}
-    assert got[1] == got[2] == 1 and len(got) == 10 and held["signals"][0].stories == 9 and held["signals"][0].cycle == 3
+    stored, outbox = VersionedTable(spark, str(tmp_path / "articles")), VersionedTable(spark, str(tmp_path / "signals"))
+    stored.save(spark.createDataFrame([art(1, "Warehouse blaze on Amnicola Highway")] + [art(50 + k, f"filler{k} words{k}") for k in range(8)], schema), -1)
+    run = article_batches(stored, outbox, lambda: F.lit(dt.datetime(2024, 1, 2)))
+    batch = spark.createDataFrame([art(2, "Crews battle warehouse blaze on Amnicola Highway")], schema)
+    for _ in range(2):
+        run(batch, 3)
+    got = {r.id: r.cluster_id for r in stored.read().collect()}
+    (s,) = outbox.all().collect()
+    assert got[1] == got[2] == 1 and len(got) == 10 and s.stories == 9 and s.cycle == 3
     s = spark.createDataFrame([(1, True), (2, False)], "created int, changed boolean")
     assert [r.created for r in signals(s).collect()] == [1]

@@ -174,31 +174,33 @@ def fuzzy_pairs(listings: DataFrame) -> DataFrame:
     return met.filter(other & located_match("_x", "_y") & titles).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def known_events(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
-    """(seq, event_id, tier) of raws a stored event already lists: tier 1 by source listing (its id, else its URL) on the same UTC day, tier 2 by canonical key."""
-    day = lambda c: F.to_date(c)
-    e = events.select(F.col("id").alias("event_id"), day(F.col("starts_at")).alias("day"), "canonical_key")
-    l = links.join(e, "event_id").select("event_id", "source_name", F.col("source_url").alias("u"), F.col("source_event_id").alias("i"), "day")
-    r = raws.select("seq", "source_name", "source_url", "source_event_id", day(F.col("start_time")).alias("day"), canonical_key(F.col("title"), F.col("start_time")).alias("canonical_key"))
+def _by_listing(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
+    """(seq, key, event_id, canonical_key) of raws and the stored events that have their source listing (its id, else its URL) on the same UTC day."""
+    e = events.select(F.col("id").alias("event_id"), F.to_date("starts_at").alias("day"), "canonical_key")
+    l = links.join(e, "event_id").select("event_id", "canonical_key", "source_name", F.col("source_url").alias("u"), F.col("source_event_id").alias("i"), "day")
+    r = raws.select("seq", "source_name", "source_url", "source_event_id", F.to_date("start_time").alias("day"), canonical_key(F.col("title"), F.col("start_time")).alias("key"))
     has = F.col("source_event_id").isNotNull() & (F.col("source_event_id") != "")
-    by_id = r.filter(has).join(l, (r.source_name == l.source_name) & (r.source_event_id == l.i) & (r.day == l.day)).select("seq", "event_id")
-    by_url = r.filter(~has).join(l, (r.source_name == l.source_name) & (r.source_url == l.u) & (r.day == l.day)).select("seq", "event_id")
-    one = by_id.union(by_url).groupBy("seq").agg(F.min("event_id").alias("event_id")).withColumn("tier", F.lit(1))
-    two = r.join(one, "seq", "left_anti").join(e, "canonical_key").groupBy("seq").agg(F.min("event_id").alias("event_id")).withColumn("tier", F.lit(2))
+    met = lambda some, own, theirs: some.join(l, (r.source_name == l.source_name) & (r[own] == l[theirs]) & (r.day == l.day)).select("seq", "key", "event_id", "canonical_key")
+    return met(r.filter(has), "source_event_id", "i").unionByName(met(r.filter(~has), "source_url", "u"))
+
+
+def known_events(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
+    """(seq, event_id, tier) of raws a stored event already lists: tier 1 by source listing on the same UTC day, tier 2 by canonical key."""
+    one = _by_listing(raws, events, links).groupBy("seq").agg(F.min("event_id").alias("event_id")).withColumn("tier", F.lit(1))
+    keys = raws.select("seq", canonical_key(F.col("title"), F.col("start_time")).alias("canonical_key"))
+    two = keys.join(one, "seq", "left_anti").join(events.select(F.col("id").alias("event_id"), "canonical_key"), "canonical_key").groupBy("seq").agg(F.min("event_id").alias("event_id")).withColumn("tier", F.lit(2))
     return one.unionByName(two)
 
 
 def drifted_keys(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFrame:
     """(event_id, canonical_key, new_key, seq): what the key of a stored event becomes when its own listing comes back under another title or hour.
 
-    Of the raws that tier 1 gives to an event, the first one (by seq) whose key differs and is no stored event's names the
-    new key. Where several events would take one key, the first raw's event gets it and the others keep theirs.
+    Of the raws that tier 1 gives to an event (the first one where several have the listing), the first by (seq, key) whose key
+    is no stored event's names the new key. Where several events would take one key, the first raw's event gets it and the
+    others keep theirs.
     """
-    own = known_events(raws, events, links).filter("tier = 1").select("seq", "event_id")
-    keys = raws.select("seq", canonical_key(F.col("title"), F.col("start_time")).alias("new_key"))
-    stored_keys = events.select(F.col("id").alias("event_id"), "canonical_key")
-    moved = own.join(keys, "seq").join(stored_keys, "event_id").filter("new_key <> canonical_key")
-    free = moved.join(events.select(F.col("canonical_key").alias("new_key")), "new_key", "left_anti")
+    own = _by_listing(raws, events, links).groupBy("seq", "key").agg(F.min(F.struct("event_id", "canonical_key")).alias("e")).select("seq", F.col("key").alias("new_key"), "e.*")
+    free = own.join(events.select(F.col("canonical_key").alias("new_key")), "new_key", "left_anti")
     firsts = free.groupBy("event_id", "canonical_key").agg(F.min(F.struct("seq", "new_key")).alias("f")).select("event_id", "canonical_key", "f.seq", "f.new_key")
     return firsts.groupBy("new_key").agg(F.min(F.struct("seq", "event_id", "canonical_key")).alias("w")).select("w.event_id", "w.canonical_key", "new_key", "w.seq")
 

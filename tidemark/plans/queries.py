@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo, text, timeutil
 from tidemark.operators import history, listings, places, stories, weather
+from tidemark.plans import landed
 from tidemark.plans.bindings import ARTICLES, RAW_EVENTS, READINGS, SNAPSHOTS, articles, polls, raw_events, read, readings, snapshots
+from tidemark.tables import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(landed.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(landed.ORACLE_SQL)
+SPANS = landed.SPANS
 
 #: A place, a time and a box of the bindings.
 CENTER = (35.0456, -85.3097)
@@ -101,10 +104,9 @@ FROM old o FULL JOIN snap s ON o.source_key = s.source_key AND o.external_id = s
 def h04(spark, sf):
     s = snapshots(spark, sf)
     p = polls(s)
-    last = s.agg(F.max("poll_at").alias("last"))
-    before, at = s.join(F.broadcast(last), F.col("poll_at") < F.col("last")).drop("last"), s.join(F.broadcast(last), F.col("poll_at") == F.col("last")).drop("last")
-    state = history.final_state(before, p.join(F.broadcast(last), F.col("poll_at") < F.col("last")).drop("last"))
-    out = history.reconcile(state, at, p.join(F.broadcast(last), F.col("poll_at") == F.col("last")).drop("last"))
+    last = F.lit(s.agg(F.max("poll_at")).first()[0])
+    state = history.final_state(s.filter(F.col("poll_at") < last), p.filter(F.col("poll_at") < last))
+    out = history.reconcile(state, s.filter(F.col("poll_at") == last), p.filter(F.col("poll_at") == last))
     return out.select("source_key", "external_id", "change", "status", "is_active")
 
 
@@ -219,17 +221,18 @@ def h20(spark, sf):
 
 @query("s16_append_history", f"WITH {SNAPSHOTS} SELECT source_key, strftime(make_timestamp(observed_at * 1000000), '%Y-%m-%d') AS observed_date, count(*) AS observations FROM changes GROUP BY 1, 2")
 def s16(spark, sf):
-    path = _new_path(spark, "history")
+    path = new_path(spark, "history")
     history.append_observations(_log(spark, sf), path)
     back = spark.read.parquet(path)
     return back.groupBy("source_key", F.date_format("observed_date", "yyyy-MM-dd").alias("observed_date")).agg(F.count(F.lit(1)).alias("observations"))
 
 
-@query("s17_keyed_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, o_custkey AS customer FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'new', -1 FROM orders WHERE o_orderkey % 6 = 3")
+@query("s17_keyed_upsert", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, o_custkey AS customer FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 1 UNION ALL SELECT o_orderkey, 'new', -1 FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 <> 1")
 def s17(spark, sf):
     o = read(spark, sf, "orders")
-    stored = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
-    rows = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("status"), F.lit(-1).cast("long").alias("customer"))
+    # each order is stored, in the batch, or both
+    stored = o.filter("o_orderkey % 2 = 0 OR o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+    rows = o.filter("o_orderkey % 3 = 0 OR (o_orderkey % 2 = 1 AND o_orderkey % 3 <> 1)").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("status"), F.lit(-1).cast("long").alias("customer"))
     return history.upsert(stored, rows, ["id"], ["status"])
 
 
@@ -423,13 +426,13 @@ def n12(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.array_join(text.keyword_keys(F.col("text"), listings.TOPICS), " ").alias("topics"))
 
 
-@query("n13_upsert_articles", f"""WITH {ARTICLES}, old AS (SELECT source_id, guid, id, 'old' AS category, published FROM (SELECT *, row_number() OVER (PARTITION BY source_id, guid ORDER BY id) AS rn FROM arts WHERE id % 2 = 0) WHERE rn = 1),
-new AS (SELECT source_id, guid, id, 'new' AS category, least(published, fetched_at) AS published FROM (SELECT *, row_number() OVER (PARTITION BY source_id, guid ORDER BY id) AS rn FROM arts WHERE id % 3 = 0) WHERE rn = 1)
+@query("n13_upsert_articles", f"""WITH {ARTICLES}, old AS (SELECT source_id, guid, id, 'old' AS category, published FROM (SELECT *, row_number() OVER (PARTITION BY source_id, guid ORDER BY id) AS rn FROM arts WHERE id % 2 = 0 OR id % 3 = 1) WHERE rn = 1),
+new AS (SELECT source_id, guid, id, 'new' AS category, least(published, fetched_at) AS published FROM (SELECT *, row_number() OVER (PARTITION BY source_id, guid ORDER BY id) AS rn FROM arts WHERE id % 3 = 0 OR (id % 2 = 1 AND id % 3 <> 1)) WHERE rn = 1)
 SELECT coalesce(o.source_id, n.source_id) AS source_id, coalesce(o.guid, n.guid) AS guid, coalesce(o.id, n.id) AS id, coalesce(n.category, o.category) AS category, coalesce(o.published, n.published) AS published FROM old o FULL JOIN new n ON o.source_id = n.source_id AND o.guid = n.guid""")
 def n13(spark, sf):
     a = articles(spark, sf).select("source_id", "guid", "id", "published", "fetched_at")
-    stored = stories.first_of_batch(a.filter("id % 2 = 0"), ["source_id", "guid"], ["id"]).withColumn("category", F.lit("old"))
-    out = stories.upsert_articles(stored, a.filter("id % 3 = 0").withColumn("category", F.lit("new")), ["id"])
+    stored = stories.first_of_batch(a.filter("id % 2 = 0 OR id % 3 = 1"), ["source_id", "guid"], ["id"]).withColumn("category", F.lit("old"))
+    out = stories.upsert_articles(stored, a.filter("id % 3 = 0 OR (id % 2 = 1 AND id % 3 <> 1)").withColumn("category", F.lit("new")), ["id"])
     return out.select("source_id", "guid", "id", "category", seconds("published").alias("published"))
 
 
@@ -516,16 +519,16 @@ def e02(spark, sf):
     return r.groupBy("canonical_key").agg(F.count(F.lit(1)).alias("listings"))
 
 
-@query("e03_token_equality", f"""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part), pairs AS (SELECT a.t AS a, b.t AS b FROM w a JOIN w b ON a.t[1] = b.t[1])
+@query("e03_token_equality", f"""WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS t FROM part), w AS (SELECT t FROM v UNION SELECT t || 's' FROM v UNION SELECT substring(t, 2) FROM v WHERE length(t) > 1), pairs AS (SELECT a.t AS a, b.t AS b FROM w a, w b)
 SELECT a, b FROM pairs WHERE a = b OR (least(length(a), length(b)) >= 5 AND levenshtein(a, b) <= 1)""")
 def e03(spark, sf):
-    w = read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("t")).distinct()
-    a, b = w.select(F.col("t").alias("a")), w.select(F.col("t").alias("b"))
-    return a.join(b, F.left("a", F.lit(1)) == F.left("b", F.lit(1))).filter(text.token_equal(F.col("a"), F.col("b")))
+    v = read(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("t")).distinct()
+    w = v.select(F.explode(F.array("t", F.concat("t", F.lit("s")), F.when(F.length("t") > 1, F.substring("t", 2, 1 << 30)))).alias("word")).filter("word IS NOT NULL").distinct()
+    return listings.near_words(w).select(F.col("word").alias("a"), F.col("near").alias("b"))
 
 
 def _titles_at(spark, sf):
-    """Titles of order lines of one supplier group: distinct (title, start)."""
+    """The order lines as listings, those of equal title, start and venue once."""
     r = raw_events(spark, sf)
     return r.groupBy("title", "start_time", "venue_name").agg(F.min("seq").alias("id"), F.max("latitude").alias("latitude"), F.max("longitude").alias("longitude")).withColumn("address", F.lit(None).cast("string"))
 
@@ -559,6 +562,22 @@ def e06(spark, sf):
     return listings.known_events(raw_events(spark, sf).filter("floor(seq / 10) % 2 = 1"), events, links)
 
 
+@query("e07_drifted_keys", f"""WITH {RAW_EVENTS}, k AS (SELECT *, {_CKEY} AS ck FROM raws), ev AS (SELECT ck, min(seq) AS id FROM k WHERE (seq // 10) % 2 = 0 GROUP BY ck), li AS (SELECT DISTINCT k.source_name, k.source_url, k.source_event_id, k.seq AS event_id, ev.ck AS canonical_key, e.start_time // 86400 AS day
+  FROM k JOIN ev ON ev.id = k.seq JOIN (SELECT ck, arg_min(start_time, seq) AS start_time FROM k WHERE (seq // 10) % 2 = 0 GROUP BY ck) e ON e.ck = ev.ck),
+again AS (SELECT seq, source_name, source_url, source_event_id, title || CASE seq % 3 WHEN 0 THEN ' again' WHEN 1 THEN ' revisited' ELSE '' END AS title, start_time FROM raws),
+r AS (SELECT *, start_time // 86400 AS day, {_CKEY} AS ck FROM again),
+one AS (SELECT seq, ck, min((event_id, canonical_key)) AS e FROM (SELECT r.seq, r.ck, li.event_id, li.canonical_key FROM r JOIN li ON r.source_name = li.source_name AND r.source_event_id = li.source_event_id AND r.day = li.day UNION ALL SELECT r.seq, r.ck, li.event_id, li.canonical_key FROM r JOIN li ON r.source_event_id IS NULL AND r.source_name = li.source_name AND r.source_url = li.source_url AND r.day = li.day) GROUP BY seq, ck),
+free AS (SELECT seq, ck AS new_key, e[1] AS event_id, e[2] AS canonical_key FROM one WHERE ck NOT IN (SELECT ck FROM ev)),
+own AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY event_id, canonical_key ORDER BY seq, new_key) = 1)
+SELECT event_id, canonical_key, new_key, seq FROM own QUALIFY row_number() OVER (PARTITION BY new_key ORDER BY seq, event_id, canonical_key) = 1""")
+def e07(spark, sf):
+    """All order lines come again, two of three under a longer title."""
+    events, links = _stored(spark, sf)
+    n = F.col("seq") % 3
+    again = raw_events(spark, sf).withColumn("title", F.concat("title", F.when(n == 0, " again").when(n == 1, " revisited").otherwise("")))
+    return listings.drifted_keys(again, events, links)
+
+
 @query("e09_upsert", None)
 def e09(spark, sf):
     out = listings.upsert_raw_events(raw_events(spark, sf), 100, CENTER)
@@ -631,25 +650,22 @@ def e20(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", text.join_parts(F.concat(F.lit("  "), "s_name", F.lit(" ")), F.when(k % 2 == 0, "  ").otherwise("TN"), F.lit(None).cast("string")).alias("address"))
 
 
-@query("e21_resolve_year", """WITH c AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)), y AS (SELECT *, unnest([2025, 2026, 2027]) AS yr FROM c), x AS (SELECT o_orderkey, make_date(yr, m, d) AS dt FROM y)
-SELECT o_orderkey, strftime(arg_min(dt, abs(date_diff('day', DATE '2026-07-20', dt)) * 10 + year(dt) - 2020), '%Y-%m-%d') AS resolved FROM x GROUP BY o_orderkey""")
+@query("e21_resolve_year", f"WITH {SPANS} SELECT o_orderkey, strftime(dt, '%Y-%m-%d') AS resolved FROM orders LEFT JOIN x ON k = o_orderkey")
 def e21(spark, sf):
-    o = read(spark, sf, "orders").filter("NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
     d = timeutil.resolve_year(F.month("o_orderdate"), F.dayofmonth("o_orderdate"), F.lit("2026-07-20").cast("date"))
-    return o.select("o_orderkey", F.date_format(d, "yyyy-MM-dd").alias("resolved"))
+    return read(spark, sf, "orders").select("o_orderkey", F.date_format(d, "yyyy-MM-dd").alias("resolved"))
 
 
-@query("e22_occurrences", """WITH o AS (SELECT o_orderkey, 1 + o_orderkey % 11 AS h FROM orders WHERE month(o_orderdate) BETWEEN 8 AND 10 AND day(o_orderdate) <= 28), t AS (SELECT o.*, make_date(2026, month(q.o_orderdate), day(q.o_orderdate)) AS dt FROM o JOIN orders q USING (o_orderkey))
-SELECT o_orderkey, CAST(epoch(dt) AS BIGINT) + (h + 4) * 3600 AS start_at, CAST(epoch(dt) AS BIGINT) + (h + 16) * 3600 + 1800 AS end_at FROM t""")
+@query("e22_occurrences", f"WITH {SPANS} SELECT o_orderkey, start_at, end_at FROM orders LEFT JOIN (SELECT * FROM t WHERE end_at >= CAST(epoch(TIMESTAMP '2026-07-20 12:00:00') AS BIGINT)) ON k = o_orderkey")
 def e22(spark, sf):
-    o = read(spark, sf, "orders").filter("month(o_orderdate) BETWEEN 8 AND 10 AND day(o_orderdate) <= 28")
     h = (F.col("o_orderkey") % 11 + 1).cast("string")
     span = F.concat(F.date_format("o_orderdate", "MMMM d"), F.lit(" | "), h, F.lit(" AM - "), h, F.lit(":30 p.m."))
-    o = o.withColumn("w", timeutil.occurrence(span, F.lit("2026-07-20 12:00:00").cast("timestamp")))
+    o = read(spark, sf, "orders").withColumn("w", timeutil.occurrence(span, F.lit("2026-07-20 12:00:00").cast("timestamp")))
     return o.select("o_orderkey", F.unix_seconds("w.start").alias("start_at"), F.unix_seconds("w.end").alias("end_at"))
 
 
-@query("e23_digest", None)
+@query("e23_digest", f"""WITH {RAW_EVENTS}, near AS (SELECT seq AS id, title, start_time AS starts_at FROM raws WHERE start_time >= epoch(TIMESTAMP '1997-01-01') AND {_RAW_MILES} <= 35 ORDER BY start_time, seq LIMIT 10)
+SELECT * FROM near WHERE starts_at - 5 * 3600 >= epoch(TIMESTAMP '1996-12-31') AND starts_at - 5 * 3600 < epoch(TIMESTAMP '1997-01-01')""")
 def e23(spark, sf):
     e = raw_events(spark, sf).select(F.col("seq").alias("id"), "title", F.col("start_time").alias("starts_at"), F.col("end_time").alias("ends_at"), "latitude", "longitude", "tags")
     return listings.digest(e, F.lit("1997-01-01").cast("timestamp"), CENTER).select("id", "title", seconds("starts_at").alias("starts_at"))
@@ -657,7 +673,7 @@ def e23(spark, sf):
 
 @query("e24_refresh_summary", None)
 def e24(spark, sf):
-    up = listings.upsert_raw_events(raw_events(spark, sf), 100, CENTER)
+    up = materialize(listings.upsert_raw_events(raw_events(spark, sf), 100, CENTER), "upserted")
     events = up.filter("outcome = 'created'").select("id", "title", "starts_at", "ends_at", "description", "venue_name", "address", "latitude", "longitude", "image_url", "tags", "links")
     return listings.refresh_summary(up, listings.reconcile_events(events, F.lit("1990-01-01").cast("timestamp")))
 
@@ -773,18 +789,6 @@ def t05(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", text.redact(t, ["top/secret", "short"]).alias("masked"))
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getCheckpointDir()
-    if base is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of each source: new, updated and closed."""
     log = _log(spark, sf)

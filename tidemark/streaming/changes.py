@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.history import KEY, change_messages, merged_state, reconcile, with_fingerprint
+from tidemark.tables import materialize
 
 _STATE = "status string, fingerprint string, poll_at timestamp"
 _OUT = "source_key string, external_id string, observed_at timestamp, change string, status string, fingerprint string"
@@ -38,33 +39,76 @@ def entity_changes(snapshots: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def poll_batches(state: Callable[[], DataFrame], save: Callable[[DataFrame], None], emit: Callable[[DataFrame], None], polls: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each poll of a batch is reconciled with the stored state in order of time, the changes are emitted as messages (none where nothing changed), and the new state is saved. Absence from a complete poll closes, never a timeout."""
+class VersionedTable:
+    """A table whose versions are folders: a reader sees the last one that was written whole, and writing a version again replaces it."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        for (at,) in batch.select("poll_at").distinct().orderBy("poll_at").toLocalIterator():
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def versions(self) -> list[int]:
+        """The versions written whole, in order."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root)]
+        return sorted(int(p.getName().removeprefix("version=")) for p in names if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def read(self) -> DataFrame | None:
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/version={found[-1]}") if found else None
+
+    def all(self) -> DataFrame:
+        """Every version's rows with `version`."""
+        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/version={v}" for v in self.versions()])
+
+    def save(self, rows: DataFrame, version: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+
+
+#: Polls that one batch may bring, as versions are numbered by batch and poll.
+_POLLS = 1 << 20
+
+
+def poll_batches(state: VersionedTable, outbox: VersionedTable, polls: Callable[[DataFrame], DataFrame], empty: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each poll of a batch is reconciled with the stored state in order of time; its changes go to the outbox as messages (none where nothing changed), then the new state is saved under the same version. Absence from a complete poll closes, never a timeout.
+
+    `empty` is a state without rows, to begin with. A batch that comes again after a failure writes the polls that are
+    not saved once more, under the same versions, so no message is lost or doubled.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        done = max(state.versions(), default=-1)
+        times = [r.poll_at for r in batch.select("poll_at").distinct().orderBy("poll_at").toLocalIterator()]
+        for k, at in enumerate(times):
+            version = number * _POLLS + k
+            if version <= done:
+                continue
             part = batch.filter(F.col("poll_at") == F.lit(at))
-            before = state()
-            changes = reconcile(before, part, polls(part)).persist()
-            messages = change_messages(changes.withColumn("observed_at", F.lit(at)))
+            before = state.read()
+            before = empty if before is None else before
+            changes = materialize(reconcile(before, part, polls(part)), "changes")
+            messages = materialize(change_messages(changes.withColumn("observed_at", F.lit(at))), "messages")
             if not messages.isEmpty():
-                emit(messages)
-            save(merged_state(before, changes))
-            changes.unpersist()
+                outbox.save(messages, version)
+            state.save(merged_state(before, changes), version)
 
     return run
 
 
-def article_batches(stored: Callable[[], DataFrame], save: Callable[[DataFrame], None], signal: Callable[[DataFrame], None], now: Callable[[], object]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for articles: upsert, recluster the window, save, and signal each cycle with the number of stories."""
+def article_batches(stored: VersionedTable, outbox: VersionedTable, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for articles: upsert, recluster the window, save, and signal each cycle with the number of stories. A batch that comes again writes its version again."""
     from tidemark.operators.stories import recluster, upsert_articles
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = upsert_articles(stored(), batch, ["url"])
-        clusters = recluster(rows, F.lit(now())).select("id", F.col("cluster_id").alias("__c"))
-        out = rows.join(clusters, "id", "left").withColumn("cluster_id", F.coalesce("__c", "cluster_id")).drop("__c")
-        save(out)
-        signal(clusters.agg(F.count_distinct("__c").alias("stories")).withColumn("cycle", F.lit(number)))
+        if number <= max(stored.versions(), default=-1):
+            return
+        rows = materialize(upsert_articles(stored.read(), batch, ["url"]), "articles")
+        clusters = materialize(recluster(rows, now()).select("id", F.col("cluster_id").alias("__c")), "clusters")
+        out = rows.join(clusters, "id", "left").withColumn("cluster_id", F.coalesce("__c", "cluster_id")).select(*rows.columns)
+        outbox.save(clusters.agg(F.count_distinct("__c").alias("stories")).withColumn("cycle", F.lit(number)), number)
+        stored.save(out, number)
 
     return run
 
