@@ -30,7 +30,68 @@ APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
    See the License for the specific language governing permissions and
    limitations under the License.
 """
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
 NOTICES = [
+    (GPL.replace("version 3", "version 2"), ["Gpl2Redistribute", "GplHope", "GplSee"], "GPL-2.0-or-later"),
+    (GPL.replace("GNU General", "GNU Affero General"), ["AgplRedistribute", "GplHope", "AgplSee"], "AGPL-3.0-or-later"),
+    (GPL.replace("GNU General", "GNU Lesser General"), ["LgplRedistribute", "GplHope", "LgplSee"], "LGPL-3.0-or-later"),
+    (GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1").replace("This program is", "This library is"), ["Lgpl21Redistribute", "LgplHope", "LgplSee"], "LGPL-2.1-or-later"),
+    (BSD2, ["BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiability"], "BSD-2-Clause"),
+    (ISC, ["IscGrant", "IscAsIs", "IscLiability"], "ISC"),
+    (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), ["ZeroBsdGrant", "IscAsIs", "IscLiability"], "0BSD"),
+    (MPL, ["MplHead", "MplCopy"], "MPL-2.0"),
+    (UNLICENSE, ["UnlicenseHead", "UnlicenseGrant"], "Unlicense"),
+    (ZLIB, ["ZlibAsIs", "ZlibGrant"], "Zlib"),
     (GPL, ["GplRedistribute", "GplHope", "GplSee"], "GPL-3.0-or-later"),
     (GPL.replace("This program", "Foobar"), ["GplRedistribute", "GplHope", "GplSee"], "GPL-3.0-or-later"),
     (APACHE, ["ApacheHead", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"], "Apache-2.0"),
@@ -41,6 +102,9 @@ REFERENCES = [
     ("Distributed under GPLv3.", ["GPL-3.0-only"]), ("Distributed under GPLv3+.", ["GPL-3.0-or-later"]), ("This work is licensed under the GNU General Public License, version 3, or later.", ["GPL-3.0-or-later"]), ("# SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later"]),
     ("you may copy it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation, or (at your option) any later version", ["GPL-3.0-or-later"]),
     ("Use is governed by the BSD 3-Clause License", ["BSD-3-Clause"]), ("available under the Simplified BSD license", ["BSD-2-Clause"]), ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    ("SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]), ("SPDX-License-Identifier: LGPL-2.1-or-later", ["LGPL-2.1-or-later"]), ("licensed under the GNU Affero General Public License v3.0", ["AGPL-3.0-only"]), ("Distributed under the Mozilla Public License 2.0", ["MPL-2.0"]),
+    ("This is licensed under the ISC license.", ["ISC"]), ("released under the Unlicense", ["Unlicense"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0"]), ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]), ("SPDX-License-Identifier: CC0-1.0", ["CC0-1.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("available under the zlib license", ["Zlib"]), ("SPDX-License-Identifier: EPL-2.0", ["EPL-2.0"]), ("licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]),
     ("not licensed under the MIT License", []), ("It isn't\nreleased under the MIT License", []), ("published under the MIT Press imprint", []), ("released under the\n\nMIT License", []), ("All rights. Reserved seats", []), ("hot licenses for all", []),
 ]
 

@@ -32,7 +32,9 @@ def test_against_brute_force(spark):
     ]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows(texts), DOCS)).collect()}
     for i, t in texts:
-        if i is not None and i != 707:
+        if i == 707:  # `;` ends no sentence, so the plain split does not see the two it holds
+            assert list(got[i].sentence_ids) == ["ApacheHead", "ApacheComply"] and list(got[i].licenses) == ["Apache-2.0"]
+        elif i is not None:
             assert list(got[i].sentence_ids) == naive(t), i
             hits = matched(naive(t), RULES)
             assert list(got[i].licenses) == list(dict.fromkeys(h[0] for h in hits))

@@ -32,6 +32,25 @@ SENTENCES = {
     "GplRedistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "GplHope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "GplSee": "see the gnu general public license for more details",
+    "BsdAsIs": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "BsdLiability": "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "LgplHope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "LgplSee": "see the gnu lesser general public license for more details",
+    "AgplSee": "see the gnu affero general public license for more details",
+    "MplHead": "this source code form is subject to the terms of the mozilla public license v",
+    "MplCopy": "if a copy of the mpl was not distributed with this file you can obtain one at",
+    "EplHead": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    "EplHead1": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution",
+    "IscGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "ZeroBsdGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "IscAsIs": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "IscLiability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "UnlicenseHead": "this is free and unencumbered software released into the public domain",
+    "UnlicenseGrant": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "BoostGrant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "ZlibAsIs": "this software is provided as is without any express or implied warranty",
+    "ZlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "CcZeroWaiver": "has waived all copyright and related or neighboring rights to this work",
     "CcByNcRef": "licensed under cc by nc 4 0",
     "Reserved": "all rights reserved",
 }
@@ -45,7 +64,9 @@ RULES = [
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs", "MitLiability"]),
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs"]),
     ("MIT", ["MitRef"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs", "BsdLiability"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs", "BsdLiability"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
     ("GPL-3.0-or-later", ["GplRedistribute", "GplHope", "GplSee"]),
     ("GPL-3.0-or-later", ["GplRedistribute"]),
@@ -53,18 +74,84 @@ RULES = [
     ("GPL-3.0-only", ["GplRef"]),
     ("BSD-3-Clause", ["Bsd3Ref"]),
     ("BSD-2-Clause", ["Bsd2Ref"]),
+    ("GPL-2.0-or-later", ["Gpl2Redistribute", "GplHope", "GplSee"]),
+    ("GPL-2.0-or-later", ["Gpl2Redistribute"]),
+    ("GPL-2.0-or-later", ["Gpl2LaterRef"]),
+    ("GPL-2.0-only", ["Gpl2Ref"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Redistribute", "LgplHope", "LgplSee"]),
+    ("LGPL-2.1-or-later", ["Lgpl21Redistribute"]),
+    ("LGPL-2.1-or-later", ["Lgpl21LaterRef"]),
+    ("LGPL-2.1-only", ["Lgpl21Ref"]),
+    ("LGPL-3.0-or-later", ["LgplRedistribute", "GplHope", "LgplSee"]),
+    ("LGPL-3.0-or-later", ["LgplRedistribute"]),
+    ("LGPL-3.0-or-later", ["LgplLaterRef"]),
+    ("LGPL-3.0-only", ["LgplRef"]),
+    ("AGPL-3.0-or-later", ["AgplRedistribute", "GplHope", "AgplSee"]),
+    ("AGPL-3.0-or-later", ["AgplRedistribute"]),
+    ("AGPL-3.0-or-later", ["AgplLaterRef"]),
+    ("AGPL-3.0-only", ["AgplRef"]),
+    ("MPL-2.0", ["MplHead", "MplCopy"]),
+    ("MPL-2.0", ["MplRef"]),
+    ("EPL-2.0", ["EplHead"]),
+    ("EPL-2.0", ["EplRef"]),
+    ("EPL-1.0", ["EplHead1"]),
+    ("ISC", ["IscGrant", "IscAsIs", "IscLiability"]),
+    ("ISC", ["IscGrant"]),
+    ("ISC", ["IscRef"]),
+    ("0BSD", ["ZeroBsdGrant", "IscAsIs", "IscLiability"]),
+    ("0BSD", ["ZeroBsdRef"]),
+    ("Unlicense", ["UnlicenseHead", "UnlicenseGrant"]),
+    ("Unlicense", ["UnlicenseHead"]),
+    ("Unlicense", ["UnlicenseRef"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostRef"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("Zlib", ["ZlibRef"]),
+    ("CC0-1.0", ["CcZeroWaiver"]),
+    ("CC0-1.0", ["CcZeroRef"]),
+    ("CC-BY-SA-4.0", ["CcBySaRef"]),
+    ("CC-BY-4.0", ["CcByRef"]),
     ("CC-BY-NC-4.0", ["CcByNcRef"]),
     ("All-rights-reserved", ["Reserved"]),
 ]
 
 _LICENSE = "licen[cs]e"
-_GPL3 = f"(?:(?:gnu )?(?:general public {_LICENSE}|gpl) (?:gpl )?(?:version |v ?)?3(?: 0)?|(?:gnu )?gplv3(?: 0)?|version 3 of the (?:gnu )?(?:general public {_LICENSE}|gpl))(?: {_LICENSE})?(?: only)?(?: as published by the free software foundation)?"
+
+
+def _gnu(name: str, short: str, number: str) -> str:
+    """A GNU licence of one version, by its name or its short name."""
+    named = f"(?:{name} {_LICENSE}|{short})"
+    return f"(?:(?:gnu )?{named} (?:{short} )?(?:version |v ?)?{number}|(?:gnu )?{short}v{number}|version {number} of the (?:gnu )?{named})(?: {_LICENSE})?(?: only)?(?: as published by the free software foundation)?"
+
+
+_GPL3 = _gnu("general public", "gpl", "3(?: 0)?")
+_GPL2 = _gnu("general public", "gpl", "2(?: 0)?")
+_LGPL3, _LGPL21 = _gnu("lesser general public", "lgpl", "3(?: 0)?"), _gnu("lesser general public", "lgpl", "2 1")
+_AGPL3 = _gnu("affero general public", "agpl", "3(?: 0)?")
 _LATER = "(?:[+]| or (?:later|newer|higher|any later|any newer|at your option any later))(?: version)?"
 
 #: How a text refers to a licence it is under, by identifier: patterns of words, put after the openings below.
 REFERENCES = {
     "GplLaterRef": f"{_GPL3}{_LATER}",
+    "Gpl2LaterRef": f"{_GPL2}{_LATER}",
+    "LgplLaterRef": f"{_LGPL3}{_LATER}",
+    "Lgpl21LaterRef": f"{_LGPL21}{_LATER}",
+    "AgplLaterRef": f"{_AGPL3}{_LATER}",
     "GplRef": _GPL3,
+    "Gpl2Ref": _GPL2,
+    "LgplRef": _LGPL3,
+    "Lgpl21Ref": _LGPL21,
+    "AgplRef": _AGPL3,
+    "MplRef": f"(?:mozilla public {_LICENSE}|mpl) (?:version |v ?)?2(?: 0)?",
+    "EplRef": f"(?:eclipse public {_LICENSE}|epl) (?:version |v ?)?2(?: 0)?",
+    "IscRef": f"isc {_LICENSE}",
+    "ZeroBsdRef": f"(?:0bsd|zero clause bsd)(?: {_LICENSE})?",
+    "UnlicenseRef": "unlicense",
+    "BoostRef": f"(?:boost software {_LICENSE}|bsl) (?:version |v ?)?1(?: 0)?",
+    "ZlibRef": f"zlib(?: {_LICENSE})?",
+    "CcZeroRef": "(?:cc0|creative commons (?:zero|cc0))(?: 1 0)?(?: universal)?",
+    "CcBySaRef": f"(?:cc by sa|creative commons attribution share ?alike) 4 0(?: international)?(?: public)?(?: {_LICENSE})?",
+    "CcByRef": f"(?:cc by|creative commons attribution) 4 0(?: international)?(?: public)?(?: {_LICENSE})?",
     "ApacheRef": f"apache (?:software )?(?:foundation )?(?:{_LICENSE} )?(?:version |v ?)?2(?: 0)?(?: {_LICENSE})?",
     "MitRef": f"(?:mit|expat|mit expat|mit x11)(?: open source)? {_LICENSE}",
     "Bsd3Ref": f"(?:bsd (?:3|three) clause(?: (?:new or )?(?:new|revised|modified))?|(?:3|three) clause bsd|(?:new|revised|modified) bsd)(?: {_LICENSE})?",
@@ -74,9 +161,19 @@ REFERENCES = {
 _OPENING = f"(?:(?:this work is )?(?:licensed|released|distributed|redistributed|available|published|provided|issued|shared|offered|covered|is|are) (?:under|by)|under(?= the terms)|governed by|subject to|spdx {_LICENSE} identifier|{_LICENSE})(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? "
 #: A licence's bare name counts only right after an opening without an article.
 _BARE = {"MitRef": f"(?:licensed under|released under|distributed under|spdx {_LICENSE} identifier) mit"}
-#: The notice with another program's name, or without the words on the choice.
+
+
+def _notice(name: str, number: str) -> str:
+    return f"free software you can redistribute it and or modify it under the terms of the gnu {name} license as published by the free software foundation either version {number} of the license or (?:at your option )?any later version"
+
+
+#: The notices whatever the program's name, also without the words on the choice.
 _NOTICES = {
-    "GplRedistribute": "free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (?:at your option )?any later version",
+    "GplRedistribute": _notice("general public", "3"),
+    "Gpl2Redistribute": _notice("general public", "2"),
+    "LgplRedistribute": _notice("lesser general public", "3"),
+    "Lgpl21Redistribute": _notice("lesser general public", "2 1"),
+    "AgplRedistribute": _notice("affero general public", "3"),
     "GplHope": "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
 }
 
@@ -89,7 +186,7 @@ _GAP = r"(?:[ +]|\.(?![ \n])|\n(?! *\n))+"
 _NO_WORD = r"(?![0-9a-z\x80-\xff])"
 _NOT = (b" not", b" never", b" longer", b" t")
 #: Beside the longest word of each known sentence: a text without any of these refers to no licence.
-_ANCHORS = {b"licen", b"apache", b"gpl", b"bsd", b"clause", b" nc", b"released", b"distributed", b"software"}
+_ANCHORS = {b"licen", b"apache", b"gpl", b"bsd", b"clause", b" nc", b"mpl ", b"epl ", b"zlib", b"cc0", b"cc by", b"creative", b"released", b"distributed", b"software"}
 
 
 Known = tuple[re.Pattern[bytes], list[str], set[bytes]]
@@ -101,7 +198,8 @@ def compiled(sentences: dict[str, str], references: bool) -> Known:
     forms = [(k, re.escape(v).replace("\\ ", " ")) for k, v in known]
     if references:
         refs = [(k, _OPENING + v) for k, v in REFERENCES.items()]
-        forms = [refs[0], *forms, *refs[1:], *_BARE.items(), *_NOTICES.items()]
+        later = [r for r in refs if r[0].endswith("LaterRef")]
+        forms = [*later, *forms, *[r for r in refs if r not in later], *_BARE.items(), *_NOTICES.items()]
     body = "|".join(f"({v.replace(' ?', '(?: )?').replace(' ', _GAP)}){_NO_WORD}" for _, v in forms)
     anchors = {max(v.encode().split(), key=len) for _, v in known} | (_ANCHORS if references else set())
     return re.compile(f"(?<![0-9a-z\\x80-\\xff])(?:{body})".encode("latin-1")), [k for k, _ in forms], anchors
