@@ -122,3 +122,29 @@ def test_clean_image(spark):
     cases = [("https://x.org/a/Generic-Car.jpg", None), ("https://x.org/stock/a.jpg?default", "https://x.org/stock/a.jpg?default"), (" ", None), (None, None), ("img/placeholder.png", None)]
     assert ask(spark, "u string, want string", cases, text.clean_image(F.col("u"))) == [c[1] for c in cases]
     assert math.isclose(listings._miles((35.0, -85.0), (35.0, -85.0)), 0)
+
+
+def test_strip_html_against_a_parser(spark):
+    """Pieces of markup in random order, against the standard parser's text nodes."""
+    import html
+    import random
+    from html.parser import HTMLParser
+
+    class Nodes(HTMLParser):
+        found: list
+
+        def handle_data(self, data):
+            self.found.append(data)
+
+    def plain(value):
+        n = Nodes()
+        n.found = []
+        n.feed(html.unescape(value))
+        n.close()
+        return " ".join(" ".join(n.found).split())
+
+    pieces = ["word", "two words", "<p>", "</p>", "<b class='x>y'>", "</b>", "<br/>", "<!-- a > b -->", "<!DOCTYPE html>", "<script>if (a<b) t='</p>';</script>", "<style>p{}</style>", "&amp;", "&lt;i&gt;x&lt;/i&gt;", "&#233;", "&nbsp;", "a < b", "3<4 ", '<a href="u?a=1&b=2">', "</a>", "\n\t"]
+    rng = random.Random(4)
+    cases = [("".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) + " end",) for _ in range(400)] + [("",)]
+    assert ask(spark, "h string", cases, text.strip_html(F.col("h"))) == [plain(c[0]) for c in cases]
+    assert ask(spark, "h string", [(None,)], text.strip_html(F.col("h"))) == [""]

@@ -117,13 +117,13 @@ def truncate_sentences(text: Column, most: int) -> Column:
 
 
 #: Scripts and styles, whose inside is text; comments, declarations, and tags with their quoted attributes; what is left open runs to the end.
-_MARKUP = re.compile(r"""<(?P<raw>script|style)\b[^>]*>(?P<inside>.*?)(?:</(?P=raw)\s*>|$)|<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*(?:>|$)""", re.DOTALL | re.IGNORECASE)
+_MARKUP = re.compile(r"""<(?P<raw>script|style)\b[^>]*>(?P<inside>.*?)(?:</(?P=raw)\s*>|$)|<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*(?:>|$)|(?P<bare><)""", re.DOTALL | re.IGNORECASE)
 
 
 @F.pandas_udf(T.StringType())
 def strip_html(text: pd.Series) -> pd.Series:
-    """Plain text of an HTML fragment: markup, also where it was written by entities, gives way to a blank, entities of the text become signs, and white space is collapsed. Null gives an empty text; a bare `&` stays as it is."""
-    shown = text.fillna("").map(html.unescape).str.replace(_MARKUP, lambda m: f" {m['inside'] or ''} ", regex=True)
+    """Plain text of an HTML fragment: markup, also where it was written by entities, gives way to a blank, entities of the text become signs, and white space is collapsed. A `<` that opens nothing stands alone. Null gives an empty text; a bare `&` stays as it is."""
+    shown = text.fillna("").map(html.unescape).str.replace(_MARKUP, lambda m: f" {m['inside'] or m['bare'] or ''} ", regex=True)
     return shown.map(html.unescape).str.split().str.join(" ")
 
 
