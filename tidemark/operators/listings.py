@@ -95,13 +95,13 @@ def _near_titles(groups: DataFrame, hours: int, same_day: bool = False) -> DataF
     """
     step = hours * 3600
     groups = materialize(groups.select("id", "at", "tokens", F.size("tokens").alias("n"), F.floor(F.col("at") / step).alias("bucket")), "titles")
-    words = groups.select("id", F.explode(F.array_distinct("tokens")).alias("word"))
+    words = groups.select("*", F.explode(F.array_distinct("tokens")).alias("word"))
     counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
     near = materialize(near_words(counts.select("word")), "near-words")
     spread = near.join(counts.select(F.col("word").alias("near"), "df"), "near").groupBy("word").agg(F.sum("df").alias("df"))
-    rare = words.join(spread, "word").groupBy("id").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
+    rare = words.join(spread, "word").groupBy(*groups.columns).agg(F.min(F.struct("df", "word"))["word"].alias("word"))
     buckets = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
-    probe = groups.join(rare, "id").join(near, "word").select(F.col("near").alias("word"), F.col("id").alias("p"), F.col("at").alias("at_p"), F.col("tokens").alias("tp"), F.col("n").alias("np"), buckets)
+    probe = rare.join(near, "word").select(F.col("near").alias("word"), F.col("id").alias("p"), F.col("at").alias("at_p"), F.col("tokens").alias("tp"), F.col("n").alias("np"), buckets)
     other = groups.select(F.explode(F.array_distinct("tokens")).alias("word"), F.col("id").alias("o"), F.col("at").alias("at_o"), F.col("tokens").alias("to"), F.col("n").alias("no"), "bucket")
     when = F.abs(F.col("at_p") - F.col("at_o")) <= step
     if same_day:

@@ -69,13 +69,14 @@ def h02(spark, sf):
     return s.select("source_key", "external_id", seconds("poll_at").alias("poll_at"), "fingerprint")
 
 
-@query("h02_shape_fingerprint", None)
+@query("h02_shape_fingerprint", f"""WITH {SNAPSHOTS}, q AS (SELECT DISTINCT source_key, external_id, CAST(lon AS VARCHAR) AS x, CAST(lat AS VARCHAR) AS y, CAST(round(lon + 0.1, 4) AS VARCHAR) AS x2, CAST(round(lat + 0.1, 4) AS VARCHAR) AS y2 FROM snaps)
+SELECT source_key, external_id, sha1('{{"coordinates":[[[' || x || ',' || y || '],[' || x || ',' || y2 || '],[' || x2 || ',' || y || '],[' || x || ',' || y || ']]],"type":"Polygon"}}') AS fingerprint FROM q""")
 def h02b(spark, sf):
     """Squares around each entity's places: the fingerprints of areas."""
     s = snapshots(spark, sf)
     ring = F.format_string("[[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]", "lon", "lat", "lon", F.round(F.col("lat") + 0.1, 4), F.round(F.col("lon") + 0.1, 4), "lat", "lon", "lat")
     shapes = s.select("source_key", "external_id", F.concat(F.lit('{"type":"Polygon","coordinates":'), ring, F.lit("}")).alias("geometry")).distinct()
-    return shapes.select("source_key", "external_id", "geometry", geo.shape_fingerprint("geometry").alias("fingerprint"))
+    return shapes.select("source_key", "external_id", geo.shape_fingerprint("geometry").alias("fingerprint"))
 
 
 @query("h03_state_changed", f"WITH {SNAPSHOTS} SELECT source_key, count(*) AS rows_seen, count(*) FILTER (WHERE p_seq IS NOT NULL AND (p_seq <> poll_seq - 1 OR p_status IS DISTINCT FROM status OR p_fp IS DISTINCT FROM fp)) AS changed FROM runs GROUP BY source_key")
@@ -278,7 +279,26 @@ def g02(spark, sf):
     return _state(spark, sf).select("source_key", "external_id", F.round(d, 5).alias("miles"))
 
 
-@query("g03_spheroid_distance", None)
+#: A box that only some entities' triangles reach.
+_FAR_BOX = (-85.25, 35.1, -85.2, 35.13)
+
+
+@query("g01_shapes_in_box", f"""WITH {SNAPSHOTS}, q AS (SELECT DISTINCT source_key, external_id, lon, lat FROM snaps)
+SELECT source_key, external_id, round(lon, 4) AS lon FROM q WHERE lon <= {_FAR_BOX[2]} AND lat <= {_FAR_BOX[3]} AND greatest(lon, {_FAR_BOX[0]}) - lon + greatest(lat, {_FAR_BOX[1]}) - lat <= 0.1""")
+def g01b(spark, sf):
+    """Triangles of a tenth of a degree right and up from each place: those that touch a box."""
+    s = snapshots(spark, sf).select("source_key", "external_id", "lon", "lat").distinct()
+    ring = F.format_string("[[[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]", "lon", "lat", "lon", F.col("lat") + 0.1, F.col("lon") + 0.1, "lat", "lon", "lat")
+    shapes = s.withColumn("geometry", F.concat(F.lit('{"type":"Polygon","coordinates":'), ring, F.lit("}")))
+    return shapes.filter(geo.shape_meets_box("geometry", *map(F.lit, _FAR_BOX))).select("source_key", "external_id", F.round("lon", 4).alias("lon"))
+
+
+#: Metres by the radii of curvature in the middle of a short way: within a millionth of the geodesic on the given places.
+_SQL_SPHEROID = f"""sqrt(pow(6378137.0 * (1 - 0.00669437999014) / pow(1 - 0.00669437999014 * pow(sin(radians((lat + {CENTER[0]}) / 2)), 2), 1.5) * radians(lat - {CENTER[0]}), 2)
+  + pow(6378137.0 / sqrt(1 - 0.00669437999014 * pow(sin(radians((lat + {CENTER[0]}) / 2)), 2)) * cos(radians((lat + {CENTER[0]}) / 2)) * radians(lon - ({CENTER[1]})), 2))"""
+
+
+@query("g03_spheroid_distance", f"WITH {SNAPSHOTS} SELECT source_key, external_id, round_even({_SQL_SPHEROID} / 1609.344, 1) AS distance_miles FROM state")
 def g03(spark, sf):
     s = _state(spark, sf)
     return s.select("source_key", "external_id", F.bround(geo.spheroid_meters("lat", "lon", F.lit(CENTER[0]), F.lit(CENTER[1])) / geo.METERS_PER_MILE, 1).alias("distance_miles"))
@@ -533,13 +553,22 @@ def _titles_at(spark, sf):
     return r.groupBy("title", "start_time", "venue_name").agg(F.min("seq").alias("id"), F.max("latitude").alias("latitude"), F.max("longitude").alias("longitude")).withColumn("address", F.lit(None).cast("string"))
 
 
-@query("e04_title_pairs", None)
+_TOKENS_OF = f"""WITH {RAW_EVENTS}, n AS (SELECT min(seq) AS id, title, start_time AS sec, venue_name, max(latitude) AS latitude, max(longitude) AS longitude FROM raws GROUP BY title, start_time, venue_name),
+t AS (SELECT *, sec // 7200 AS bucket FROM (SELECT *, {_TTOK.format(c='title')} AS tokens FROM n) WHERE len(tokens) >= 2), g AS (SELECT tokens, sec, bucket, min(id) AS id FROM t GROUP BY 1, 2, 3),
+m AS (SELECT x.tokens AS tx, x.sec AS ax, x.id AS ix, y.tokens AS ty, y.sec AS ay, y.id AS iy FROM g x JOIN (SELECT *, unnest([bucket - 1, bucket, bucket + 1]) AS near FROM g) y ON x.bucket = y.near AND abs(x.sec - y.sec) <= 7200 AND len(x.tokens) <= len(y.tokens)
+  WHERE len(list_filter(x.tokens, lambda w: len(list_filter(y.tokens, lambda v: v = w OR (least(length(v), length(w)) >= 5 AND levenshtein(v, w) <= 1))) = 0)) = 0)"""
+
+
+@query("e04_title_pairs", f"{_TOKENS_OF} SELECT DISTINCT least(ix, iy) AS a, greatest(ix, iy) AS b FROM m WHERE ix <> iy UNION ALL SELECT DISTINCT g.id, t.id FROM t JOIN g ON g.tokens = t.tokens AND g.sec = t.sec WHERE t.id <> g.id")
 def e04(spark, sf):
     t = _titles_at(spark, sf)
     return listings.title_pairs(t.select("id", "title", seconds("start_time").alias("at")), 2)
 
 
-@query("e05_event_pairs", None)
+_LOCATED = "CASE WHEN a.latitude IS NOT NULL AND b.latitude IS NOT NULL THEN " + _SQL_MILES.format(a="a.latitude", b="a.longitude", c="b.latitude", d="b.longitude") + " <= 0.5 ELSE a.venue_name = b.venue_name END"
+
+
+@query("e05_event_pairs", f"{_TOKENS_OF} SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM m JOIN t a ON a.tokens = m.tx AND a.sec = m.ax JOIN t b ON b.tokens = m.ty AND b.sec = m.ay WHERE a.id <> b.id AND {_LOCATED}")
 def e05(spark, sf):
     return listings.fuzzy_pairs(_titles_at(spark, sf).withColumnRenamed("start_time", "starts_at"))
 
