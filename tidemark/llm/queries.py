@@ -19,15 +19,18 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after the way through archives, sorted runs and their merge."""
     return warc.capture_history(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document before and after repeated ones went, and a digest of what stays."""
     kept = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and which items they are of."""
     found = decontaminate.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.array_distinct("item_ids"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -35,6 +38,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by text and source."""
     return language.identify_documents(read(spark, sf_dir, "documents")).drop("row_hash")
 
 
@@ -45,11 +49,13 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every token length as context limit, what the histogram of all documents answers."""
     histogram = lengths.length_histogram(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return lengths.context_limits(histogram)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text through a stored FLAC stream and back: digests of the samples read back and of the stream."""
     back = media.from_media(media.stored(media.to_media(read(spark, sf_dir, "documents"))))
     return back.select(
         "doc_id", "n_bytes", F.octet_length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.expr("substring(pcm, -64)")).alias("tail_crc32"),
@@ -58,20 +64,24 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each a sequence of a power of two."""
     packed = packing.pack_power_of_two(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of every document and the licences whose rules they match."""
     found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"), F.size("matches").alias("n_matches"), F.array_join("unmatched", " ").alias("unmatched"))
 
 
 def op9_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, copies and links of every document by word shingles."""
     return set_join.similar_documents(read(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that others hold too, and what to remove of them."""
     return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("row_hash")
 
 
