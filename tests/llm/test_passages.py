@@ -1,4 +1,5 @@
 import random
+import re
 
 from tests.llm.fixtures import DOCS, corpus, prose, rows
 from tidemark.llm.passages import repeated_passages, tune_bands
@@ -44,6 +45,20 @@ def test_near_lines(spark):
     assert set(got) == {0, 1, 2, 3} and all(0 in got[i].class_ids for i in range(4))
 
 
+def test_near_blocks_however_wrapped(spark):
+    """A paragraph of 60 words with one changed is found over other line ends, and between blank lines."""
+    rng = random.Random(31)
+    base = prose(rng, 60)
+    other = list(base)
+    other[29] = "edited"
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    around = lambda s: " ".join(f"{x}{s}" for x in prose(random.Random(s), 90))
+    texts = [(0, f"{around(1)}\n\n{wrap(base, 9)}\n \n{around(2)}"), (1, f"{around(3)}\n\n{wrap(other, 11)}"), (2, around(4))]
+    got = found(spark, texts)
+    at = len(re.findall(r"\w+", around(3)))
+    assert set(got) == {0, 1} and [tuple(r) for r in got[1].removals] == [(at, at + 60)] and list(got[0].removals) == []
+
+
 def test_edge_cases(spark):
     texts = corpus()
     got = repeated_passages(spark.createDataFrame(rows(texts), DOCS)).collect()

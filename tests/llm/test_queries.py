@@ -111,7 +111,13 @@ def test_passages(spark, tables, texts):
             if len(w) >= 28:
                 lines.append((i, k, len(w), {tuple(w[s : s + 5]) for s in range(len(w) - 4)}))
             k += len(w)
-    near = {(a[0], a[1]): {b[0] for b in lines if b[0] != a[0] and len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3])} for a in lines}
+        k = 0
+        for block in re.split(r"\n(?:[^\w]*\n)+", t or ""):
+            w = words(block)
+            if len(w) >= 28:
+                lines.append((i, k, len(w), {tuple(w[s : s + 5]) for s in range(len(w) - 4)}))
+            k += len(w)
+    near = {a[:3]: {b[0] for b in lines if b[0] != a[0] and len(a[3] & b[3]) >= 0.8 * len(a[3] | b[3])} for a in lines}
     got = {r.doc_id: r for r in run(spark, tables, "op10_passages")}
     for i, w in flat.items():
         may = set()  # words of a 28-word run, or of a line, that another document has
@@ -119,7 +125,7 @@ def test_passages(spark, tables, texts):
             if any(j != i for j, _ in at[tuple(w[k : k + 28])]):
                 may |= set(range(k, k + 28))
         for a in lines:
-            if a[0] == i and near[a[0], a[1]]:
+            if a[0] == i and near[a[:3]]:
                 may |= set(range(a[1], a[1] + a[2]))
         gone = {k for r in (got[i].removals if i in got else ()) for k in range(r.start, r.end)}
         assert gone <= may, i
@@ -130,7 +136,7 @@ def test_passages(spark, tables, texts):
                 assert len(gone & set(range(k, k + 51))) >= 28, (i, k)
         # lines that are alike are one class, and all but the first lose them
         for a in lines:
-            if a[0] == i and near[a[0], a[1]]:
+            if a[0] == i and near[a[:3]]:
                 assert i in got
-                if min(near[a[0], a[1]]) < i:
+                if min(near[a[:3]]) < i:
                     assert set(range(a[1], a[1] + a[2])) <= gone

@@ -18,8 +18,6 @@ COORDINATES = 128
 BLOCK = 512
 _PAIRS_AT_ONCE = 1 << 18
 _SMALL = 32
-#: Keys of at most this many bytes are sent to every executor; more are joined by a shuffle.
-_BROADCAST_BYTES = 16 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -273,9 +271,3 @@ def verified_links(buckets: DataFrame, nodes: DataFrame, elements_of: Callable[[
     likely = materialize(grouped(full).mapInArrow(lambda b: _likely(b, threshold), kept), "likely")
     elements = elements_of(likely.select("node").distinct())
     return grouped(likely.hint("merge").join(elements, "node")).mapInArrow(lambda b: _verified(b, threshold), "node binary, other binary, links long")
-
-
-def semi(docs: DataFrame, names: DataFrame, on: list[str], row_bytes: int = 128) -> DataFrame:
-    """docs whose key is in names: sent to every executor if counted to be small, else by a shuffle. row_bytes: what a key of two numbers takes in a hashed relation, its row and its place in the map, rounded up."""
-    small = names.count() * row_bytes <= _BROADCAST_BYTES
-    return docs.join(F.broadcast(names) if small else names.hint("merge"), on, "left_semi")

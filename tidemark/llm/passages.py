@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import components
 
 from .common import WordHashes, fold_words, materialize, mix, shingles, texts
-from .near_sets import COORDINATES, crowded, distinct, semi, set_name, sketches, verified_links
+from .near_sets import COORDINATES, crowded, distinct, set_name, sketches, verified_links
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _REACH = 23
@@ -30,12 +30,20 @@ def tune_bands(threshold: float, recall: float, coordinates: int = COORDINATES)
 
 
 def lines_of(parts: list[list[bytes]], least: int) -> Iterator[tuple[int, int]]:
-    """(first word, number of words) of each line of at least `least` words."""
-    at = 0
-    for p in parts:
+    """(first word, number of words) of each line, and of each block of lines between lines without words, that has at least `least` words. A block of one line is that line."""
+    at = begin = lines = 0
+    for p in [*parts, []]:
         if len(p) >= least:
             yield at, len(p)
+        if p:
+            lines += 1
+        else:
+            if lines > 1 and at - begin >= least:
+                yield begin, at - begin
+            begin, lines = at, 0
         at += len(p)
+        if not p:
+            begin = at
 
 
 def line_sets(shingled: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +156,10 @@ def _elements(docs: DataFrame, least: int, words: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 28, words: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
     """One row per document with repeated passages: doc_id, row_hash, n_repeats, class_ids, partners, removals.
 
-    A paragraph is a line of at least `least` words, or a window of `least` words at a place that its content chooses,
+    A paragraph is a line of at least `least` words, a block of lines up to the next line without words (so a paragraph is
+    the same however it is wrapped), or a window of `least` words at a place that its content chooses,
     so that passages which begin and end inside lines are found too: every passage of least + 22 = 50 words or more
-    that two documents share is found whatever surrounds it, and nothing shorter than `least` words. Lines are repeats
+    that two documents share is found whatever surrounds it, and nothing shorter than `least` words. Lines and blocks are repeats
     if the Jaccard similarity of their sets of runs of `words` words is at least `threshold` (MinHash bands tuned for
     `recall`, then verified exactly), windows if their words are equal. Lines linked directly or over others are one
     class, and so is each repeated window. A class counts only if two distinct ids hold it. In each class the paragraphs
@@ -177,7 +186,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         names = materialize(names, "names")
         picked = nodes.hint("merge").join(names, "node").select(F.coalesce("pick.doc_id", F.lit(0)).alias("k"), "pick.row_hash").distinct()
         keyed = source.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash", "text")
-        few = semi(keyed, materialize(picked, "picked"), ["k", "row_hash"])
+        few = keyed.hint("merge").join(picked, ["k", "row_hash"], "left_semi")
         return _elements(few, least, words).hint("merge").join(names, "node", "left_semi").dropDuplicates(["node"])
 
     links = materialize(verified_links(buckets, nodes.select("node", "n", "copies", "mins"), elements_of, threshold), "line-links")

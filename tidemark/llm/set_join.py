@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import components
 
 from .common import WordHashes, fold_words, materialize, mix, shingles, texts
-from .near_sets import BLOCK, COORDINATES, crowded, distinct, semi, set_name, sketches, verified_links
+from .near_sets import BLOCK, COORDINATES, crowded, distinct, set_name, sketches, verified_links
 
 _ODD = np.uint64(0xD1342543DE82EF95)
 
@@ -155,7 +155,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def elements_of(names: DataFrame) -> DataFrame:
         picked = materialize(nodes.hint("merge").join(names, "node").select("pick.doc_id", "pick.row_hash"), "picked").distinct()
         keyed = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64("text").alias("row_hash"), "text")
-        few = semi(keyed, picked.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash").distinct(), ["k", "row_hash"])
+        few = keyed.hint("merge").join(picked.select(F.coalesce("doc_id", F.lit(0)).alias("k"), "row_hash").distinct(), ["k", "row_hash"], "left_semi")
         return _elements(few, words).dropDuplicates(["node"])
 
     # the low byte of each coordinate is enough to tell whether a pair is worth its exact comparison
