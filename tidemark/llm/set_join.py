@@ -31,13 +31,13 @@ def runs_for(threshold: float, depth: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
 
 
-def _sets_of(values: list[bytes | None], words: int, at_once: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, places of the sets that are not empty, elements, where each set begins) for runs of texts of about at_once shingles: sorted sets of word shingles."""
+def _sets_of(values: list[bytes | None], words: int, at_once: int = 1 << 18, sets: int = 4096) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, places of the sets that are not empty, elements, where each set begins) for runs of at most `sets` texts and about at_once shingles: sorted sets of word shingles."""
     hashes, first, parts, size = WordHashes(), 0, [], 0
     for k, text in enumerate(values):
         parts.append(shingles(hashes.of(fold_words(text or b"")), words))
         size += len(parts[-1])
-        if size >= at_once or k == len(values) - 1:
+        if size >= at_once or len(parts) == sets or k == len(values) - 1:
             owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             elements, owner = distinct(np.concatenate(parts), owner)
             starts = np.searchsorted(owner, np.arange(len(parts) + 1))
