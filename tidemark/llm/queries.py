@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lengths, licenses, line_dedup, media, packing, passages, set_join, warc
+from . import alignment, decontaminate, language, lengths, licenses, line_dedup, media, packing, passages, set_join, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers over every document, and how common the linked pairs are."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_set_join": op9_set_join,
     "op10_passages": op10_passages,
+    "op11_alignment": op11_alignment,
     "page_languages": page_languages,
 }
 
