@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, language, lengths, licenses, line_dedup, media, packing, passages, set_join, warc
+from . import alignment, decontaminate, language, lengths, licenses, line_dedup, media, packing, passages, set_join, toxicity, warc, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,6 +91,19 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; labels of rows whose crc32 of the id leaves 2 on division by 4 are not learned from."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 4 == 2
+    model = toxicity.train(docs.select("doc_id", "text"), labels.filter(~held_out("doc_id")).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight components of all vectors' covariance, scaled to unit variance."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
@@ -103,6 +116,8 @@ QUERIES = {
     "op9_set_join": op9_set_join,
     "op10_passages": op10_passages,
     "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
+    "op13_whitening": op13_whitening,
     "page_languages": page_languages,
 }
 
