@@ -66,7 +66,7 @@ def brute(texts):
 
 TEXTS = [
     None, "", " ", "   ", "a", "a ", " a  b ", "x\n y", "x\n  y\t\tz\r\n", "<|endoftext|> and <s>hi</s>", "▁ab", "a\x00b", "é ﬁ é", "漢字とかな、混ぜ書き。", "don't we'll 12345 3.14", "—dash… “quotes” €5",
-    "a\x1cb \x1d c", " nb  sp", "🙂🙂 emoji", "thre thre thre", "word" * 500, "the cat sat " * 40, "the cat sat", "the cat sat", "²³ ½ ª", "ǅ ȸ ɏ ɐ",
+    "a\x1cb \x1d c", " nb  sp", "🙂🙂 emoji", "thre thre thre", "word" * 500, "the cat sat " * 40, "the cat sat", "the cat sat", "²³ ½ ª", "ǅ ȸ ɏ ɐ", "\n", "\nab", "ab\n", "a\nb", "a \nb\n c", "x\u00a0y \u2003 z\u2028w", "\tq\t r", "a  ", "aa\u0301 e\u0301\n\u0301x", "▁", "ok ▁x ok", "a\u200bb \u200b c\n\u200bd", "\x1f x\n\x1fy",
 ]
 
 
@@ -95,16 +95,17 @@ def test_repeats_nulls_ids_of_any_type_and_empty_tables(spark):
     assert rows_of(alignment.align_documents(df.filter("false"), A, B, "id", "body")) == []
 
 
-def test_long_texts_go_in_pieces(monkeypatch):
-    text = " ".join(f"w{k} längere  Wörter,\n und {k * 7919}" for k in range(3000))
-    whole = alignment.Aligner(A, B)
-    [(a, b, ae, be)] = list(whole.segments(text))
+def test_long_texts_go_in_pieces_and_words_are_forgotten(monkeypatch):
+    text = " ".join(f"w{k} längere  Wörter,\n und\n{k * 7919} <s>" for k in range(3000))
+    [whole] = list(alignment.Aligner(A, B).aligned(text))
+    a, b = tokens_of(text)
+    assert (whole[0], whole[1]) == (len(a), len(b))
     monkeypatch.setattr(alignment, "_SEGMENT", 500)
-    parts = list(whole.segments(text))
-    assert len(parts) > 100
-    assert np.concatenate([p[0] for p in parts]).tolist() == a.tolist() and np.concatenate([p[1] for p in parts]).tolist() == b.tolist()
-    assert sum(len(whole.links(*p)) for p in parts) == len(whole.links(a, b, ae, be))
-    assert b"".join(whole.groups(*p)[1] for p in parts) == whole.groups(a, b, ae, be)[1]
+    monkeypatch.setattr(alignment, "_REMEMBERED", 50)
+    monkeypatch.setattr(alignment, "_TOGETHER", 20)
+    parts = list(alignment.Aligner(A, B).aligned(text))
+    assert len(parts) > 100 and [sum(p[k] for p in parts) for k in range(3)] == list(whole[:3])
+    assert np.concatenate([p[3] for p in parts]).tolist() == whole[3].tolist() and b"".join(p[4] for p in parts) == whole[4]
 
 
 def test_the_hash_is_minimal_and_perfect():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, mix
-from .tokens import _LATIN, _NUMBERS, _byte_letters, _Recent
+from .tokens import _byte_letters
 
 #: A text longer than this (in characters) is aligned piece by piece, cut where a single blank stands between two words.
 _SEGMENT = 1 << 20
@@ -23,124 +23,177 @@ _SHARD = 1 << 15
 PASS_KEYS = 4_000_000
 _HELD_PAIRS = 2_000_000
 _HELD_LINKS = 500_000
+#: Words whose alignment a task remembers, and characters that are encoded at once.
+_REMEMBERED, _TOGETHER = 400_000, 1 << 18
 _NEXT_CUT = re.compile(r"(?<=\S) (?=\S)")
+_TWO_BLANKS = re.compile(r"\s\s|\s\Z")
+_BEFORE_WORD = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
+#: How a word is aligned: tokens on either side, groups, its links' pairs (4 bytes each), and its groups as written with a semicolon after each.
+Aligned = tuple[int, int, int, bytes, bytes]
 
-class Unaligned(ValueError):
-    """The tokens' bytes are not those of the text."""
-
-
-def _checked(ids: list[int], text: str, pieces: list[bytes]) -> bytes:
-    if b"".join([pieces[i] for i in ids]) != text.encode():
-        raise Unaligned
-    return np.array(ids, "<u4").tobytes()
 
+def _fast_byte_level(made, spec: dict, ids: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """The tokenizer's encoding by the tiktoken library, which is several times faster, where both are sure to agree; else by the tokenizer itself.
 
-def byte_level(path: str) -> tuple[Callable[[str], bytes], list[bytes]]:
-    """A byte-level BPE file of the tokenizers library: a function text -> ids (little-endian unsigned 32-bit), and each id's bytes.
-
-    A word with its blank is encoded once and remembered. Texts of Latin letters and common signs are split to words as
-    a whole; any other at white space, and the rest is left to the tokenizer, whose tables of letters count. Strings of
-    special tokens are plain text.
+    tiktoken merges any two neighbours that make a token, the token of the lowest id first; the tokenizer merges listed
+    pairs in their order. They agree where the list is in order of its tokens' ids and every token's bytes alone are encoded
+    as that token: inside a token's stretch of a word nothing reaches in from outside before the token is made, so
+    merging goes there as it does for the token alone, and the last two parts are its listed pair.
     """
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    spec = json.loads(made.to_str())
-    pre = spec.get("pre_tokenizer") or {}
-    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-        raise ValueError("the first tokenizer must be byte-level, without a normalizer or a prefix")
-    letters = _byte_letters()
-    back = {c: b for b, c in letters.items()}
-    pieces = [b""] * made.get_vocab_size()
-    for piece, i in made.get_vocab().items():
-        pieces[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
-    merge = made.model.tokenize
-
-    def word(w: str) -> bytes:
-        return _checked([t.id for t in merge(w.encode().decode("latin-1").translate(letters))], w, pieces)
-
-    words = _Recent(word, 400_000)
-    chunks = _Recent(lambda c: _checked(made.encode(c, add_special_tokens=False).ids, c, pieces), 50_000)
-    latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[{_NUMBERS}]+| ?[^\\s{_LATIN}{_NUMBERS}]+|\\s+(?!\\S)|\\s+").findall
-    # dashes, quotes, the ellipsis and the euro sign are neither letters nor numbers; \s also takes U+001C to U+001F, which are no white space to the tokenizer
-    beyond = re.compile("[^\x00-ɏ‐-‧‰-⁞€]|[\x1c-\x1f]").search
-    odd = re.compile("[\x1c-\x1f]").search
-    split = re.compile(r"\s*\S+|\s+").findall
+    import tiktoken
+    from public_tokenizers import PATTERN
 
-    def encode(text: str) -> bytes:
-        if not beyond(text):
-            return b"".join(map(words.__getitem__, latin(text)))
-        return chunks[text] if odd(text) else b"".join(map(chunks.__getitem__, split(text)))
-
-    return encode, pieces
+    merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    made_by = [spec["model"]["vocab"][a + b] for a, b in merges]
+    letters = _byte_letters()
+    whole = lambda t: [x.id for x in made.model.tokenize("".join(letters[c] for c in t))]
+    special = {t["id"] for t in spec["added_tokens"]}
+    ranks = {t: i for t, i in ids.items() if i not in special}
+    if made_by == sorted(made_by) and all(len(t) == 1 or whole(t) == [i] for t, i in ranks.items()) and not any(spec["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: made.encode(text, add_special_tokens=False).ids
 
 
-def piece_level(path: str) -> tuple[Callable[[str], bytes], list[bytes]]:
-    """A sentencepiece BPE file with a leading blank and byte fallback: a function text -> ids, for texts that begin with a blank (the one that the tokenizer adds), and each id's bytes.
+class Aligner:
+    """Encodes words both ways and tells the links and groups of their tokens.
 
-    No piece holds a blank after another sign, so blanks with the signs up to the next blank are encoded by themselves
-    and remembered.
+    Text is cut into words before every blank or line end that stands between two other signs: tokens of neither side
+    go over such a place (a byte-level token begins with a blank at most, no sentence piece holds one after another
+    sign), so a text's tokens are those of its words, and a word's alignment is found once and remembered. Words that
+    are not known yet are encoded together.
     """
-    import sentencepiece
-
-    made = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [made.id_to_piece(i) for i in range(made.get_piece_size())]
-    pieces = [bytes([int(p[3:5], 16)]) if made.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    if any(b" " in p.lstrip(b" ") for i, p in enumerate(pieces) if not made.is_byte(i) and not made.is_control(i) and not made.is_unknown(i)):
-        raise ValueError("the second tokenizer must not have pieces over several words")
-    blank = made.piece_to_id("▁")
-
-    def chunk(c: str) -> bytes:
-        return _checked(made.encode(c[1:]) if len(c) > 1 else [blank], c, pieces)
-
-    chunks = _Recent(chunk, 400_000)
-    split = re.compile(" *[^ ]+| +").findall
-    return lambda text: b"".join(map(chunks.__getitem__, split(text))), pieces
-
-
-class Aligner:
-    """Encodes a text both ways and tells the links and groups of its tokens."""
 
     def __init__(self, first: str, second: str):
-        self.a, a_bytes = byte_level(first)
-        self.b, b_bytes = piece_level(second)
-        self.a_len = np.array([len(p) for p in a_bytes], np.int64)
-        self.b_len = np.array([len(p) for p in b_bytes], np.int64)
-        self.n_b = len(b_bytes)
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(first)
+        made.encode_special_tokens = True  # their strings are plain text
+        spec = json.loads(made.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+            raise ValueError("the first tokenizer must be byte-level, without a normalizer or a prefix")
+        back = {c: b for b, c in _byte_letters().items()}
+        self.a_bytes = [b""] * made.get_vocab_size()
+        for piece, i in made.get_vocab().items():
+            self.a_bytes[i] = bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode()
+        self.first = _fast_byte_level(made, spec, {t: i for i, t in enumerate(self.a_bytes)})
+        self.second = second_ = sentencepiece.SentencePieceProcessor(model_file=second)
+        names = [second_.id_to_piece(i) for i in range(second_.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if second_.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        plain = [p for i, p in enumerate(self.b_bytes) if not (second_.is_byte(i) or second_.is_control(i) or second_.is_unknown(i))]
+        if any(b" " in p.lstrip(b" ") or b"\n" in p for p in plain):
+            raise ValueError("the second tokenizer must not have pieces over several words or with line ends")
+        self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
+        if self.n_a * self.n_b >= 1 << 32:
+            raise ValueError("pairs of the two vocabularies must fit 32 bits")
+        self.a_len = np.array([len(p) for p in self.a_bytes], np.int64)
+        self.b_len = np.array([len(p) for p in self.b_bytes], np.int64)
         # how an id is written: by itself and a comma, or the end of its side
-        self.names = [b"%d%c" % (i, c) for n, ends in ((len(a_bytes), b",|"), (len(b_bytes), b",;")) for c in ends for i in range(n)]
-        self.n_a = len(a_bytes)
-
-    def segments(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each piece of blank + text: ids of both sides, and where their tokens end, in bytes. Raises Unaligned where bytes differ."""
-        text, at = " " + text, 0
-        while at < len(text):
-            cut = _NEXT_CUT.search(text, at + _SEGMENT) if len(text) - at > _SEGMENT else None
-            piece = text[at : cut.start()] if cut else text[at:]
-            at += len(piece)
-            a, b = np.frombuffer(self.a(piece), "<u4").astype(np.int64), np.frombuffer(self.b(piece), "<u4").astype(np.int64)
-            yield a, b, np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-
-    def links(self, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> np.ndarray:
-        """The pair (as one number) of every two tokens that share bytes: each stretch between two neighbouring ends is in just one token of each side."""
+        self.names = [b"%d%c" % (i, c) for n, ends in ((self.n_a, b",|"), (self.n_b, b",;")) for c in ends for i in range(n)]
+        self.known: dict[str | tuple[str], Aligned | None] = {}
+
+    def words(self, segment: str) -> list[str | tuple[str]]:
+        """Words of a text that begins with a blank: one with a blank before it without that, one with a line end with it, any other as a tuple."""
+        text = segment[1:]
+        if not _TWO_BLANKS.search(segment):
+            return text.replace("\n", " \n").split(" ")
+        return [w[1:] if w[0] == " " and len(w) > 1 and w[1] not in " \n" else w if w[0] == "\n" else (w,) for w in _BEFORE_WORD.split(segment)]
+
+    def learn(self, words: Iterable[str | tuple[str]]) -> None:
+        """Align the words that are not known yet."""
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        held, size = [], 0
+        for word in set(words) - self.known.keys():
+            held.append(word)
+            size += len(word)
+            if size > _TOGETHER:
+                self._align(held)
+                held, size = [], 0
+        if held:
+            self._align(held)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides; None where their bytes are not the texts'."""
+        whole = "".join(texts)
+        a = self.first(whole)
+        # the second puts a blank before a text by itself; before a line end it is a token of its own
+        each = self.second.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        b = [i for t, ids in zip(texts, each, strict=True) for i in (ids if t[0] == " " else ids[1:])]
+        whole = whole.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _align(self, keys: list[str | tuple[str]]) -> None:
+        texts = [k[0] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in keys]
+        apart = [k for k, t in enumerate(texts) if t[-1].isspace() or isinstance(keys[k], tuple)]
+        if apart and len(keys) > 1:
+            for k in apart:
+                self._align([keys[k]])
+            rest = sorted(set(range(len(keys))) - set(apart))
+            if rest:
+                self._align([keys[k] for k in rest])
+            return
+        found = self._encoded(texts)
+        if found is None:
+            if len(keys) == 1:
+                self.known[keys[0]] = None
+            else:
+                half = len(keys) // 2
+                self._align(keys[:half])
+                self._align(keys[half:])
+            return
+        a, b = found
+        a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        word_end = np.cumsum([len(t.encode()) for t in texts])
+        # each stretch between two neighbouring ends is in just one token of each side
         ends = np.union1d(a_end, b_end)
-        return a[np.searchsorted(a_end, ends)] * self.n_b + b[np.searchsorted(b_end, ends)]
-
-    def groups(self, a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> tuple[int, bytes]:
-        """Number of groups, and their text with a semicolon after each."""
+        links = (a[np.searchsorted(a_end, ends)] * self.n_b + b[np.searchsorted(b_end, ends)]).astype("<u4").tobytes()
         common = np.intersect1d(a_end, b_end, assume_unique=True)
         a_last, b_last = np.searchsorted(a_end, common), np.searchsorted(b_end, common)
         a_group, b_group = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
-        b_before = np.concatenate([[0], b_last + 1])
         order = np.empty(len(a) + len(b), np.int64)
         written_a, written_b = a.copy(), b + 2 * self.n_a
         written_a[a_last] += self.n_a
         written_b[b_last] += self.n_b
-        order[np.arange(len(a)) + b_before[a_group]] = written_a
+        order[np.arange(len(a)) + np.concatenate([[0], b_last + 1])[a_group]] = written_a
         order[np.arange(len(b)) + a_last[b_group] + 1] = written_b
-        return len(common), b"".join(map(self.names.__getitem__, order.tolist()))
+        written = list(map(self.names.__getitem__, order.tolist()))
+        upto = lambda at: [0, *np.searchsorted(at, word_end, "right").tolist()]
+        n_a, n_b, n_links, n_groups = upto(a_end), upto(b_end), upto(ends), upto(common)
+        for k, key in enumerate(keys):
+            a0, a1, b0, b1 = n_a[k], n_a[k + 1], n_b[k], n_b[k + 1]
+            self.known[key] = (a1 - a0, b1 - b0, n_groups[k + 1] - n_groups[k], links[4 * n_links[k] : 4 * n_links[k + 1]], b"".join(written[a0 + b0 : a1 + b1]))
+
+    def aligned(self, text: str, words: list[str | tuple[str]] | None = None) -> Iterator[tuple[int, int, int, np.ndarray, bytes]]:
+        """Tokens of both sides, groups, pairs of links and written groups of each part of blank + text; raises Unaligned where the tokens' bytes are others."""
+        for words in [words] if words else map(self.words, segments(text)):
+            try:
+                found = list(map(self.known.__getitem__, words))
+            except KeyError:
+                self.learn(words)
+                found = list(map(self.known.__getitem__, words))
+            if None in found:
+                raise Unaligned
+            n_a, n_b, groups, links, written = zip(*found, strict=True)
+            yield sum(n_a), sum(n_b), sum(groups), np.frombuffer(b"".join(links), "<u4"), b"".join(written)
+
+
+class Unaligned(ValueError):
+    """The tokens' bytes are not those of the text."""
+
+
+def segments(text: str) -> Iterator[str]:
+    """Blank + text in parts that begin with a blank."""
+    text, at = " " + text, 0
+    while at < len(text):
+        cut = _NEXT_CUT.search(text, at + _SEGMENT) if len(text) - at > _SEGMENT else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 _made: dict[tuple[str, str], Aligner] = {}
@@ -152,6 +205,22 @@ def _aligner(first: str, second: str) -> Aligner:
     return _made[first, second]
 
 
+def _texts(aligner: Aligner, column: pa.Array) -> Iterator[tuple[str | None, list[str | tuple[str]] | None]]:
+    """A column's texts, with their words where they are not long, after the words of the next few million characters were learned together."""
+    held: list[tuple[str | None, list[str | tuple[str]] | None]] = []
+    size = 0
+    for text in column:
+        text = text.as_py()
+        held.append((text, aligner.words(" " + text) if text and len(text) <= _SEGMENT else None))
+        size += len(text or "")
+        if size > 4 * _SEGMENT:
+            aligner.learn(w for _, words in held if words for w in words)
+            yield from held
+            held, size = [], 0
+    aligner.learn(w for _, words in held if words for w in words)
+    yield from held
+
+
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix(keys.astype(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(shards)).astype(np.int64)
 
@@ -229,15 +298,14 @@ def pair_documents(docs: DataFrame, first: str, second: str, text_col: str = "te
             return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
 
         for b in batches:
-            for text in b.column(0):
-                text = text.as_py()
+            for text, words in _texts(aligner, b.column(0)):
                 if not text:
                     continue
                 try:
-                    found = [np.unique(aligner.links(*s)) for s in aligner.segments(text)]
+                    found = [np.unique(part[3]) for part in aligner.aligned(text, words)]
                 except Unaligned:
                     continue
-                pairs = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+                pairs = (found[0] if len(found) == 1 else np.unique(np.concatenate(found))).astype(np.int64)
                 held.append(pairs)
                 counts.append(np.ones(len(pairs), np.int64))
                 n += len(pairs)
@@ -373,9 +441,7 @@ def align_documents(docs: DataFrame, first: str, second: str, id_col: str = "doc
     spark: SparkSession = docs.sparkSession
     partial = materialize(pair_documents(docs, first, second, text_col), "align-partial")
     table, shards = pair_counts(partial, pass_keys)
-    import sentencepiece
-
-    size = sentencepiece.SentencePieceProcessor(model_file=second).get_piece_size()
+    size = _aligner(first, second).n_b
     highest = {r.a: r.top for r in counted_pairs(table, size).groupBy("a").agg(F.max("docs").alias("top")).toLocalIterator()}
     tops = np.zeros(max(highest, default=0) + 1, np.int64)
     for a, top in highest.items():
@@ -419,7 +485,7 @@ def _second_pass(first: str, second: str, sent) -> Callable[[Iterator[pa.RecordB
             def look_up() -> None:
                 if not held:
                     return
-                links, row = np.concatenate(held), np.repeat(rows, [len(h) for h in held])
+                links, row = np.concatenate(held).astype(np.int64), np.repeat(rows, [len(h) for h in held])
                 at = pairs.of(links)
                 mine = at >= 0
                 mine[mine] = keys[at[mine]] == links[mine]
@@ -431,15 +497,13 @@ def _second_pass(first: str, second: str, sent) -> Callable[[Iterator[pa.RecordB
                 rows.clear()
 
             total = 0
-            for k, text in enumerate(b.column(1)):
-                text = text.as_py()
+            for k, (text, words) in enumerate(_texts(aligner, b.column(1))):
                 if not text:
                     continue
                 digest, late, fine = hashlib.sha256(), b"", True
                 try:
-                    for part in aligner.segments(text):
-                        links, (n_groups, written) = aligner.links(*part), aligner.groups(*part)
-                        whole[k, :4] += len(part[0]), len(part[1]), n_groups, len(links)
+                    for n_a, n_b, n_groups, links, written in aligner.aligned(text, words):
+                        whole[k, :4] += n_a, n_b, n_groups, len(links)
                         digest.update(late)
                         digest.update(written[:-1])
                         late = b";"
