@@ -23,7 +23,7 @@ def documents(n, seed, share=0.2, spoil=lambda w: w):
 
 def plain_score(text, model):
     """The rule said once more, window by window."""
-    kept, words = 1 - model.leak, [toxicity.subwords(w) for w in text.lower().split()]
+    kept, words = 1 - model.leak, [toxicity.subwords([w])[0].tolist() for w in text.lower().split()]
     words = [w for w in words if w]
     for k in range(0, len(words), toxicity.WINDOW):
         window = words[k : k + toxicity.WINDOW]
@@ -33,6 +33,16 @@ def plain_score(text, model):
     return 1 - kept
 
 
+def test_n_grams_are_of_single_words():
+    words = ["Abc", "--", "nitwit", "n1tw1t!", "a", "\U0001f642\U0001f642", "", "nit"]
+    together = toxicity.subwords(words)
+    assert len(together[0]) == sum(max(len(toxicity._plain(w)) + 2 - n + 1, 0) for w in words if toxicity._plain(w) for n in range(3, 7))
+    for k, w in enumerate(words):
+        assert toxicity.subwords([w])[0].tolist() == together[0][together[1] == k].tolist()
+    of = lambda w: set(toxicity.subwords([w])[0].tolist())
+    assert of("nitwit") == of("n1tw1t!") and len(of("nitwit") & of("nitwitt")) > 8 and not of("--")
+
+
 def test_held_out_documents_and_unseen_misspellings(spark):
     rows = documents(900, 1)
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix
+
 #: A text is scored in windows of this many words.
 WINDOW = 3
 _BUCKETS, _SIZE = 1 << 16, 10
 _SHORTEST, _LONGEST = 3, 6
 #: A word longer than this goes in pieces.
 _WORD = 40
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 500_000
 #: Documents of a training step.
 _BATCH = 128
 #: Windows less probable than this add nothing to a document, so that its length alone does not.
@@ -41,16 +41,28 @@ def words_of(text: str) -> list[str]:
     return [w[k : k + _WORD] for w in found for k in range(0, len(w), _WORD)]
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the character n-grams of a word with marks at both ends; none for a word of signs alone. Signs at the ends go, and digits and signs between letters count as the letters they look like."""
+def _plain(word: str) -> str:
+    """A word without signs at its ends; digits and signs between letters count as the letters they look like."""
     word = word.strip(_EDGE)
-    if not word:
-        return []
-    if not word.isalpha() and not word.isdigit():
-        word = word.translate(_LOOK_ALIKES)
-    marked = f"<{word}>"
-    grams = {marked[k : k + n] for n in range(_SHORTEST, _LONGEST + 1) for k in range(len(marked) - n + 1)} or {marked}
-    return sorted({zlib.crc32(g.encode()) % _BUCKETS for g in grams})
+    return word if word.isalpha() or word.isdigit() else word.translate(_LOOK_ALIKES)
+
+
+def subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of all words, each with marks at both ends, and the place of the word that each is of; none for words of signs alone."""
+    plain = [_plain(w) for w in words]
+    size = np.array([len(w) + 2 if w else 0 for w in plain], np.int64)
+    signs = np.frombuffer("".join(f"<{w}>" for w in plain if w).encode("utf-32-le"), "<u4").astype(np.uint64)
+    of = np.repeat(np.arange(len(plain)), size)
+    room = np.repeat(np.cumsum(size), size) - np.arange(len(signs))  # signs from here to the word's end
+    buckets, owners = [], []
+    hashed = signs
+    for n in range(2, _LONGEST + 1):
+        hashed = mix(hashed[:-1] * np.uint64(0x100000001B3) + signs[n - 1 :] + np.uint64(n))
+        if n >= _SHORTEST:
+            inside = room[: len(hashed)] >= n
+            buckets.append((hashed[inside] % np.uint64(_BUCKETS)).astype(np.int64))
+            owners.append(of[: len(hashed)][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -67,25 +79,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _n_grams_of(docs: Iterable[tuple[list[str], int]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Documents as numbers of their words, their labels, and the n-grams of word k: grams[start[k] : start[k + 1]]."""
+    """Documents as numbers of their words, their labels, and the n-grams of word k: grams[start[k] : start[k + 1]]. Words without n-grams are left out, and documents without words."""
     number: dict[str, int] = {}
-    grams, start, found, labels = array("i"), array("q", [0]), [], []
+    numbered, given = [], []
     for words, label in docs:
-        ids = array("i")
-        for w in words:
-            k = number.get(w)
-            if k is None:
-                g = subwords(w)
-                k = number[w] = len(start) - 1 if g else -1
-                if g:
-                    grams.extend(g)
-                    start.append(len(grams))
-            if k >= 0:
-                ids.append(k)
-        if len(ids):
-            found.append(np.array(ids))
-            labels.append(label)
-    return found, np.array(labels, np.int64), np.array(grams, np.int64), np.array(start)
+        numbered.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64))
+        given.append(label)
+    grams, of = subwords(list(number))
+    grams = grams[np.argsort(of, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(number)))])
+    real = np.diff(start) > 0
+    found = [ids[real[ids]] for ids in numbered]
+    labels = np.array([label for ids, label in zip(found, given, strict=True) if len(ids)], np.int64)
+    return [ids for ids in found if len(ids)], labels, grams, start
 
 
 def _ranges(start: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,18 +165,30 @@ def fit(rows: Iterable[tuple[list[str], int]], steps: int = 640, seed: int = 11,
     return Model(embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]), float(leak))
 
 
-class _Pulls(dict):
-    """word -> what it adds to a window; a bounded number of words is remembered."""
+class _Pulls:
+    """What words add to a window; a bounded number of them is remembered."""
 
-    def __init__(self, pull: np.ndarray):
-        self.pull = pull
+    def __init__(self, model: Model):
+        self.pull, self.known = model.pull, {}
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        grams = subwords(word)
-        found = self[word] = float(self.pull[grams].mean()) if grams else float("nan")
-        return found
+    def learn(self, words: Iterable[str]) -> None:
+        if len(self.known) > _CACHED_WORDS:
+            self.known.clear()
+        new = list(set(words) - self.known.keys())
+        if new:
+            grams, of = subwords(new)
+            n = np.bincount(of, minlength=len(new))
+            with np.errstate(invalid="ignore"):
+                self.known.update(zip(new, (np.bincount(of, self.pull[grams], len(new)) / n).tolist(), strict=True))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Their values, without words of signs alone."""
+        try:
+            value = np.fromiter(map(self.known.__getitem__, words), float, len(words))
+        except KeyError:
+            self.learn(words)
+            value = np.fromiter(map(self.known.__getitem__, words), float, len(words))
+        return value[~np.isnan(value)]
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -187,9 +205,7 @@ def score_text(text: str, pulls: _Pulls, model: Model) -> float:
     """The probability that a text is labelled toxic; long ones are read piece by piece, with windows that begin anew in each."""
     clean = 1 - model.leak
     for piece in _pieces(text):
-        words = words_of(piece)
-        value = np.fromiter(map(pulls.__getitem__, words), float, len(words))
-        value = value[~np.isnan(value)]
+        value = pulls.of(words_of(piece))
         if len(value):
             first = np.arange(0, len(value), WINDOW)
             p = _sigmoid(np.add.reduceat(value, first) / np.diff(np.append(first, len(value))) + model.bias)
@@ -227,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, most_words: in
         yield pa.RecordBatch.from_arrays([pa.array([found.pull.tobytes()]), pa.array([found.bias]), pa.array([found.leak])], ["pull", "bias", "leak"])
 
     row = one.repartition(1).sortWithinPartitions("h", "text").mapInArrow(work, "pull binary, bias double, leak double").first()
-    return Model(np.frombuffer(row.pull, float), row.bias, row.leak)
+    return Model(np.frombuffer(row.pull, float), row.bias, row.leak) if row else fit([])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,9 +252,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        pulls = _Pulls(model.pull)
+        pulls = _Pulls(model)
         for b in batches:
-            found = [score_text(t.as_py() or "", pulls, model) for t in b.column(1)]
+            found: list[float] = []
+            for k in range(0, b.num_rows, 500):
+                part = [t or "" for t in b.column(1).slice(k, 500).to_pylist()]
+                # words of neighbouring texts are learned together
+                pulls.learn(w for t in part if len(t) < _PIECE for w in words_of(t))
+                found += [score_text(t, pulls, model) for t in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
