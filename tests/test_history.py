@@ -1,5 +1,7 @@
 import datetime as dt
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,12 +108,95 @@ def test_queries(spark):
 def test_tables(spark, tmp_path):
     s, p = frames(spark, [row(1, "1"), row(3000, "1", "x")], [("s", at(1), True), ("s", at(3000), True)])
     log = history.replay(s, p)
-    for _ in range(2):
-        history.append_observations(log, str(tmp_path / "h"))
-    back = spark.read.parquet(str(tmp_path / "h"))
+    for batch in ("1", "2", "2"):
+        history.append_observations(log, str(tmp_path / "h"), batch)
+    back = history.stored_observations(spark, str(tmp_path / "h"))
     assert back.count() == 4 and sorted(x.name for x in (tmp_path / "h" / "source_key=s").iterdir()) == ["observed_date=2024-01-01", "observed_date=2024-01-03"]
     t = spark.createDataFrame([(1, "a", "k"), (2, None, "k")], "id int, v string, w string")
     r = spark.createDataFrame([(2, "b", "n"), (3, "c", "n")], "id int, v string, w string")
     assert sorted(map(tuple, history.upsert(t, r, ["id"], ["v"]).collect())) == [(1, "a", "k"), (2, "b", "k"), (3, "c", "n")]
     kept, children = history.registry_sync(t, spark.createDataFrame([(1, 9), (2, 8)], "parent int, x int"), r, "id", "parent")
     assert [r.id for r in kept.collect()] == [2] and [r.x for r in children.collect()] == [8]
+
+
+TYPED = '{"n": 3, "f": 2.5, "big": 12345678901234567890, "yes": true, "no": null, "text": "3", "quote": "a\\"b\\u00e9", "where": {"a": [1, null, {"b": false}]}, "status": "raw"}'
+
+
+def test_open_properties_keep_their_types(spark):
+    def changed(text, status, at_time=None):
+        c = F.lit(text).cast("string")
+        row = spark.range(1).select(history.latest_properties(c, F.lit(status).cast("string")).alias("l"), history.with_source_time(c, F.lit(at_time).cast("timestamp")).alias("t")).first()
+        return json.loads(row.l), json.loads(row.t)
+
+    plain = json.loads(TYPED)
+    latest, timed = changed(TYPED, "Open", "2024-01-02 03:04:05")
+    assert latest == plain | {"status": "Open"} and type(latest["n"]) is int and latest["yes"] is True
+    assert timed == plain | {"source_time": "2024-01-02T03:04:05+00:00"}
+    assert changed(TYPED, None)[0] == plain | {"status": None} and changed(TYPED, "x")[1] == plain
+    assert changed('{"source_time": 5}', "x", "2024-01-02")[1] == {"source_time": 5}
+    for odd in (None, "", "bad", "[1]", "null", "{}"):
+        assert changed(odd, "x") == ({"status": "x"}, {})
+    assert changed('{"a": 1, "a": [2], "": 0}', "x")[1] == {"a": [2], "": 0}
+    own = F.lit('{"n": false, "id": 9}')
+    e, o = spark.range(1).select(history.entity_properties(F.lit(TYPED), own), history.observation_properties(F.lit(TYPED), own)).first()
+    assert json.loads(e) == plain | {"n": False, "id": 9} and json.loads(o) == {"id": 9} | plain
+
+
+def test_replay_shuffles_once_and_sends_no_point_through_python(spark):
+    rng = random.Random(2)
+    rows = [row(k, str(i), rng.choice("xy")) for k in range(1, 5) for i in range(20)] + [row(2, "3", "z"), row(1, "9", geometry=POLLY)]
+    s, p = frames(spark, rows, [("s", at(k), True) for k in range(1, 5)])
+    log = history.replay(s, p)
+    log.collect()
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"\n[^\n]*?(?<!Broadcast)Exchange hashpartitioning", final)) == 1 and "SortMergeJoin" not in final
+    # the branch with the Python function holds only rows with a shape
+    python = re.search(r"ArrowEvalPython.*", final, re.S).group()
+    assert final.count("ArrowEvalPython [") == 1 and "isnotnull(geometry" in python
+
+
+def test_stored_history_is_pruned_by_source_day_and_place(spark, tmp_path):
+    places = [(35.0 + i % 10, -85.0 + i // 10) for i in range(100)]
+    log = spark.createDataFrame([(f"s{i % 3}", at(1440 * d + i), str(i), "c", "x", *places[i]) for i in range(100) for d in range(10)] + [("s1", at(1440 * 4 + i % 1000), str(i), "c", "hot", *places[i % 100]) for i in range(5000)], "source_key string, observed_at timestamp, external_id string, category string, status string, lat double, lon double")
+    path = str(tmp_path / "h")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that small ranges stay apart
+    history.append_observations(log, path, "1")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = list((tmp_path / "h" / "source_key=s1" / "observed_date=2024-01-05").rglob("*.parquet"))
+    assert len(hot) > 1, "a hot source-day is cut into files"
+    stored = history.stored_observations(spark, path)
+    found = history.observations(stored, source="s1", start=F.lit(at(1440 * 3)), end=F.lit(at(1440 * 5 - 1)), bbox=(-85, 35, -84, 37), limit=50000)
+    want = history.observations(log, source="s1", start=F.lit(at(1440 * 3)), end=F.lit(at(1440 * 5 - 1)), bbox=(-85, 35, -84, 37), limit=50000)
+    got = found.select(*want.columns).collect()
+    assert got == want.collect() and len(got) > 100
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[[^\]]*observed_date[^\]]*", plan) and "GreaterThanOrEqual(lat" in plan
+    all_files, read = len(stored.inputFiles()), len([f for f in stored.inputFiles() if "source_key=s1/" in f and ("2024-01-04" in f or "2024-01-05" in f)])
+    assert 0 < read < all_files / 4
+    metrics = found._jdf.queryExecution().executedPlan().collectLeaves()
+    files = [metrics.apply(k).metrics().get("numFiles").get().value() for k in range(metrics.size()) if metrics.apply(k).metrics().contains("numFiles")]
+    assert files == [read]
+    # files of a hot day hold stretches of the globe, told by their statistics
+    cells = [(f.lat_min, f.lat_max) for f in spark.read.parquet(*map(str, hot)).groupBy(F.input_file_name()).agg(F.min("cell").alias("lat_min"), F.max("cell").alias("lat_max")).collect()]
+    cells.sort()
+    assert all(a[1] <= b[0] for a, b in zip(cells, cells[1:], strict=False))
+
+
+def test_tracks_come_in_segments(spark):
+    log = spark.createDataFrame([("s", "1", at(k % 100), "x", None, 1.0 * k, 2.0) for k in range(257)] + [("s", "2", at(1), None, POLLY, 1.0, 2.0)], "source_key string, external_id string, observed_at timestamp, status string, geometry string, lon double, lat double")
+    rows = sorted(history.tracks(log, steps=50).collect(), key=lambda r: (r.external_id, r.segment))
+    assert [(r.external_id, r.segment, len(r.track)) for r in rows] == [("1", k, min(50, 257 - 50 * k)) for k in range(6)] + [("2", 0, 1)]
+    whole = history.tracks(log).filter("external_id = '1'").first().track
+    assert [x for r in rows if r.external_id == "1" for x in r.track] == whole
+
+
+def test_days_do_not_depend_on_the_time_zone(spark):
+    df = spark.sql("SELECT timestamp'1969-12-31 23:00:00' AS a, timestamp'2024-01-05 23:30:00' AS b")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        days = df.select(history.utc_day(F.timestamp_seconds(F.lit(-3600))).cast("string"), history.utc_day(F.timestamp_seconds(F.lit(1704497400))).cast("string")).first()
+        assert tuple(days) == ("1969-12-31", "2024-01-05")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")

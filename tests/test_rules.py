@@ -26,7 +26,8 @@ def test_fingerprints(spark):
     ring = [[-85, 35], [-85, 35.1], [-84.9, 35.1], [-85, 35]]
     poly, multi = f'{{"type":"Polygon","coordinates":[{ring}]}}', f'{{"type":"MultiPolygon","coordinates":[[{ring}]]}}'
     cases = [(None, 35.04, -85.31), (None, None, -85.31), (None, 35.04 + 1e-9, -85.31), (poly, None, None), (multi, 1.0, 2.0), ('{"type":"Point","coordinates":[1.5,2,3]}', None, None), (None, 35.0451234567, -85.3097654321)]
-    got = ask(spark, "g string, lat double, lon double", cases, geo.fingerprint(F.col("g"), F.col("lat"), F.col("lon")))
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, g string, lat double, lon double")
+    got = [r.f for r in geo.with_fingerprint(rows, "g", name="f").orderBy("i").collect()]
     assert got[:5] == ["-85.310000,35.040000", None, "-85.310000,35.040000", "1e3c7f63daf4a510065e511d7c370ed1ef8ca025", "37addbf384b68e32171b98a9a9d0eb47188c1e41"]
     assert len(got[5]) == 40 and got[6] == "-85.309765,35.045123"
 

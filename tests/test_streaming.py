@@ -56,5 +56,9 @@ def test_article_batches(spark, tmp_path):
     got = {r.id: r.cluster_id for r in stored.read().collect()}
     (s,) = outbox.all().collect()
     assert got[1] == got[2] == 1 and len(got) == 10 and s.stories == 9 and s.cycle == 3
+    first, told = VersionedTable(spark, str(tmp_path / "none")), VersionedTable(spark, str(tmp_path / "told"))
+    article_batches(first, told, lambda: F.lit(dt.datetime(2024, 1, 2)))(stored.read().drop("cluster_id"), 0)  # from an empty store
+    again = {r.id: r.cluster_id for r in first.read().collect()}
+    assert again == got and told.all().first().stories == 9
     s = spark.createDataFrame([(1, True), (2, False)], "created int, changed boolean")
     assert [r.created for r in signals(s).collect()] == [1]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,11 +105,32 @@ def shape_fingerprint(geometry: pd.Series) -> pd.Series:
     return geometry.map(one, na_action=None)
 
 
-def fingerprint(geometry: Column, lat: Column, lon: Column) -> Column:
-    """Points by their coordinates in the JVM (six decimals, as decimals), other shapes by shape_fingerprint()."""
+def point_fingerprint(lat: Column, lon: Column) -> Column:
+    """`lon,lat` at six decimals, in the JVM; null without both."""
     six = lambda c: c.cast("decimal(18,6)").cast("string")
-    point = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(six(lon), F.lit(","), six(lat)))
-    return F.when(geometry.isNull(), point).otherwise(shape_fingerprint(geometry))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat(six(lon), F.lit(","), six(lat)))
+
+
+def with_fingerprint(rows: DataFrame, geometry: str = "geometry", lat: str = "lat", lon: str = "lon", name: str = "fingerprint") -> DataFrame:
+    """Rows with their place's fingerprint: those without a geometry by their point, the others by shape_fingerprint().
+
+    The two kinds are two branches, so that no point goes through Python: Spark would compute a Python function for every
+    row of the one it stands in, also below a condition.
+    """
+    points = rows.filter(F.col(geometry).isNull()).withColumn(name, point_fingerprint(F.col(lat), F.col(lon)))
+    shapes = rows.filter(F.col(geometry).isNotNull()).withColumn(name, shape_fingerprint(F.col(geometry)))
+    return points.unionByName(shapes)
+
+
+def grid_cell(lat: Column, lon: Column, bits: int = 12) -> Column:
+    """Number of a place's cell in a grid of 2^bits by 2^bits over the globe, along a Z curve, so that near cells mostly have near numbers; null without both coordinates."""
+    side = 1 << bits
+    at = lambda c, low, span: F.least(F.greatest(F.floor((c - low) / span * side), F.lit(0)), F.lit(side - 1)).cast("long")
+    x, y = at(lon, -180.0, 360.0), at(lat, -90.0, 180.0)
+    spread = F.lit(0).cast("long")
+    for k in range(bits):
+        spread = spread + F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), 2 * k) + F.shiftleft(F.shiftright(y, k).bitwiseAND(F.lit(1)), 2 * k + 1)
+    return spread
 
 
 @F.pandas_udf(T.BooleanType())

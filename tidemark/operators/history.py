@@ -8,10 +8,12 @@ poll closes everything and a failed one nothing. An id that stands twice in one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import fingerprint, in_bbox, resolved_geometry
+from tidemark.functions.geo import grid_cell, in_bbox, resolved_geometry, with_fingerprint
+from tidemark.functions.openjson import json_string, member, members, merged, written
+from tidemark.tables import materialize
 
 KEY = ["source_key", "external_id"]
 CLOSED = "Closed"
@@ -24,27 +26,25 @@ def state_changed(prev_status: Column, prev_fp: Column, prev_active: Column, sta
 
 
 def latest_properties(properties: Column, status: Column) -> Column:
-    """Properties with `status` replaced by the normalized one, kept as null where there is none."""
-    base = F.map_filter(F.from_json(F.coalesce(properties, F.lit("{}")), "map<string,string>"), lambda k, v: k != "status")
-    return F.to_json(F.map_concat(base, F.create_map(F.lit("status"), status)), {"ignoreNullFields": "false"})
+    """Properties with `status` replaced by the normalized one, null where there is none; all other values keep their type."""
+    return written(merged(members(properties), F.array(member("status", json_string(status)))))
 
 
 def with_source_time(properties: Column, source_time: Column) -> Column:
-    """Properties with `source_time` as ISO text, unless the key is there already or there is no time."""
-    base = F.from_json(F.coalesce(properties, F.lit("{}")), "map<string,string>")
+    """Properties with `source_time` as ISO text, unless the key is there already or there is no time; all other values keep their type."""
     iso = F.date_format(source_time, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    add = source_time.isNotNull() & ~F.coalesce(F.map_contains_key(base, "source_time"), F.lit(False))
-    return F.to_json(F.when(add, F.map_concat(base, F.create_map(F.lit("source_time"), iso))).otherwise(base), {"ignoreNullFields": "false"})
+    add = F.when(source_time.isNotNull(), F.array(member("source_time", json_string(iso)))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    return written(merged(add, members(properties)))
 
 
-def one_per_poll(snapshots: DataFrame) -> DataFrame:
-    order = [F.col("seq").desc()] if "seq" in snapshots.columns else [F.col("status").desc_nulls_last(), F.col("properties").desc_nulls_last()]
-    w = Window.partitionBy(*KEY, "poll_at").orderBy(*order)
-    return snapshots.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+def _tie(snapshots: DataFrame) -> list[str]:
+    """What tells rows of one id in one poll apart: the greatest counts."""
+    return ["seq"] if "seq" in snapshots.columns else ["status", "properties"]
 
 
-def with_fingerprint(snapshots: DataFrame) -> DataFrame:
-    return snapshots.withColumn("fingerprint", fingerprint(F.col("geometry"), F.col("lat"), F.col("lon")))
+def one_per_poll(snapshots: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*KEY, "poll_at").orderBy(*[F.col(c).desc_nulls_last() for c in _tie(snapshots)])
+    return snapshots.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
 def numbered_polls(polls: DataFrame) -> DataFrame:
@@ -53,14 +53,27 @@ def numbered_polls(polls: DataFrame) -> DataFrame:
     return polls.filter("ok").select("source_key", "poll_at").distinct().withColumns({"poll_seq": F.row_number().over(w), "next_poll": F.lead("poll_at").over(w)})
 
 
+#: Polls of a history that are sent to the executors: some 50 MB. More are joined by a shuffle.
+_SENT_POLLS = 1_000_000
+
+
+def _of_polls(snapshots: DataFrame, polls: DataFrame) -> DataFrame:
+    """Snapshot rows of successful polls with poll_seq and next_poll. The polls are written and counted first."""
+    p = materialize(numbered_polls(polls), "polls")
+    return snapshots.join(F.broadcast(p) if p.count() <= _SENT_POLLS else p, ["source_key", "poll_at"])
+
+
 def replay(snapshots: DataFrame, polls: DataFrame) -> DataFrame:
     """The whole change log of a poll history: source_key, external_id, observed_at, change (new/updated/closed), status, fingerprint, category, label, lat, lon, geometry, properties, source_time.
 
-    The same log as reconciling poll by poll. Rows of failed or unlisted polls are ignored. One shuffle, by entity;
-    closures are read off the gap to an entity's next poll, so nothing is compared with every poll.
+    The same log as reconciling poll by poll. Rows of failed or unlisted polls are ignored. One shuffle and one sort, by
+    entity: rows of an id that stands twice in a poll lie side by side, and all but the last go; closures are read off
+    the gap to an entity's next poll, so nothing is compared with every poll.
     """
-    p = numbered_polls(polls)
-    rows = with_fingerprint(one_per_poll(snapshots)).join(p, ["source_key", "poll_at"])
+    rows = with_fingerprint(_of_polls(snapshots, polls))
+    in_order = Window.partitionBy(*KEY).orderBy("poll_seq", *[F.col(c).asc_nulls_first() for c in _tie(snapshots)])
+    again = F.lead("poll_seq").over(in_order)
+    rows = rows.withColumn("__again", again).filter(F.col("__again").isNull() | (F.col("__again") != F.col("poll_seq"))).drop("__again")
     w = Window.partitionBy(*KEY).orderBy("poll_seq")
     lag = lambda c: F.lag(c).over(w)
     rows = rows.withColumns({"p_seq": lag("poll_seq"), "p_status": lag("status"), "p_fp": lag("fingerprint"), "n_seq": F.lead("poll_seq").over(w)})
@@ -77,15 +90,14 @@ def replay(snapshots: DataFrame, polls: DataFrame) -> DataFrame:
 
 
 def final_state(snapshots: DataFrame, polls: DataFrame) -> DataFrame:
-    """Current state after a poll history: one row per entity with first and last sight, activity, and the last row's fields."""
-    p = numbered_polls(polls)
-    rows = with_fingerprint(one_per_poll(snapshots)).join(p, ["source_key", "poll_at"])
-    fields = ["poll_at", "next_poll", "category", "label", "status", "fingerprint", "lat", "lon", "geometry", "properties"]
-    state = rows.groupBy(*KEY).agg(F.min("poll_at").alias("first_seen_at"), F.max_by(F.struct(*fields), F.col("poll_seq")).alias("l"))
-    active = F.col("l.next_poll").isNull()
+    """Current state after a poll history: one row per entity with first and last sight, activity, and the last row's fields. One shuffle, of one row per entity and task."""
+    rows = _of_polls(snapshots, polls)
+    fields = ["poll_at", "next_poll", "category", "label", "status", "lat", "lon", "geometry", "properties"]
+    last = F.struct("poll_seq", *_tie(snapshots))
+    state = with_fingerprint(rows.groupBy(*KEY).agg(F.min("poll_at").alias("first_seen_at"), F.max_by(F.struct(*fields), last).alias("l")).select(*KEY, "first_seen_at", "l.*"))
     return state.select(
-        *KEY, "l.category", "l.label", "first_seen_at", F.coalesce("l.next_poll", "l.poll_at").alias("last_seen_at"), active.alias("is_active"), "l.status", "l.fingerprint", "l.lat", "l.lon", "l.geometry",
-        latest_properties(F.col("l.properties"), F.col("l.status")).alias("properties"),
+        *KEY, "category", "label", "first_seen_at", F.coalesce("next_poll", "poll_at").alias("last_seen_at"), F.col("next_poll").isNull().alias("is_active"), "status", "fingerprint", "lat", "lon", "geometry",
+        latest_properties(F.col("properties"), F.col("status")).alias("properties"),
     )
 
 
@@ -142,44 +154,57 @@ def entities(state: DataFrame, now: Column, active: bool = True, source: str | N
     return out.withColumn("status", shown_status(F.col("is_active"), F.col("status")))
 
 
+def utc_day(at: Column) -> Column:
+    """The day of a time by UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at) / 86_400_000_000).cast("int"))
+
+
 def observations(log: DataFrame, source: str | None = None, category: str | None = None, start: Column | None = None, end: Column | None = None, bbox: tuple | None = None, limit: int = 5000) -> DataFrame:
-    """Observations of a window (both ends included), newest first, at most `limit` (1 to 50000)."""
+    """Observations of a window (both ends included), newest first, at most `limit` (1 to 50000).
+
+    On history written by append_observations the source and the days of the window choose the folders to read, and a
+    box the row groups: their statistics hold a narrow range of coordinates each.
+    """
     if not 1 <= limit <= 50000:
         raise ValueError("limit must be 1 to 50000")
     out = log
+    stored = "observed_date" in log.columns
     if source:
         out = out.filter(F.col("source_key") == source)
     if category:
         out = out.filter(F.col("category") == category)
     if start is not None:
         out = out.filter(F.col("observed_at") >= start)
+        out = out.filter(F.col("observed_date") >= utc_day(start)) if stored else out
     if end is not None:
         out = out.filter(F.col("observed_at") <= end)
+        out = out.filter(F.col("observed_date") <= utc_day(end)) if stored else out
     if bbox:
-        out = out.filter(in_bbox(F.col("lon"), F.col("lat"), bbox))
+        out = out.filter(F.col("lon").between(bbox[0], bbox[2])).filter(F.col("lat").between(bbox[1], bbox[3]))
     return out.orderBy(F.desc("observed_at"), *KEY).limit(limit)
 
 
-def tracks(log: DataFrame) -> DataFrame:
-    """Every entity's observations, oldest first, with coordinates for points only."""
+def tracks(log: DataFrame, steps: int = 10_000) -> DataFrame:
+    """Every entity's observations, oldest first, with coordinates for points only, as rows of at most `steps` observations: source_key, external_id, segment (from 0, in order of time), track.
+
+    An entity's rows are numbered in a sorted stream, so no row of the result and no group holds more than `steps`,
+    however long a track is.
+    """
     step = F.struct("observed_at", "status", F.when(F.col("geometry").isNull(), F.col("lon")).alias("lon"), F.when(F.col("geometry").isNull(), F.col("lat")).alias("lat"))
-    return log.groupBy(*KEY).agg(F.array_sort(F.collect_list(step)).alias("track"))
+    rows = log.select(*KEY, step.alias("step"))
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("step"))
+    cut = rows.withColumn("segment", F.floor((number - 1) / steps).cast("long"))
+    return cut.groupBy(*KEY, "segment").agg(F.array_sort(F.collect_list("step")).alias("track"))
 
 
 def entity_properties(properties: Column, own: Column) -> Column:
-    """Feature properties of an entity: its own fields win over raw ones."""
-    return _merged(properties, own)
+    """Feature properties of an entity, as JSON text: its own fields win over raw ones; values keep their type."""
+    return written(merged(members(properties), members(own)))
 
 
 def observation_properties(properties: Column, own: Column) -> Column:
-    """Feature properties of an observation: stored ones win over added ones."""
-    return _merged(own, properties)
-
-
-def _merged(low: Column, high: Column) -> Column:
-    as_map = lambda c: F.from_json(F.coalesce(c, F.lit("{}")), "map<string,string>")
-    rest = F.map_filter(as_map(low), lambda k, v: ~F.map_contains_key(as_map(high), k))
-    return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(rest, as_map(high)))))
+    """Feature properties of an observation, as JSON text: stored ones win over added ones; values keep their type."""
+    return written(merged(members(own), members(properties)))
 
 
 def last_runs(runs: DataFrame) -> DataFrame:
@@ -242,15 +267,30 @@ def geometry_of(df: DataFrame) -> Column:
 
 
 def features(df: DataFrame, properties: Column) -> DataFrame:
-    """One GeoJSON Feature text per row."""
+    """One GeoJSON Feature text per row; properties are JSON text, taken as it is, or a struct or map."""
     shape = F.coalesce(geometry_of(df), F.lit("null"))
-    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), F.to_json(properties), F.lit("}")).alias("value"))
+    text = df.select(properties.alias("p")).schema["p"].dataType.typeName() == "string"
+    inside = F.coalesce(properties, F.lit("{}")) if text else F.to_json(properties)
+    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), shape, F.lit(',"properties":'), inside, F.lit("}")).alias("value"))
+
+
+def append_observations(log: DataFrame, path: str, batch: str) -> None:
+    """Append a batch to history in folders by source, UTC day and batch. A batch that comes again replaces its own folders and no other, so a retry doubles nothing.
+
+    Rows are dealt by ranges of (source, day, cell of the globe, time): a hot source-day is cut into as many ranges as its
+    share needs, and each file holds a narrow stretch of places and times, which its statistics tell a reader.
+    """
+    dated = log.withColumns({"observed_date": utc_day(F.col("observed_at")), "batch": F.lit(batch), "cell": grid_cell(F.col("lat"), F.col("lon"))})
+    order = ["source_key", "observed_date", "cell", "observed_at", "external_id"]
+    dealt = dated.repartitionByRange(*order).sortWithinPartitions("source_key", "observed_date", "batch", "cell", "observed_at", "external_id")
+    dealt.write.partitionBy("source_key", "observed_date", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def append_observations(log: DataFrame, path: str) -> None:
-    """Append to history partitioned by source and day, sorted by entity and time inside files."""
-    dated = log.withColumn("observed_date", F.to_date("observed_at"))
-    dated.repartition("source_key", "observed_date").sortWithinPartitions("external_id", "observed_at").write.partitionBy("source_key", "observed_date").mode("append").parquet(path)
+def stored_observations(spark: SparkSession, path: str) -> DataFrame:
+    """History as append_observations() wrote it; source_key and batch are texts."""
+    fields = spark.read.parquet(path).schema
+    as_text = [f"`{f.name}` string" if f.name in ("source_key", "batch") else f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    return spark.read.schema(", ".join(as_text)).parquet(path)
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], update: list[str]) -> DataFrame:

@@ -125,16 +125,32 @@ def h06(spark, sf):
     return log.withColumn("p", F.lag("change").over(w)).filter("change = 'updated' AND p = 'closed'").select("source_key", "external_id", seconds("observed_at").alias("observed_at"))
 
 
-@query("h07_current_state", f"WITH {SNAPSHOTS} SELECT source_key, external_id, first_seen_at, last_seen_at, is_active, status, fp AS fingerprint, category, k, status AS property_status FROM state")
+def _typed(snaps: DataFrame) -> DataFrame:
+    """Snapshots whose properties hold numbers, booleans, nulls, quotes and nested values."""
+    k = F.get_json_object("properties", "$.k").cast("int")
+    text = F.format_string('{"k": %d, "where": {"a": [%d, "x", false]}, "customer_quantity": %d.5, "major": %s, "none": null, "note": "say \\"%s\\"", "status": "raw"}', k, k, k, k % 2 == 0, "status")
+    return snaps.withColumn("properties", text)
+
+
+def _typed_sql(k: str = "k", between: str = "", status: str = "'\"' || status || '\"'") -> str:
+    """The same properties, keys in order."""
+    return f"""'{{"customer_quantity":' || k || '.5,"k":' || {k} || ',"major":' || CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END || ',"none":null,"note":"say \\"' || status || '\\"",{between}"status":' || {status} || ',"where":{{"a":[' || k || ',"x",false]}}}}'"""
+
+
+@query("h07_current_state", f"WITH {SNAPSHOTS} SELECT source_key, external_id, first_seen_at, last_seen_at, is_active, status, fp AS fingerprint, category, {_typed_sql()} AS properties FROM state")
 def h07(spark, sf):
-    p = lambda c: F.get_json_object("properties", f"$.{c}")
-    return _state(spark, sf).select("source_key", "external_id", seconds("first_seen_at").alias("first_seen_at"), seconds("last_seen_at").alias("last_seen_at"), "is_active", "status", "fingerprint", "category", p("k").cast("int").alias("k"), p("status").alias("property_status"))
+    s = _typed(snapshots(spark, sf))
+    state = history.final_state(s, polls(s))
+    return state.select("source_key", "external_id", seconds("first_seen_at").alias("first_seen_at"), seconds("last_seen_at").alias("last_seen_at"), "is_active", "status", "fingerprint", "category", "properties")
+
+
+_SOURCE_TIME = """"source_time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') || '","""
 
 
-@query("h08_observation_properties", f"WITH {SNAPSHOTS} SELECT source_key, external_id, poll_at, k, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS source_time FROM snaps")
+@query("h08_observation_properties", f"""WITH {SNAPSHOTS} SELECT source_key, external_id, poll_at, {_typed_sql(between=_SOURCE_TIME, status="'\"raw\"'")} AS properties FROM snaps""")
 def h08(spark, sf):
-    s = snapshots(spark, sf).withColumn("o", history.with_source_time(F.col("properties"), F.col("source_time")))
-    return s.select("source_key", "external_id", seconds("poll_at").alias("poll_at"), F.get_json_object("o", "$.k").cast("int").alias("k"), F.get_json_object("o", "$.source_time").alias("source_time"))
+    s = _typed(snapshots(spark, sf))
+    return s.select("source_key", "external_id", seconds("poll_at").alias("poll_at"), history.with_source_time(F.col("properties"), F.col("source_time")).alias("properties"))
 
 
 @query("h09_replay", f"WITH {SNAPSHOTS} SELECT source_key, external_id, observed_at, change, status, fp AS fingerprint, category FROM changes")
@@ -160,25 +176,32 @@ def h11(spark, sf):
     return s.select("source_key", "external_id", "is_active", history.shown_status(F.col("is_active"), F.col("status")).alias("status"), seconds("first_seen_at").alias("first_seen_at"))
 
 
-@query("h12_tracks", f"WITH {SNAPSHOTS} SELECT source_key, external_id, count(*) AS steps, string_agg(observed_at || ':' || status, ' ' ORDER BY observed_at, status, lon) AS track FROM changes GROUP BY source_key, external_id")
+@query("h12_tracks", f"WITH {SNAPSHOTS} SELECT source_key, external_id, segment, count(*) AS steps, string_agg(observed_at || ':' || status, ' ' ORDER BY observed_at, status, lon) AS track FROM (SELECT *, (row_number() OVER (PARTITION BY source_key, external_id ORDER BY observed_at, status, lon) - 1) // 16 AS segment FROM changes) GROUP BY source_key, external_id, segment")
 def h12(spark, sf):
-    t = history.tracks(_log(spark, sf))
-    return t.select("source_key", "external_id", F.size("track").cast("long").alias("steps"), F.array_join(F.transform("track", lambda x: F.concat(F.unix_seconds(x["observed_at"]).cast("string"), F.lit(":"), x["status"])), " ").alias("track"))
+    t = history.tracks(_log(spark, sf), steps=16)
+    return t.select("source_key", "external_id", "segment", F.size("track").cast("long").alias("steps"), F.array_join(F.transform("track", lambda x: F.concat(F.unix_seconds(x["observed_at"]).cast("string"), F.lit(":"), x["status"])), " ").alias("track"))
 
 
 @query("h13_observations", f"""WITH {SNAPSHOTS} SELECT source_key, external_id, observed_at, status FROM changes WHERE source_key = 'src2' AND observed_at BETWEEN epoch(TIMESTAMP '2024-01-05') AND epoch(TIMESTAMP '2024-01-12')
 ORDER BY observed_at DESC, source_key, external_id LIMIT 50000""")
 def h13(spark, sf):
+    """From stored history, which source and days choose the folders of."""
+    path = new_path(spark, "history")
+    history.append_observations(_log(spark, sf), path, "all")
     at = lambda d: F.lit(d).cast("timestamp")
-    return history.observations(_log(spark, sf), source="src2", start=at("2024-01-05"), end=at("2024-01-12"), limit=50000).select("source_key", "external_id", seconds("observed_at").alias("observed_at"), "status")
+    found = history.observations(history.stored_observations(spark, path), source="src2", start=at("2024-01-05"), end=at("2024-01-12"), limit=50000)
+    return found.select("source_key", "external_id", seconds("observed_at").alias("observed_at"), "status")
+
+
+_OWN_KEY = """"source_key":"' || source_key || '","""
 
 
-@query("h14_property_precedence", f"WITH {SNAPSHOTS} SELECT source_key, external_id, 'own' AS entity_k, CAST(k AS VARCHAR) AS observation_k, source_key AS added FROM state")
+@query("h14_property_precedence", f"""WITH {SNAPSHOTS} SELECT source_key, external_id, {_typed_sql(k="'[1,null]'", between=_OWN_KEY)} AS entity, {_typed_sql(between=_OWN_KEY)} AS observation FROM state""")
 def h14(spark, sf):
-    s = _state(spark, sf)
-    own = F.to_json(F.create_map(F.lit("k"), F.lit("own"), F.lit("source_key"), F.col("source_key")))
+    s = _typed(snapshots(spark, sf))
+    own = F.format_string('{"k": [1, null], "source_key": "%s"}', "source_key")
     e, o = history.entity_properties(F.col("properties"), own), history.observation_properties(F.col("properties"), own)
-    return s.select("source_key", "external_id", e["k"].alias("entity_k"), o["k"].alias("observation_k"), o["source_key"].alias("added"))
+    return history.final_state(s, polls(s)).select("source_key", "external_id", e.alias("entity"), o.alias("observation"))
 
 
 @query("h15_last_runs", f"WITH {SNAPSHOTS}, per AS (SELECT source_key, poll_at, count(*) AS n FROM snaps GROUP BY 1, 2) SELECT source_key, max(poll_at) AS last_run_at, 'ok' AS last_status, arg_max(n, poll_at) AS last_count FROM per GROUP BY source_key")
@@ -222,9 +245,13 @@ def h20(spark, sf):
 
 @query("s16_append_history", f"WITH {SNAPSHOTS} SELECT source_key, strftime(make_timestamp(observed_at * 1000000), '%Y-%m-%d') AS observed_date, count(*) AS observations FROM changes GROUP BY 1, 2")
 def s16(spark, sf):
-    path = new_path(spark, "history")
-    history.append_observations(_log(spark, sf), path)
-    back = spark.read.parquet(path)
+    """Two batches, the second written twice as after a failure."""
+    path, log = new_path(spark, "history"), _log(spark, sf)
+    early = F.col("observed_at") < F.lit("2024-01-10 12:00:00").cast("timestamp")
+    history.append_observations(log.filter(early), path, "1")
+    for _ in range(2):
+        history.append_observations(log.filter(~early), path, "2")
+    back = history.stored_observations(spark, path)
     return back.groupBy("source_key", F.date_format("observed_date", "yyyy-MM-dd").alias("observed_date")).agg(F.count(F.lit(1)).alias("observations"))
 
 
@@ -246,12 +273,16 @@ def s18(spark, sf):
     return orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("orders"))
 
 
-@query("s19_features", f"WITH {SNAPSHOTS} SELECT external_id, lon, lat, source_key FROM state")
+@query("s19_features", f"""WITH {SNAPSHOTS} SELECT external_id, lon, lat, source_key, replace({_typed_sql(between=_OWN_KEY)}, '"k":', '"external_id":"' || external_id || '","k":') AS properties FROM state""")
 def s19(spark, sf):
-    s = _state(spark, sf)
-    f = history.features(s, F.struct("source_key", "external_id"))
+    s = _typed(snapshots(spark, sf))
+    own = F.format_string('{"source_key": "%s", "external_id": "%s"}', "source_key", "external_id")
+    f = history.features(history.final_state(s, polls(s)), history.entity_properties(F.col("properties"), own))
     g = lambda p: F.get_json_object("value", p)
-    return f.select(g("$.properties.external_id").alias("external_id"), g("$.geometry.coordinates[0]").cast("double").alias("lon"), g("$.geometry.coordinates[1]").cast("double").alias("lat"), g("$.properties.source_key").alias("source_key"))
+    return f.select(
+        g("$.properties.external_id").alias("external_id"), g("$.geometry.coordinates[0]").cast("double").alias("lon"), g("$.geometry.coordinates[1]").cast("double").alias("lat"), g("$.properties.source_key").alias("source_key"),
+        F.regexp_extract("value", r'"properties":(.*)\}$', 1).alias("properties"),
+    )
 
 
 @query("s20_change_messages", f"WITH {SNAPSHOTS} SELECT source_key, observed_at, coalesce(string_agg(external_id, ',' ORDER BY external_id) FILTER (WHERE change = 'new'), '') AS new, coalesce(string_agg(external_id, ',' ORDER BY external_id) FILTER (WHERE change = 'updated'), '') AS updated, coalesce(string_agg(external_id, ',' ORDER BY external_id) FILTER (WHERE change = 'closed'), '') AS closed FROM changes GROUP BY 1, 2")

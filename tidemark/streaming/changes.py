@@ -98,13 +98,17 @@ def poll_batches(state: VersionedTable, outbox: VersionedTable, polls: Callable[
 
 
 def article_batches(stored: VersionedTable, outbox: VersionedTable, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for articles: upsert, recluster the window, save, and signal each cycle with the number of stories. A batch that comes again writes its version again."""
+    """A foreachBatch function for articles: upsert, recluster the window, save, and signal each cycle with the number of stories. The first batch begins with no articles. A batch that comes again writes its version again."""
     from tidemark.operators.stories import recluster, upsert_articles
 
     def run(batch: DataFrame, number: int) -> None:
         if number <= max(stored.versions(), default=-1):
             return
-        rows = materialize(upsert_articles(stored.read(), batch, ["url"]), "articles")
+        if "cluster_id" not in batch.columns:
+            batch = batch.withColumn("cluster_id", F.lit(None).cast("long"))
+        before = stored.read()
+        before = batch.limit(0) if before is None else before
+        rows = materialize(upsert_articles(before, batch, ["url"]), "articles")
         clusters = materialize(recluster(rows, now()).select("id", F.col("cluster_id").alias("__c")), "clusters")
         out = rows.join(clusters, "id", "left").withColumn("cluster_id", F.coalesce("__c", "cluster_id")).select(*rows.columns)
         outbox.save(clusters.agg(F.count_distinct("__c").alias("stories")).withColumn("cycle", F.lit(number)), number)
