@@ -176,6 +176,7 @@ def test_stored_history_is_pruned_by_source_day_and_place(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*observed_date[^\]]*", plan) and "GreaterThanOrEqual(lat" in plan
     all_files, read = len(stored.inputFiles()), len([f for f in stored.inputFiles() if "source_key=s1/" in f and ("2024-01-04" in f or "2024-01-05" in f)])
     assert 0 < read < all_files / 4
+    found.collect()
     metrics = found._jdf.queryExecution().executedPlan().collectLeaves()
     files = [metrics.apply(k).metrics().get("numFiles").get().value() for k in range(metrics.size()) if metrics.apply(k).metrics().contains("numFiles")]
     assert files == [read]

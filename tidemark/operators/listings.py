@@ -7,16 +7,12 @@ starts_at, ends_at, venue_name, address, image_url, latitude, longitude, tags, l
 
 from __future__ import annotations
 
-import bisect
-import datetime as dt
-import hashlib
 import math
-import re
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import EARTH_MILES, haversine_miles, near_box
@@ -205,21 +201,15 @@ def drifted_keys(raws: DataFrame, events: DataFrame, links: DataFrame) -> DataFr
     return firsts.groupBy("new_key").agg(F.min(F.struct("seq", "event_id", "canonical_key")).alias("w")).select("w.event_id", "w.canonical_key", "new_key", "w.seq")
 
 
-# The order-dependent rules below run along one independent group at a time; small helpers say them for one pair.
-
-_STOP = frozenset(TITLE_STOPWORDS)
-
-
-def _tokens(title: str) -> list[str]:
-    words = re.sub(r"[^a-z0-9 ]", " ", (title or "").lower()).split()
-    return [w for w in words if w not in _STOP] or words
+# The order-dependent rules below run along one independent group at a time; titles, venues and addresses come as normal text.
 
 
 def _near(a: str, b: str) -> bool:
     """Equal, or both of five signs or more and one insertion, deletion or change apart."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+    # a change at the front leaves the end alone
+    if (a[:1] != b[:1] and a[-1:] != b[-1:]) or not -2 < len(a) - len(b) < 2 or len(a) < 5 or len(b) < 5:
         return False
     front = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     return a[front + (len(a) >= len(b)) :] == b[front + (len(b) >= len(a)) :]
@@ -227,17 +217,14 @@ def _near(a: str, b: str) -> bool:
 
 def _titles(a: list[str], b: list[str]) -> bool:
     """As tokens_match(): the places of the larger title are bits, and each token of the smaller one uses up the lowest free bit of its like."""
-    short, wide = sorted((a, b), key=len)
+    short, wide = (a, b) if len(a) <= len(b) else (b, a)
     used = 0
     for word in short:
         fits = sum(1 << k for k, o in enumerate(wide) if _near(word, o)) & ~used
+        if not fits:
+            return False
         used |= fits & -fits
-    return len(short) >= 2 and used.bit_count() == len(short)
-
-
-def _key(tokens: list[str], at: int) -> str:
-    hour = dt.datetime.fromtimestamp(at, dt.UTC).strftime("%Y-%m-%dT%H")
-    return hashlib.sha256(f"{' '.join(tokens)}|{hour}".encode()).hexdigest()[:32]
+    return len(short) >= 2
 
 
 def _miles(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -251,91 +238,209 @@ def _null(v):
 
 
 class _Event:
-    """What the merge rules look at and change in an event."""
+    """What the merge rules look at and change in an event. Its key is the normal title and the hour it stands for."""
 
     def __init__(self, row: dict, at: int):
         g = lambda c: _null(row.get(c))
         self.id, self.title, self.at = g("id"), g("title") or "", at
-        self.description, self.venue, self.address, self.image, self.ends = g("description") or "", g("venue_name"), g("address"), g("image_url"), g("ends_at")
+        self.description, self.image, self.ends = g("description") or "", g("image_url"), g("ends_at")
+        # a place's name with its normal form
+        self.venue, self.address = ((g(c), g(n)) if g(c) is not None else None for c, n in (("venue_name", "venue"), ("address", "addr")))
         lat, lon = g("latitude"), g("longitude")
         self.coords = (lat, lon) if lat is not None and lon is not None else None
         self.tags = list(row["tags"]) if row.get("tags") is not None else []
         self.links: dict[tuple[str, str], str | None] = {}
         self.count = 0
-        self.retitle()
+        self.retitle(row["normal"])
 
-    def retitle(self) -> None:
-        self.tokens = _tokens(self.title)
-        self.key = _key(self.tokens, self.at)
+    def retitle(self, normal: str) -> None:
+        self.tokens = normal.split()
+        self.key = (normal, self.at // 3600)
 
     def fill(self, o: _Event) -> None:
         """Take what is empty here, never replace a value."""
         self.description = self.description or o.description
-        for f in ("venue", "address", "ends", "image"):
+        for f in ("venue", "address"):
+            if getattr(self, f) is None and getattr(o, f) and getattr(o, f)[0]:
+                setattr(self, f, getattr(o, f))
+        for f in ("ends", "image"):
             if getattr(self, f) is None and getattr(o, f):
                 setattr(self, f, getattr(o, f))
 
+    def names(self) -> list[tuple[str, str]]:
+        """Normal venue and address where they have text."""
+        return [(kind, place[1]) for kind, place in (("v", self.venue), ("a", self.address)) if place and place[0]]
+
     def alike(self, o: _Event) -> bool:
-        if abs(self.at - o.at) > MAX_HOURS * 3600 or not _titles(self.tokens, o.tokens):
+        if abs(self.at - o.at) > MAX_HOURS * 3600:
             return False
         if self.coords and o.coords:
-            return _miles(self.coords, o.coords) <= MAX_MILES
-        return any(a and b and _tokens(a) == _tokens(b) for a, b in ((self.venue, o.venue), (self.address, o.address)))
+            # a hundredth of a degree of latitude is more than half a mile
+            placed = abs(self.coords[0] - o.coords[0]) < 0.01 and _miles(self.coords, o.coords) <= MAX_MILES
+        else:
+            placed = any(mine and theirs and mine[0] and theirs[0] and mine[1] == theirs[1] for mine, theirs in ((self.venue, o.venue), (self.address, o.address)))
+        return placed and _titles(self.tokens, o.tokens)
 
     def absorb(self, o: _Event) -> None:
         if len(o.title) > len(self.title):
             self.title = o.title
+            self.retitle(o.key[0])
         self.fill(o)
         self.coords = self.coords or o.coords
         for k, v in o.links.items():
             self.links.setdefault(k, v)
         self.tags += [t for t in o.tags if t not in self.tags]
         self.count += 1
-        self.retitle()
 
     def row(self) -> dict:
         lat, lon = self.coords or (None, None)
-        return {"id": self.id, "canonical_key": self.key, "title": self.title, "description": self.description, "at": self.at, "ends_at": self.ends, "venue_name": self.venue, "address": self.address, "image_url": self.image, "latitude": lat, "longitude": lon,
-                "tags": self.tags, "links": [{"source_name": a, "source_url": b, "source_event_id": i} for (a, b), i in self.links.items()]}
+        return {"id": self.id, "key_normal": self.key[0], "key_hour": self.key[1], "title": self.title, "description": self.description, "at": self.at, "ends_at": self.ends, "venue_name": self.venue and self.venue[0], "address": self.address and self.address[0], "image_url": self.image, "latitude": lat,
+                "longitude": lon, "tags": self.tags, "links": [{"source_name": a, "source_url": b, "source_event_id": i} for (a, b), i in self.links.items()]}
 
 
-class _InTime:
-    """Events of one group that start within two hours of a time, first come first."""
+_STEP = MAX_HOURS * 3600
+_CELL = 1.02 * MAX_MILES / EARTH_MILES
+
+
+def _signatures(word: str) -> set[str]:
+    """As deletions(): words that count as equal share one."""
+    return {word} | {word[:k] + word[k + 1 :] for k in range(len(word))} if len(word) >= 5 else {word}
 
-    def __init__(self) -> None:
-        self.starts: list[tuple[int, int]] = []
 
-    def add(self, at: int, number: int) -> None:
-        bisect.insort(self.starts, (at, number))
+def _cell(coords: tuple[float, float]) -> tuple[int, int, int]:
+    """A cell of a cube grid round the earth, wider than half a mile: places within half a mile lie in neighbouring cells."""
+    phi, lam = math.radians(coords[0]), math.radians(coords[1])
+    return tuple(math.floor(x / _CELL) for x in (math.cos(phi) * math.cos(lam), math.cos(phi) * math.sin(lam), math.sin(phi)))
 
-    def around(self, at: int) -> list[int]:
-        low, high = bisect.bisect_left(self.starts, (at - MAX_HOURS * 3600, -1)), bisect.bisect_right(self.starts, (at + MAX_HOURS * 3600, 1 << 62))
-        return sorted(number for _, number in self.starts[low:high])
 
+class _Near:
+    """Finds the events of a group that may be alike to a new one: by words and by places, among those that start in its two hours or the ones next to them.
 
-class _Upsert:
+    Each word of an event is noted under its signatures, one word (the rarest when the event came) also by itself. All
+    words of the smaller of two matching titles are in the larger one: so a larger or equal event is noted under any
+    chosen word of the new one, a smaller event's own single word is among the new one's words. Places agree by
+    neighbouring cells or equal names. Of both ways the shorter list is looked through. An event whose title or place
+    changes is noted again.
+    """
+
+    def __init__(self) -> None:
+        self.slots: dict[int, tuple[dict, dict, dict]] = {}
+        self.noted: dict[int, set] = {}
+
+    def add(self, number: int, e: _Event) -> None:
+        words, singles, places = self.slots.setdefault(e.at // _STEP, ({}, {}, {}))
+        if len(e.tokens) >= 2:
+            signed = {w: _signatures(w) for w in set(e.tokens)}
+            rarest = min(sorted(signed), key=lambda w: sum(len(words.get(s, ())) for s in signed[w]))
+            self._note(words, {s for found in signed.values() for s in found}, number)
+            self._note(singles, signed[rarest], number)
+        self._note(places, [("g", _cell(e.coords)) if e.coords else None, *e.names()], number)
+
+    @staticmethod
+    def _note(table: dict, keys: Iterable, number: int) -> None:
+        for k in keys:
+            if k is not None:
+                found = table.setdefault(k, [])
+                if not found or found[-1] != number:
+                    found.append(number)
+
+    def around(self, e: _Event) -> list[int]:
+        """Numbers of events that may be alike, in order."""
+        if len(e.tokens) < 2:
+            return []
+        signed = {w: _signatures(w) for w in set(e.tokens)}
+        everything = {s for found in signed.values() for s in found}
+        names, cells = e.names(), []
+        if e.coords:
+            x, y, z = _cell(e.coords)
+            cells = [("g", (x + i, y + j, z + k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        out: set[int] = set()
+        for slot in range(e.at // _STEP - 1, e.at // _STEP + 2):
+            if slot not in self.slots:
+                continue
+            words, singles, places = self.slots[slot]
+            by_word = min(([words[s] for s in found if s in words] for found in signed.values()), key=lambda lists: sum(map(len, lists)))
+            by_title = by_word + [singles[s] for s in everything if s in singles]
+            by_place = [places[k] for k in (*cells, *names) if k in places]
+            out.update(*min(by_title, by_place, key=lambda lists: sum(map(len, lists))))
+        return sorted(out)
+
+    def forget(self, low: int, high: int) -> None:
+        """Drop what starts outside of these times, as no later row comes near."""
+        for slot in [s for s in self.slots if (s + 1) * _STEP <= low or s * _STEP > high]:
+            del self.slots[slot]
+
+
+def _reach(low: int, high: int) -> tuple[int, int]:
+    """Starts of events that rows which start from low to high may belong to: on the same UTC day, or within two hours."""
+    return low // 86400 * 86400 - _STEP, (high // 86400 + 1) * 86400 + _STEP
+
+
+class _Rule:
+    """A rule along the rows of a group. Every so often what no later row can reach goes out and is forgotten: a row tells the first and the last start of itself and all rows after it (low, high)."""
+
+    _EVERY = 2000
+
+    def __init__(self) -> None:
+        self.events: dict[int, _Event] = {}
+        self.near = _Near()
+        self.rows_in = self.made = 0
+        self.done: list[dict] = []
+
+    def take(self, row: dict) -> None:
+        self.add(row)
+        self.rows_in += 1
+        if self.rows_in % self._EVERY == 0:
+            low, high = _reach(row["low"], row["high"])
+            gone = [k for k, e in self.events.items() if not low <= e.at <= high]
+            if gone:
+                self.near.forget(low, high)
+                for k in gone:
+                    self.done.append(self.out(self.forget(k)))
+
+    def keep(self, e: _Event) -> int:
+        number = self.made
+        self.made += 1
+        self.events[number] = e
+        self.near.add(number, e)
+        return number
+
+    def forget(self, number: int) -> _Event:
+        return self.events.pop(number)
+
+    def first_alike(self, e: _Event, also: Callable[[_Event], bool] = lambda o: True) -> int | None:
+        return next((k for k in self.near.around(e) if k in self.events and also(self.events[k]) and e.alike(self.events[k])), None)
+
+    def finished(self) -> list[dict]:
+        """Rows that are done and not handed out yet."""
+        out, self.done = self.done, []
+        return out
+
+    def rest(self) -> list[dict]:
+        return self.finished() + [self.out(e) for e in self.events.values()]
+
+
+class _Upsert(_Rule):
     """Raws of one group, in order of seq, to events."""
 
     def __init__(self, max_miles: float, center: tuple[float, float] | None):
+        super().__init__()
         self.max_miles, self.center = max_miles, center
-        self.events: list[_Event] = []
-        self.skipped: list[_Event] = []
-        self.by_key: dict[str, int] = {}
+        self.by_key: dict[tuple, int] = {}
         self.by_listing: dict[tuple, list[int]] = {}
-        self.times = _InTime()
 
     def listed(self, raw: _Event, listing: tuple) -> int | None:
         """The event that has this listing on the raw's day; it adopts the raw's key unless another one has that."""
-        found = [k for k in self.by_listing.get(listing, ()) if self.events[k].at // 86400 == raw.at // 86400]
-        if not found:
+        found = min(self.by_listing.get((*listing, raw.at // 86400), ()), default=None)
+        if found is None:
             return None
-        e = self.events[min(found)]
+        e = self.events[found]
         if e.key != raw.key and raw.key not in self.by_key:
-            if self.by_key.get(e.key) == min(found):
+            if self.by_key.get(e.key) == found:
                 del self.by_key[e.key]
             e.key = raw.key
-            self.by_key[raw.key] = min(found)
-        return min(found)
+            self.by_key[raw.key] = found
+        return found
 
     def add(self, row: dict) -> None:
         raw = _Event(row | {"id": row["seq"]}, int(row["at"]))
@@ -345,61 +450,91 @@ class _Upsert:
         if hit is None:
             hit = self.by_key.get(raw.key)
         if hit is None:
-            hit = next((k for k in self.times.around(raw.at) if raw.alike(self.events[k])), None)
+            hit = self.first_alike(raw)
         if hit is None and self.max_miles > 0 and raw.coords and _miles(self.center, raw.coords) > self.max_miles:
-            self.skipped.append(raw)
+            self.done.append(raw.row() | {"outcome": "skipped_far", "merged": 0})
             return
         if hit is None:
-            hit = len(self.events)
-            self.events.append(raw)
+            hit = self.keep(raw)
             self.by_key.setdefault(raw.key, hit)
-            self.times.add(raw.at, hit)
+            e = raw
         else:
-            self.events[hit].count += 1
-            self.events[hit].fill(raw)
-            self.events[hit].coords = self.events[hit].coords or raw.coords
-        links = self.events[hit].links
-        if (name, url) not in links:
-            self.by_listing.setdefault(("url", name, url), []).append(hit)
-        elif own and links[name, url]:  # the link's id is replaced
-            self.by_listing["id", name, links[name, url]].remove(hit)
+            e = self.events[hit]
+            place = (e.coords, e.venue, e.address)
+            e.count += 1
+            e.fill(raw)
+            e.coords = e.coords or raw.coords
+            if place != (e.coords, e.venue, e.address):
+                self.near.add(hit, e)
+        day = e.at // 86400
+        if (name, url) not in e.links:
+            self.by_listing.setdefault(("url", name, url, day), []).append(hit)
+        elif own and e.links[name, url]:  # the link's id is replaced
+            self.by_listing["id", name, e.links[name, url], day].remove(hit)
         if own:
-            self.by_listing.setdefault(("id", name, own), []).append(hit)
-        links[name, url] = own or links.get((name, url))
-
-    def rows(self) -> list[dict]:
-        return [e.row() | {"outcome": "created", "merged": e.count} for e in self.events] + [e.row() | {"outcome": "skipped_far", "merged": 0} for e in self.skipped]
-
-
-class _Reconcile:
+            self.by_listing.setdefault(("id", name, own, day), []).append(hit)
+        e.links[name, url] = own or e.links.get((name, url))
+
+    def forget(self, number: int) -> _Event:
+        e = super().forget(number)
+        if self.by_key.get(e.key) == number:
+            del self.by_key[e.key]
+        day = e.at // 86400
+        for (name, url), own in e.links.items():
+            for k in (("url", name, url, day), ("id", name, own, day)):
+                left = [n for n in self.by_listing.pop(k, ()) if n != number]
+                if left:
+                    self.by_listing[k] = left
+        return e
+
+    def out(self, e: _Event) -> dict:
+        return e.row() | {"outcome": "created", "merged": e.count}
+
+
+class _Reconcile(_Rule):
     """Stored events of one group, in order of id: each goes to the first survivor of its day that takes it, else survives."""
 
     def __init__(self) -> None:
-        self.heads: list[_Event] = []
-        self.times = _InTime()
+        super().__init__()
+        self.by_key: dict[tuple, set[int]] = {}
 
     def add(self, row: dict) -> None:
         e = _Event(row, int(row["at"]))
         for x in row["links"] if row["links"] is not None else []:
             e.links[x["source_name"], x["source_url"]] = x["source_event_id"]
-        for k in self.times.around(e.at):
-            head = self.heads[k]
-            if head.at // 86400 == e.at // 86400 and (head.key == e.key or head.alike(e)):
-                head.absorb(e)
-                return
-        self.times.add(e.at, len(self.heads))
-        self.heads.append(e)
+        day = e.at // 86400
+        same = min(self.by_key.get((e.key, day), ()), default=None)
+        alike = self.first_alike(e, lambda head: head.at // 86400 == day)
+        hit = min((k for k in (same, alike) if k is not None), default=None)
+        if hit is None:
+            self.by_key.setdefault((e.key, day), set()).add(self.keep(e))
+            return
+        head = self.events[hit]
+        before = (head.key, head.coords, head.venue, head.address)
+        head.absorb(e)
+        if before != (head.key, head.coords, head.venue, head.address):
+            self.by_key[before[0], day].discard(hit)
+            self.by_key.setdefault((head.key, day), set()).add(hit)
+            self.near.add(hit, head)
+
+    def forget(self, number: int) -> _Event:
+        e = super().forget(number)
+        held = self.by_key.get((e.key, e.at // 86400), set())
+        held.discard(number)
+        if not held:
+            self.by_key.pop((e.key, e.at // 86400), None)
+        return e
 
-    def rows(self) -> list[dict]:
-        return [e.row() | {"absorbed": e.count} for e in self.heads]
+    def out(self, e: _Event) -> dict:
+        return e.row() | {"absorbed": e.count}
 
 
-_OUT = "id long, canonical_key string, title string, description string, at long, ends_at long, venue_name string, address string, image_url string, latitude double, longitude double, tags array<string>, links array<struct<source_name:string,source_url:string,source_event_id:string>>"
+_OUT = "id long, key_normal string, key_hour long, title string, description string, at long, ends_at long, venue_name string, address string, image_url string, latitude double, longitude double, tags array<string>, links array<struct<source_name:string,source_url:string,source_event_id:string>>"
 
 
-def _along_groups(rows: DataFrame, order: str, fresh: Callable, extra: dict[str, str]) -> DataFrame:
-    """Feed the rows of each component to one fresh() in the given order. Rows come by Arrow batches from a sorted partition, so a task holds what the rule remembers, never the rows of a group."""
-    texts, numbers = pa.string(), {"id": pa.int64(), "at": pa.int64(), "ends_at": pa.int64(), "latitude": pa.float64(), "longitude": pa.float64()}
+def _along_groups(rows: DataFrame, order: str, fresh: Callable[[], _Rule], extra: dict[str, str]) -> DataFrame:
+    """Feed the rows of each component to one fresh() in the given order. Rows come by Arrow batches from a sorted partition, with the first and last start of the rows after them, so a task holds the events that later rows can still reach, never the rows of a group."""
+    texts, numbers = pa.string(), {"id": pa.int64(), "key_hour": pa.int64(), "at": pa.int64(), "ends_at": pa.int64(), "latitude": pa.float64(), "longitude": pa.float64()}
     names = [c.split(" ")[0] for c in _OUT.split(", ")]
     lists = {"tags": pa.list_(texts), "links": pa.list_(pa.struct([(c, texts) for c in ("source_name", "source_url", "source_event_id")]))}
     schema = pa.schema([(c, numbers.get(c, lists.get(c, texts))) for c in names] + [(c, pa.int64() if t == "long" else texts) for c, t in extra.items()])
@@ -409,19 +544,26 @@ def _along_groups(rows: DataFrame, order: str, fresh: Callable, extra: dict[str,
         for batch in batches:
             for row in batch.to_pylist():
                 if row["component"] != group:
-                    done += rule.rows() if rule else []
+                    done += rule.rest() if rule else []
                     group, rule = row["component"], fresh()
-                rule.add(row)
+                rule.take(row)
+                if rule.done:
+                    done += rule.finished()
             if len(done) >= 5000:
                 yield pa.RecordBatch.from_pylist(done, schema)
                 done = []
-        done += rule.rows() if rule else []
+        done += rule.rest() if rule else []
         for k in range(0, len(done), 5000):
             yield pa.RecordBatch.from_pylist(done[k : k + 5000], schema)
 
     ends = F.unix_micros(F.col("ends_at").cast("timestamp"))
-    out = rows.withColumn("ends_at", ends).repartition("component").sortWithinPartitions("component", order).mapInArrow(run, _OUT + "".join(f", {c} {t}" for c, t in extra.items()))
-    return out.withColumn("ends_at", F.timestamp_micros("ends_at"))
+    name = lambda c: F.when(F.col(c) != "", normal_title(F.col(c)))
+    # seen from the end: what is still to come
+    later = Window.partitionBy("component").orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = rows.withColumns({"ends_at": ends, "venue": name("venue_name"), "addr": name("address"), "low": F.min("at").over(later), "high": F.max("at").over(later)})
+    out = ahead.sortWithinPartitions("component", order).mapInArrow(run, _OUT + "".join(f", {c} {t}" for c, t in extra.items()))
+    key = key_of(F.col("key_normal"), F.timestamp_seconds(F.col("key_hour") * 3600))
+    return out.withColumns({"ends_at": F.timestamp_micros("ends_at"), "canonical_key": key}).drop("key_normal", "key_hour")
 
 
 def _located(columns: tuple[str, str] = ("latitude", "longitude")) -> Column:
@@ -446,7 +588,6 @@ def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float
         raws.select("seq", F.coalesce("title", F.lit("")).alias("title"), at.alias("at"), normal_title(F.col("title")).alias("normal"), "start_time", F.col("end_time").cast("timestamp").alias("ends_at"), "source_name", "source_url", "source_event_id",
                     F.coalesce("description", F.lit("")).alias("description"), "venue_name", "address", "latitude", "longitude", "image_url", tags.alias("tags")).withColumn("k", key_of(F.col("normal"), F.col("start_time"))).drop("start_time"), "raws")
     edges = _pairs_of_normal(rows.select(F.col("k").alias("id"), "at", "normal").distinct(), MAX_HOURS)
-    rows = rows.drop("normal")
     day = F.floor(F.col("at") / 86400).alias("day")
     for column in ("source_event_id", "source_url"):
         listed = rows.filter(F.col(column).isNotNull() & F.col("source_name").isNotNull()).select("source_name", column, day, "k").distinct()
@@ -456,7 +597,7 @@ def upsert_raw_events(raws: DataFrame, max_miles: float = 0, center: tuple[float
         edges = edges.unionByName(low.join(after, ["source_name", column, "day"]).select(F.col("low").alias("a"), F.col("next").alias("b")))
     parts = materialize(components(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))).select(F.col("node").alias("k"), F.col("root").alias("component")), "key-components")
     tied = _along_groups(rows.join(parts, "k").drop("k"), "seq", lambda: _Upsert(max_miles, center), {"outcome": "string", "merged": "long"})
-    single = _fold_keys(rows.join(parts, "k", "left_anti"), max_miles, center)
+    single = _fold_keys(rows.drop("normal").join(parts, "k", "left_anti"), max_miles, center)
     return tied.unionByName(single).withColumn("starts_at", F.timestamp_seconds("at")).drop("at")
 
 
@@ -515,7 +656,6 @@ def reconcile_events(events: DataFrame, now: Column) -> DataFrame:
     up = materialize(up.withColumn("k", key_of(F.col("normal"), F.col("starts_at"))).drop("starts_at"), "upcoming")
     keys = up.groupBy("k", "at", "normal").agg(F.count(F.lit(1)).alias("n"))
     edges = _pairs_of_normal(keys.select(F.col("k").alias("id"), "at", "normal"), 2 * MAX_HOURS, same_day=True)
-    up = up.drop("normal")
     tied = components(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))).select(F.col("node").alias("k"), F.col("root").alias("component"))
     # stored keys that repeat are groups of their own where nothing else ties them
     repeated = keys.groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1").select("k")
