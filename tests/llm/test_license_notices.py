@@ -1,8 +1,12 @@
 """The official notices as published, however their lines are broken, and the usual wordings of references."""
 
+import random
 import re
+import time
+from collections import Counter
 
 from tests.llm.fixtures import DOCS, rows
+from tidemark.llm import licenses, queries
 from tidemark.llm.licenses import scan_licenses
 
 GPL = """    This program is free software: you can redistribute it and/or modify
@@ -109,6 +113,66 @@ REFERENCES = [
 ]
 
 
+BSD3 = "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+AUTHOR = "3. The name of the author may not be used to endorse or promote products\n   derived from this software without specific prior written permission.\n\n"
+
+
+def bsd(clause):
+    head, tail = BSD2.split("THIS SOFTWARE IS")
+    return f"Copyright (c) 2014, Someone\nAll rights reserved.\n\n{head}{clause}THIS SOFTWARE IS{tail}"
+
+
+MORE = [
+    (bsd(BSD3.format("the copyright holder")), ["BSD-3-Clause"]), (bsd(BSD3.format("Google Inc.")), ["BSD-3-Clause"]), (bsd(BSD3.format("the University of California, Berkeley")), ["BSD-3-Clause"]), (bsd(AUTHOR), ["BSD-3-Clause"]), (bsd(""), ["BSD-2-Clause"]),
+    (bsd("3. Whoever redistributes this must also send a postcard from a nice place to the author.\n\n"), ["BSD-other"]),
+    (bsd("3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by the Organization.\n4. " + BSD3.format("the Organization")[3:]), ["BSD-4-Clause"]),
+    ("License: MIT", ["MIT"]), ("The MIT License (MIT)\n\nCopyright (c) 2020 Someone", ["MIT"]), ("This project is MIT licensed.", ["MIT"]),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n", ["Apache-2.0"]), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", ["GPL-3.0-only"]),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"]), ("released under the Artistic License 2.0", ["Artistic-2.0"]), ("licensed under the Common Development and Distribution License, Version 1.0", ["CDDL-1.0"]),
+    ("Available under a Creative Commons Attribution 3.0 Unported License", ["CC-BY-3.0"]),
+]
+
+
+def test_holders_and_titles(spark):
+    df = spark.createDataFrame(rows([(k, t) for k, (t, _) in enumerate(MORE)]), DOCS)
+    got = {r.doc_id: r for r in scan_licenses(df).collect()}
+    for k, (text, names) in enumerate(MORE):
+        assert [n for n in got[k].licenses if n != "All-rights-reserved"] == names, text
+
+
+def test_common_words_cost_little():
+    """Half a megabyte of ordinary words among which licence words stand, at well over a megabyte a second."""
+    rng, words = random.Random(1), "software released distributed license copy conditions the of work provided and any public under with notice apache is available version".split()
+    text = " ".join(rng.choice(words) + rng.choice(["", "", "", ".", ","]) for _ in range(70_000)).encode()
+    known = licenses.compiled(licenses.SENTENCES, references=True)
+    begun = time.process_time()
+    licenses.identified(text, known)
+    assert time.process_time() - begun < 3e-7 * len(text) * 4
+
+
+def test_ids_of_any_type(spark):
+    got = scan_licenses(spark.createDataFrame([("x7", "License: MIT"), (None, None)], "doc_id string, text string")).collect()
+    assert {(r.doc_id, tuple(r.licenses)) for r in got} == {("x7", ("MIT",)), (None, ())}
+
+
+def test_query(spark):
+    """The registered query against the whole-sentence lookup alone: every sentence that stands by itself is told."""
+    d = "/root/testdata/sf0.01"
+    known = {v: k for k, v in licenses.SENTENCES.items()}
+    norm = lambda s: " ".join(re.findall("[a-z0-9\u0080-\U0010ffff]+", s.lower()))
+    got = {r.doc_id: r for r in queries.op8_licenses(spark, d).collect()}
+    docs = queries.read(spark, d, "documents").collect()
+    assert len(got) == len(docs)
+    told = 0
+    for r in docs:
+        want = Counter(known[norm(x)] for x in re.split(r"(?<=[.!?:])\s|\n", r.text or "") if norm(x) in known)
+        have = Counter(got[r.doc_id].sentence_ids.split())
+        assert not want - have, r.doc_id
+        told += sum(want.values())
+        assert (got[r.doc_id].licenses != "") <= (got[r.doc_id].sentence_ids != "")
+    assert told > 20
+
+
 def test_official_notices(spark):
     shapes = [str, lambda t: re.sub(r"\s+", " ", t), lambda t: re.sub(r"(?m)^", "# ", t), lambda t: "/*\n" + re.sub(r"(?m)^", " * ", t) + "*/"]
     cases = [(shape(text), ids, name) for text, ids, name in NOTICES for shape in shapes]
