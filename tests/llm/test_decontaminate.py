@@ -69,11 +69,11 @@ def cases():
     return texts, items
 
 
-@pytest.mark.parametrize(("block_bytes", "max_words"), [(8 << 20, 1_000_000), (200, 1_000_000), (200, 3)])
-def test_against_brute_force(spark, block_bytes, max_words):
+@pytest.mark.parametrize(("block_bytes", "max_words", "pass_bytes"), [(8 << 20, 1_000_000, 1 << 20), (200, 1_000_000, 1 << 20), (200, 3, 1 << 20), (100, 1_000_000, 150)])
+def test_against_brute_force(spark, block_bytes, max_words, pass_bytes):
     texts, items = cases()
     b = spark.createDataFrame(items, "item_id long, text string")
-    out = contamination(spark.createDataFrame(rows(texts), DOCS), b, block_bytes=block_bytes, max_words=max_words).collect()
+    out = contamination(spark.createDataFrame(rows(texts), DOCS), b, block_bytes=block_bytes, max_words=max_words, pass_bytes=pass_bytes).collect()
     got = sorted([(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r.item_ids)) for r in out], key=repr)
     assert got == brute(texts, items)
     assert all(a.end < b.start for r in out for a, b in zip(r.spans, r.spans[1:], strict=False))

@@ -19,6 +19,8 @@ _SHARD_SYMBOLS = 1 << 19
 _SHARD_DOCS, _FLUSH_DOCS = 1 << 14, 4096
 #: Distinct words of the test items that one pass over the documents knows: what is broadcast as vocabulary stays under some 100 MB.
 _VOCABULARY = 1_000_000
+#: Bytes of test items that one pass over the documents takes. Their phrases take some ten times as much, on the driver and in each task.
+_PASS_BYTES = 32 << 20
 
 
 class Phrases:
@@ -153,7 +155,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_byt
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, max_words: int = _VOCABULARY) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, max_words: int = _VOCABULARY, pass_bytes: int = _PASS_BYTES) -> DataFrame:
     """One row per document: doc_id, row_hash, n_words, spans (merged word spans of test phrases), item_ids (as strings, sorted). Ids may be of any type.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A phrase is `window` consecutive words of an
@@ -164,16 +166,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The documents are not shuffled: each task gathers shards of a bounded number of words and documents, indexes each
     once and searches it for the phrases of all blocks of the benchmark. A block of block_bytes is one broadcast. Where the items know
-    more than a million distinct words, a further pass takes the rest, and the findings are joined by row.
+    more than a million distinct words or have more than pass_bytes, a further pass takes the rest, so what a pass
+    holds is bounded however large the benchmark; the findings are joined by row.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
     passes: list[DataFrame] = []
     vocabulary: dict[bytes, int] = {}
     phrases: list[Phrases] = []
+    held = 0
     for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        if len(vocabulary) >= max_words:
+        if len(vocabulary) >= max_words or held >= pass_bytes:
             passes.append(materialize(_spans_of(rows, vocabulary, phrases), "spans"))
-            vocabulary, phrases = {}, []
+            vocabulary, phrases, held = {}, [], 0
+        held += sum(len(text) for _, text in items)
         phrases.append(Phrases(items, window, vocabulary))
     found = _spans_of(rows, vocabulary, phrases)
     if not passes:
