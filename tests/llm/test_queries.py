@@ -70,7 +70,9 @@ def test_packing(spark, tables, texts):
 def test_token_counts(spark, tables, texts):
     lengths = sorted(len(TOKENS.encode(t or "", add_special_tokens=False).ids) for t in texts.values())
     got = run(spark, tables, "op5_token_counts")
-    assert {"docs" in r.asDict() or "tokens" in r.asDict() for r in got} and len(got) == len(set(lengths))
+    want = {k: (lengths.count(k), sum(x > k for x in lengths), sum(x for x in lengths if x > k), len(lengths), sum(lengths), sum(min(x, k) for x in lengths)) for k in set(lengths)}
+    assert {r.context_limit: (r.docs, r.docs_longer, r.tokens_longer, r.docs_total, r.tokens_total, r.truncated_total) for r in got} == want and len(got) == len(want)
+    assert all(abs(r.quantile - sum(x <= r.context_limit for x in lengths) / len(lengths)) < 1e-12 for r in got)
 
 
 def roots(ids, edges):

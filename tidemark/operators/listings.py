@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Collection, Iterable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import EARTH_MILES, haversine_miles, near_box
 from tidemark.functions.text import TITLE_STOPWORDS, canonical_key, key_of, keyword_keys, normal_title, title_tokens, token_equal, tokens_match
 from tidemark.operators.graph import components
-from tidemark.tables import materialize
+from tidemark.tables import discard, materialize
 
 MAX_HOURS, MAX_MILES = 2, 0.5
 
@@ -705,24 +704,49 @@ def all_tags(event_tags: DataFrame) -> DataFrame:
     return event_tags.select("tag").distinct().orderBy("tag")
 
 
+def _climb(steps: DataFrame) -> DataFrame:
+    """(id, up, below, ended) of steps (id, parent; null above the top): the top of each way, the one below it, and whether there is a top.
+
+    By pointer doubling: after round k a node knows the one 2^k levels above it, so the rounds grow with the logarithm of
+    the depth. Once as many levels are climbed as there are nodes, a way without an end leads round a cycle.
+    """
+    way = materialize(steps.select("id", F.coalesce("parent", "id").alias("up"), F.col("id").alias("below"), F.col("parent").isNull().alias("ended")), "ways")
+    total, levels = way.count(), 1
+    while levels <= total and not way.filter(~F.col("ended")).isEmpty():
+        other = way.select(F.col("id").alias("o"), F.col("up").alias("o_up"), F.col("below").alias("o_below"), F.col("ended").alias("o_ended"))
+        # above a top there is nothing: the way to it stays as it is
+        below = F.when(F.col("o_up") == F.col("up"), F.col("below")).otherwise(F.col("o_below"))
+        far = materialize(way.join(other, way.up == other.o).select("id", F.col("o_up").alias("up"), below.alias("below"), F.col("o_ended").alias("ended")), "ways")
+        discard(way)
+        way, levels = far, 2 * levels
+    return way
+
+
 def rolled_tags(tree: DataFrame) -> DataFrame:
     """(id, name) of each tag's ancestor one level below its root; a root is itself; a missing parent or a cycle ends at the last node reached.
 
-    One level a round, for as long as a tag has a parent it has not passed: trees of any depth, and cycles end.
+    Trees of any depth in logarithmically many rounds (see _climb). The way of a tag into a cycle ends at the node before
+    the one where it came in, as that one was passed already. Of an id that stands twice the first row by name counts; a
+    null id has its own name.
     """
-    t = tree.select("id", "name", "parent")
-    up = t.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"), F.col("parent").alias("p_up"))
-    open_ = t.select("id", F.col("name").alias("top"), F.col("name").alias("below"), F.col("parent").alias("up"), F.array("id").alias("seen"))
-    done = []
-    while True:
-        met = open_.join(up, F.col("up") == F.col("p_id"), "left")
-        on = F.col("p_id").isNotNull() & ~F.array_contains("seen", F.col("p_id"))
-        met = materialize(met.withColumn("on", on), "tag-levels")
-        # a root below which the way led ends one level under it
-        done.append(met.filter(~F.col("on")).select("id", F.when(F.col("up").isNull() & (F.size("seen") > 1), F.col("below")).otherwise(F.col("top")).alias("name")))
-        open_ = met.filter("on").select("id", F.col("p_name").alias("top"), F.col("top").alias("below"), F.col("p_up").alias("up"), F.concat("seen", F.array("p_id")).alias("seen"))
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+    t = materialize(tree.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("name", "parent")).alias("r")).select("id", "r.name", "r.parent"), "tags")
+    there = t.select(F.col("id").alias("p"))
+    steps = materialize(t.join(there, t.parent == F.col("p"), "left").select("id", F.col("p").alias("parent"), (F.col("parent").isNotNull() & F.col("p").isNull()).alias("lost")), "tag-steps")
+    way = _climb(steps)
+    tops = steps.filter("parent IS NULL").select(F.col("id").alias("up"), "lost")
+    # one level under a root; where the top's own parent is missing, the top itself
+    ends = way.filter("ended").join(tops, "up").select("id", F.when(F.col("lost"), F.col("up")).otherwise(F.col("below")).alias("n"))
+    turning = way.filter(~F.col("ended"))
+    if not turning.isEmpty():
+        # so many levels up every way is inside its cycle, and all nodes of a cycle are met there
+        cycle = materialize(turning.select(F.col("up").alias("c")).distinct(), "tag-cycles")
+        inside = steps.join(cycle, steps.id == cycle.c, "left_semi")
+        before = inside.select(F.col("parent").alias("up"), F.col("id").alias("n"))
+        open_ = steps.join(turning.select("id"), "id", "left_semi").join(cycle, F.col("id") == F.col("c"), "left")
+        entries = _climb(open_.select("id", F.when(F.col("c").isNull(), F.col("parent")).alias("parent")))
+        ends = ends.unionByName(entries.join(before, "up").select("id", "n"))
+    named = ends.join(t.select(F.col("id").alias("n"), "name"), "n").select("id", "name")
+    return named.unionByName(tree.filter(F.col("id").isNull()).select("id", "name"))
 
 
 def digest(events: DataFrame, now: Column, origin: tuple[float, float], zone: str = "America/New_York", miles: float = 35, most: int = 10) -> DataFrame:
