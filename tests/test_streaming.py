@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.test_history import SNAP, at, row
 from tidemark.operators import history
+from tidemark.operators.keyed import KeyedTable
 from tidemark.streaming.changes import VersionedTable, article_batches, entity_changes, poll_batches, signals
 
 
@@ -47,8 +48,9 @@ def test_article_batches(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     schema = "id long, source_id int, guid string, url string, title string, summary string, category string, published timestamp, fetched_at timestamp, image_url string, cluster_id long"
     art = lambda i, title: (i, i, f"g{i}", f"u{i}", title, "", "news", t, t, None, None)
-    stored, outbox = VersionedTable(spark, str(tmp_path / "articles")), VersionedTable(spark, str(tmp_path / "signals"))
-    stored.save(spark.createDataFrame([art(1, "Warehouse blaze on Amnicola Highway")] + [art(50 + k, f"filler{k} words{k}") for k in range(8)], schema), -1)
+    table = lambda name: KeyedTable(spark, str(tmp_path / name), ["source_id", "guid"])
+    stored, outbox = table("articles"), VersionedTable(spark, str(tmp_path / "signals"))
+    stored.upsert(spark.createDataFrame([art(1, "Warehouse blaze on Amnicola Highway")] + [art(50 + k, f"filler{k} words{k}") for k in range(8)], schema), [], -1)
     run = article_batches(stored, outbox, lambda: F.lit(dt.datetime(2024, 1, 2)))
     batch = spark.createDataFrame([art(2, "Crews battle warehouse blaze on Amnicola Highway")], schema)
     for _ in range(2):
@@ -56,9 +58,37 @@ def test_article_batches(spark, tmp_path):
     got = {r.id: r.cluster_id for r in stored.read().collect()}
     (s,) = outbox.all().collect()
     assert got[1] == got[2] == 1 and len(got) == 10 and s.stories == 9 and s.cycle == 3
-    first, told = VersionedTable(spark, str(tmp_path / "none")), VersionedTable(spark, str(tmp_path / "told"))
+    first, told = table("none"), VersionedTable(spark, str(tmp_path / "told"))
     article_batches(first, told, lambda: F.lit(dt.datetime(2024, 1, 2)))(stored.read().drop("cluster_id"), 0)  # from an empty store
     again = {r.id: r.cluster_id for r in first.read().collect()}
     assert again == got and told.all().first().stories == 9
     s = spark.createDataFrame([(1, True), (2, False)], "created int, changed boolean")
     assert [r.created for r in signals(s).collect()] == [1]
+
+
+def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k", "s"], buckets=16)
+    assert table.read() is None
+    rows = lambda ids, v: spark.createDataFrame([(i, None if i % 5 == 0 else f"s{i}", v) for i in ids], "k long, s string, v string")
+    table.upsert(rows(range(2000), "old").withColumn("w", F.lit("kept")), ["v"], 0)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part-*.parquet")}
+    before = files()
+    batch = rows([5, 5, 7, 3000], "new").withColumn("w", F.lit("lost"))
+    touched = {r.bucket for r in table.placed(batch).select("bucket").distinct().collect()}
+    for _ in range(2):
+        table.upsert(batch, ["v"], 1)
+    after = files()
+    assert {p: t for p, t in after.items() if p in before} == before and len(touched) <= 3
+    assert {p.parts[-3] for p in after.keys() - before.keys()} == {f"bucket={b}" for b in touched}
+    got = {(r.k, r.s): (r.v, r.w) for r in table.read().collect()}
+    assert len(got) == table.read().count() == 2001
+    assert got[5, None] == got[7, "s7"] == ("new", "kept") and got[3000, None] == ("new", "lost") and got[8, "s8"] == ("old", "kept")
+    # a version without its mark does not count, and comes again whole
+    (tmp_path / "t/_done/1").unlink()
+    assert {r.v for r in table.read().collect()} == {"old"}
+    table.upsert(batch, ["v"], 1)
+    assert {(r.k, r.s): (r.v, r.w) for r in table.read().collect()} == got
+    for v in (2, 3):
+        table.upsert(batch.withColumn("v", F.lit(f"v{v}")), ["v"], v)
+    assert table.folders()[min(touched)] == [2, 3] and table.read().filter("k = 5").first().v == "v3"
+    assert table.read().filter("k = 9").first().v == "old"

@@ -429,8 +429,8 @@ def r03(spark, sf):
     a = articles(spark, sf).drop("lang").withColumnRenamed("feed_category", "category").withColumns({"cluster_id": F.lit(None).cast("long"), "guid": text("id")})
     n = F.col("id") % 3
     again = a.filter(n < 2).withColumns({"url": F.when(n == 1, F.concat(F.lit("https://example.org/b/"), text("id"))).otherwise(F.col("url")), "id": F.when(n == 1, F.col("id") + 1_000_000_000).otherwise(F.col("id")), "guid": F.when(n == 1, F.concat(F.lit("b"), text("id"))).otherwise(F.col("guid")), "category": F.lit("again")})
-    stored, signals = streams.VersionedTable(spark, new_path(spark, "articles")), streams.VersionedTable(spark, new_path(spark, "signals"))
-    stored.save(a, -1)
+    stored, signals = streams.KeyedTable(spark, new_path(spark, "articles"), ["source_id", "guid"]), streams.VersionedTable(spark, new_path(spark, "signals"))
+    stored.upsert(a, [], -1)
     _run(_landed_stream(again, "articles").writeStream.foreachBatch(streams.article_batches(stored, signals, lambda: F.lit("2024-01-08 00:00:00").cast("timestamp"))), spark)
     return stored.read().select("id", "url", "category")
 

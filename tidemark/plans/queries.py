@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo, text, timeutil
 from tidemark.operators import history, listings, places, stories, weather
+from tidemark.operators.keyed import KeyedTable
 from tidemark.plans import landed
 from tidemark.plans.bindings import ARTICLES, RAW_EVENTS, READINGS, SNAPSHOTS, articles, polls, raw_events, read, readings, snapshots
 from tidemark.tables import materialize, new_path
@@ -261,7 +262,10 @@ def s17(spark, sf):
     # each order is stored, in the batch, or both
     stored = o.filter("o_orderkey % 2 = 0 OR o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
     rows = o.filter("o_orderkey % 3 = 0 OR (o_orderkey % 2 = 1 AND o_orderkey % 3 <> 1)").select(F.col("o_orderkey").alias("id"), F.lit("new").alias("status"), F.lit(-1).cast("long").alias("customer"))
-    return history.upsert(stored, rows, ["id"], ["status"])
+    table = KeyedTable(spark, new_path(spark, "orders"), ["id"])
+    table.upsert(stored, ["status"], 0)
+    table.upsert(rows, ["status"], 1)
+    return table.read()
 
 
 @query("s18_registry_sync", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY c_custkey")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.history import KEY, change_messages, merged_state, reconcile, with_fingerprint
-from tidemark.tables import materialize
+from tidemark.operators.keyed import KeyedTable
+from tidemark.tables import discard, materialize
 
 _STATE = "status string, fingerprint string, poll_at timestamp"
 _OUT = "source_key string, external_id string, observed_at timestamp, change string, status string, fingerprint string"
@@ -93,16 +94,23 @@ def poll_batches(state: VersionedTable, outbox: VersionedTable, polls: Callable[
             if not messages.isEmpty():
                 outbox.save(messages, version)
             state.save(merged_state(before, changes), version)
+            discard(changes, messages)
 
     return run
 
 
-def article_batches(stored: VersionedTable, outbox: VersionedTable, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for articles: upsert, recluster the window, save, and signal each cycle with the number of stories. The first batch begins with no articles. A batch that comes again writes its version again."""
+def article_batches(stored: KeyedTable, outbox: VersionedTable, now: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for articles: upsert by (source_id, guid), recluster the window, save what changed, and signal each cycle with the number of stories.
+
+    Of the stored articles only the buckets of new ones, and of those whose category or cluster is another, are
+    written. The first batch begins with no articles. A batch that comes again writes its version again.
+    """
     from tidemark.operators.stories import recluster, upsert_articles
 
+    key = ["source_id", "guid"]
+
     def run(batch: DataFrame, number: int) -> None:
-        if number <= max(stored.versions(), default=-1):
+        if number in stored.versions():
             return
         if "cluster_id" not in batch.columns:
             batch = batch.withColumn("cluster_id", F.lit(None).cast("long"))
@@ -112,7 +120,11 @@ def article_batches(stored: VersionedTable, outbox: VersionedTable, now: Callabl
         clusters = materialize(recluster(rows, now()).select("id", F.col("cluster_id").alias("__c")), "clusters")
         out = rows.join(clusters, "id", "left").withColumn("cluster_id", F.coalesce("__c", "cluster_id")).select(*rows.columns)
         outbox.save(clusters.agg(F.count_distinct("__c").alias("stories")).withColumn("cycle", F.lit(number)), number)
-        stored.save(out, number)
+        old = before.select(*[F.col(c).alias(f"__{c}") for c in (*key, "category", "cluster_id")])
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*key, "category", "cluster_id")]
+        changed = materialize(out.join(old, [*same], "left_anti"), "changed-articles")
+        stored.upsert(changed, ["category", "cluster_id"], number)
+        discard(rows, clusters, changed)
 
     return run
 
