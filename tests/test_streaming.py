@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import shutil
 
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_history import SNAP, at, row
 from tidemark.operators import history
 from tidemark.operators.keyed import KeyedTable
-from tidemark.streaming.changes import VersionedTable, article_batches, entity_changes, poll_batches, signals
+from tidemark.streaming.changes import VersionedTable, article_batches, entity_changes, poll_batches, poll_changes, signals
 
 
 def write_polls(spark, path, polls):
@@ -92,3 +93,41 @@ def test_keyed_table_rewrites_only_touched_buckets(spark, tmp_path):
         table.upsert(batch.withColumn("v", F.lit(f"v{v}")), ["v"], v)
     assert table.folders()[min(touched)] == [2, 3] and table.read().filter("k = 5").first().v == "v3"
     assert table.read().filter("k = 9").first().v == "old"
+
+
+def test_poll_changes_and_restart(spark, tmp_path):
+    """One streaming query, stopped and started again between polls, tells what the replay tells; what was closed long ago is forgotten."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(8)
+    rows = {k: [row(k, str(i), rng.choice("xy"), source) for source in ("a", "b") for i in range(12) if rng.random() < 0.6] for k in range(1, 7)}
+    rows[3].append(row(3, "3", "z", "a"))
+    rows[4] = [r for r in rows[4] if r[0] == "a"]  # an empty poll of b
+    polls = {k: [("a", at(k), True), ("b", at(k), k != 5)] for k in rows}
+    all_rows, all_polls = spark.createDataFrame(sum(rows.values(), []), SNAP), spark.createDataFrame(sum(polls.values(), []), "source_key string, poll_at timestamp, ok boolean")
+
+    def land(k):
+        spark.createDataFrame(rows[k] or rows[1][:0], SNAP).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        spark.createDataFrame(polls[k], all_polls.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "polls"))
+
+    def run(name):
+        stream = lambda df, folder: spark.readStream.schema(df.schema).parquet(str(tmp_path / folder))
+        q = poll_changes(stream(all_rows, "rows"), stream(all_polls, "polls"), shards=3, remember=dt.timedelta(minutes=2)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+
+    for step in ((1, 2), (3,), (4, 5, 6)):
+        for k in step:
+            land(k)
+        run(step)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.source_key, r.external_id, r.observed_at, r.change, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    replayed = [(r.source_key, r.external_id, r.observed_at, r.change, r.status) for r in history.replay(all_rows, all_polls).collect()]
+    closed = {(s, i, t) for s, i, t, c, _ in replayed if c == "closed"}
+    # two minutes after it was closed an entity is forgotten, so that it comes back as new
+    back = lambda s, i, t: max((u for x, j, u in closed if (x, j) == (s, i) and u < t), default=None)
+    want = sorted((s, i, t, "new" if c == "updated" and back(s, i, t) and forgotten(polls, s, back(s, i, t), t) else c, st) for s, i, t, c, st in replayed)
+    assert got == want and any(c == "closed" for *_, c, _ in got)
+
+
+def forgotten(polls, source, closed, back):
+    """Whether a successful poll between the closure and the return was more than two minutes after the closure, and the entity stayed closed until then."""
+    return any(closed + dt.timedelta(minutes=2) < t < back for k in polls for s, t, ok in polls[k] if s == source and ok)

@@ -407,6 +407,22 @@ def r01(spark, sf):
     return spark.read.schema(changes.schema).parquet(path).select("source_key", "external_id", seconds("observed_at").alias("observed_at"), "change", "status", "fingerprint")
 
 
+@query("r01_poll_changes", f"WITH {_WEEKLY} SELECT source_key, external_id, observed_at, change FROM c")
+def r01b(spark, sf):
+    """New, updated and closed rows from one streaming query, its polls a second stream."""
+    rows = _weekly(spark, sf)
+    sources = F.array(*[F.lit(f"src{k}") for k in range(4)])
+    polls = rows.select("poll_at").distinct().select(F.explode(sources).alias("source_key"), "poll_at", F.lit(True).alias("ok"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changes = streams.poll_changes(_landed_stream(rows, "polled"), _landed_stream(polls, "poll-marks"), shards=4)
+        path = new_path(spark, "poll-changes")
+        _run(changes.writeStream.format("parquet").option("path", path).outputMode("append"), spark)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.schema(changes.schema).parquet(path).select("source_key", "external_id", seconds("observed_at").alias("observed_at"), "change")
+
+
 def _outbox(spark: SparkSession, sf: str) -> DataFrame:
     """The messages of a stream of weekly polls."""
     rows = _weekly(spark, sf)

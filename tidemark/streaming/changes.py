@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidemark.operators.history import KEY, change_messages, merged_state, reconcile, with_fingerprint
 from tidemark.operators.keyed import KeyedTable
@@ -40,6 +42,77 @@ def entity_changes(snapshots: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class _PollProcessor(StatefulProcessor):
+    """One shard of a source: `known` holds the last status and fingerprint of its entities, the open ones and those closed lately."""
+
+    def __init__(self, remember: dt.timedelta):
+        self.remember = remember
+
+    def init(self, handle) -> None:
+        self.known = handle.getMapState("known", "external_id string", "status string, fingerprint string, open boolean, seen timestamp")
+        self.last = handle.getValueState("last", "poll_at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        last = self.last.get()[0] if self.last.exists() else None
+        before = {k[0]: (v[0], v[1], v[2], v[3]) for k, v in self.known.iterator()}
+        known, out = dict(before), []
+
+        def tell(entity, at, change, status, fingerprint) -> None:
+            out.append({"source_key": key[0], "external_id": entity, "observed_at": at, "change": change, "status": status, "fingerprint": fingerprint})
+
+        for at, poll in sorted(new.groupby("poll_at"), key=lambda p: p[0]):
+            at = at.to_pydatetime()
+            marks = poll[poll["mark"]]
+            if (last is not None and at <= last) or (len(marks) and not marks["ok"].any()):
+                continue  # a late, repeated or failed poll
+            last, present = at, set()
+            for status, fingerprint, entity in sorted((r.status or "", r.fingerprint or "", r.external_id) for r in poll[~poll["mark"]].itertuples()):
+                # of rows of one id the greatest status counts: it comes last
+                present.add(entity)
+                known[entity, at] = (status, fingerprint)
+            for entity in present:
+                status, fingerprint = known.pop((entity, at))
+                old = known.get(entity)
+                if old is None or not old[2] or (old[0] or "", old[1] or "") != (status, fingerprint):
+                    tell(entity, at, "new" if old is None else "updated", status or None, fingerprint or None)
+                known[entity] = (status or None, fingerprint or None, True, at)
+            if len(marks):  # the poll is whole: what it lacks is gone
+                for entity, (status, fingerprint, is_open, seen) in list(known.items()):
+                    if is_open and entity not in present:
+                        known[entity] = (status, fingerprint, False, at)
+                        tell(entity, at, "closed", "Closed", fingerprint)
+                    elif not is_open and at - seen > self.remember:
+                        del known[entity]
+        for entity in before.keys() - known.keys():
+            self.known.removeKey((entity,))
+        for entity, value in known.items():
+            if before.get(entity) != value:
+                self.known.updateValue((entity,), value)
+        if last is not None:
+            self.last.update((last,))
+        if out:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def poll_changes(snapshots: DataFrame, polls: DataFrame, shards: int = 16, remember: dt.timedelta = dt.timedelta(days=30)) -> DataFrame:
+    """Streams of snapshot rows and of polls (source_key, poll_at, ok) to new, updated and closed rows of entities, in one query: what a successful poll lacks is closed.
+
+    Each source goes in `shards` parts by entity, so that a source with a third of all rows is many tasks' work; a poll's mark goes
+    to all of them. A poll's rows and its mark come in one batch; rows without a mark open and change entities but close
+    none. Polls that come late, again or failed change nothing. State holds what is open, and what was closed for
+    `remember`: an entity that comes back later is new. Needs the state store provider that keeps state on disk
+    (RocksDB).
+    """
+    rows = with_fingerprint(snapshots).select(*KEY, "poll_at", "status", "fingerprint", F.pmod(F.xxhash64("external_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("mark"), F.lit(True).alias("ok"))
+    none = F.lit(None).cast("string")
+    marks = polls.select("source_key", none.alias("external_id"), "poll_at", none.alias("status"), none.alias("fingerprint"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("mark"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    return rows.unionByName(marks).groupBy("source_key", "shard").transformWithStateInPandas(_PollProcessor(remember), _OUT, "append", "none")
+
+
 class VersionedTable:
     """A table whose versions are folders: a reader sees the last one that was written whole, and writing a version again replaces it."""
 
