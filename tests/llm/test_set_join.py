@@ -41,6 +41,13 @@ def test_against_brute_force(spark):
     assert run(spark, []) == []
 
 
+def test_keys_join_alike_by_shuffle_and_sent(spark, monkeypatch):
+    texts = corpus(seed=9)
+    for most in (0, 1 << 30):
+        monkeypatch.setattr(near_sets, "_BROADCAST_BYTES", most)
+        assert run(spark, texts) == sorted(brute(texts), key=repr)
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     """A group of near copies larger than a leaf and a block, beside texts that share a passage with it."""
     rng = random.Random(4)
