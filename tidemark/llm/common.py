@@ -13,7 +13,7 @@ from tidemark.tables import discard, materialize, new_path  # noqa: F401  (the o
 
 #: Bytes of a text to word bytes: A-Z lower-cased, ASCII other than 0-9 and a-z to a blank; bytes of 0x80 and more stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 250_000
 
 
 def fold_words(text: bytes) -> list[bytes]:

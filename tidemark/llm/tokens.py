@@ -65,14 +65,14 @@ def _word_encoder(tokenizer, encode: Callable[[str], list[int]], special: list[s
         plain = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(letters)
         return array("I", [t.id for t in merge(plain)]).tobytes()
 
-    words = _Recent(word_ids, 600_000)
+    words = _Recent(word_ids, 400_000)
     latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_NUMBERS}]|[^\\s{_LATIN}{_NUMBERS}]+").findall
     # dashes, quotes, the ellipsis and the euro sign are neither letters nor numbers nor changed by normalisation
     beyond = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20ac]").search
     whole = lambda text: np.array(encode(text), "<u4").tobytes()
     known = lambda text: not any(s in text for s in special) and not beyond(text)
     by_words = lambda text: b"".join(map(words.__getitem__, latin(text.lower())))
-    pieces = _Recent(lambda piece: by_words(piece) if known(piece) else whole(piece), 100_000)
+    pieces = _Recent(lambda piece: by_words(piece) if known(piece) else whole(piece), 50_000)
     # str.split and \s also take U+001C to U+001F, which are no white space to the tokenizer
     odd = re.compile("[\x1c-\x1f]").search
 
