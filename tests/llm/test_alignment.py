@@ -95,6 +95,26 @@ def test_repeats_nulls_ids_of_any_type_and_empty_tables(spark):
     assert rows_of(alignment.align_documents(df.filter("false"), A, B, "id", "body")) == []
 
 
+@pytest.mark.parametrize("pass_keys", [alignment.PASS_KEYS, 60])
+def test_texts_are_read_once(spark, pass_keys, monkeypatch):
+    """Each text goes to the tokenizers once, whatever the counts' number of parts; small batches give the same rows."""
+    monkeypatch.setattr(alignment, "_HELD_LINKS", 3)
+    monkeypatch.setattr(alignment, "_HELD_PAIRS", 5)
+    monkeypatch.setattr(alignment, "_SHARD", 32)
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = [(k, t) for k, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).mapInArrow(counting, "doc_id long, text string")
+    got = rows_of(alignment.align_documents(df, A, B, pass_keys=pass_keys))
+    assert read.value == len(docs)
+    assert got == sorted(((i, *b) for (i, _), b in zip(docs, brute(TEXTS), strict=True)), key=lambda r: str(r[0]))
+
+
 def test_long_texts_go_in_pieces_and_words_are_forgotten(monkeypatch):
     text = " ".join(f"w{k} längere  Wörter,\n und\n{k * 7919} <s>" for k in range(3000))
     [whole] = list(alignment.Aligner(A, B).aligned(text))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ from .tokens import _byte_letters
 _SEGMENT = 1 << 20
 #: Keys of a shard of the hash, on average.
 _SHARD = 1 << 15
-#: Keys whose counts are sent to the executors at once: 14 bytes each with the hash, some 60 MB. More keys take further passes over the texts.
+#: Keys whose counts are sent to the executors at once: 14 bytes each with the hash, some 60 MB. More keys take further passes over the documents' pairs.
 PASS_KEYS = 4_000_000
+#: Pairs that are held before they are merged, and that a row batch has or a look-up takes at once.
 _HELD_PAIRS = 2_000_000
 _HELD_LINKS = 500_000
 #: Words whose alignment a task remembers, and characters that are encoded at once.
@@ -284,42 +286,91 @@ class PairHash:
         return out
 
 
-def pair_documents(docs: DataFrame, first: str, second: str, text_col: str = "text") -> DataFrame:
-    """(pair, docs): documents of a task that hold a pair linked; a pair has a row for each task that met it. pair is first id * size of the second vocabulary + second id."""
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def aligned_texts(docs: DataFrame, first: str, second: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each (doc_id, text).
+
+    pairs holds the distinct pairs linked in the text in order and times how often each is, 4 bytes a number. A pair is
+    first id * size of the second vocabulary + second id. Texts without tokens have zeros, '' and no pairs.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(first, second)
+        for b in batches:
+            rows: list[tuple] = []
+            size = start = 0
+            for k, (text, words) in enumerate(_texts(aligner, b.column(1))):
+                rows.append(_row_of(aligner, text, words))
+                size += len(rows[-1][-1]) // 4
+                if size > _HELD_LINKS or k == b.num_rows - 1:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ALIGNED_ARROW, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(rows)), *columns], ["doc_id", *[c for c, _ in _ALIGNED]])
+                    rows, size, start = [], 0, k + 1
+
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in _ALIGNED))
+
+
+def _row_of(aligner: Aligner, text: str | None, words: list[str | tuple[str]] | None) -> tuple:
+    """A row of aligned_texts() without its id."""
+    sums, digest, late = np.zeros(4, np.int64), hashlib.sha256(), b""
+    keys: list[np.ndarray] = []
+    times: list[np.ndarray] = []
+    n = 0
+    try:
+        for n_a, n_b, n_groups, links, written in aligner.aligned(text, words) if text else ():
+            sums += n_a, n_b, n_groups, len(links)
+            digest.update(late)
+            digest.update(written[:-1])
+            late = b";"
+            found, often = np.unique(links, return_counts=True)
+            keys.append(found)
+            times.append(often)
+            n += len(found)
+            if n > _HELD_PAIRS:
+                found, often = _merged(keys, times)
+                keys, times, n = [found], [often], 0
+    except Unaligned:
+        keys = []
+    if not keys:
+        return 0, 0, 0, 0, "", b"", b""
+    found, often = _merged(keys, times) if len(keys) > 1 else (keys[0], times[0])
+    return *sums.tolist(), digest.hexdigest(), found.astype("<u4").tobytes(), often.astype("<u4").tobytes()
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The numbers of a column of 4 bytes a number, joined."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4")
+
+
+def pair_documents(aligned: DataFrame) -> DataFrame:
+    """(pair, docs): documents of a task that hold a pair linked; a pair has a row for each task that met it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         n = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate(held), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
-
         for b in batches:
-            for text, words in _texts(aligner, b.column(0)):
-                if not text:
-                    continue
-                try:
-                    found = [np.unique(part[3]) for part in aligner.aligned(text, words)]
-                except Unaligned:
-                    continue
-                pairs = (found[0] if len(found) == 1 else np.unique(np.concatenate(found))).astype(np.int64)
-                held.append(pairs)
-                counts.append(np.ones(len(pairs), np.int64))
-                n += len(pairs)
+            pairs = _numbers(b.column(0))
+            for at in range(0, len(pairs), _HELD_LINKS):
+                held.append(pairs[at : at + _HELD_LINKS].astype(np.int64))
+                counts.append(np.ones(len(held[-1]), np.int64))
+                n += len(held[-1])
                 if n > _HELD_PAIRS:
-                    keys, sums = merged()
+                    keys, sums = _merged(held, counts)
                     if len(keys) > _HELD_PAIRS // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["pair", "docs"])
                         keys, sums = keys[:0], sums[:0]
                     held, counts, n = [keys], [sums], len(keys)
         if held:
-            keys, sums = merged()
+            keys, sums = _merged(held, counts)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["pair", "docs"])
 
-    return docs.select(text_col).mapInArrow(work, "pair long, docs long")
+    return aligned.select("pairs").mapInArrow(work, "pair long, docs long")
 
 
 def _hashes(pairs: DataFrame, shards: int) -> DataFrame:
@@ -423,7 +474,9 @@ def counted_pairs(table: DataFrame, second_size: int) -> DataFrame:
     return table.select("keys", "counts").mapInArrow(work, "a long, b long, docs long")
 
 
-_ROW = [("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("n_best", "long"), ("count_sum", "long"), ("groups_sha256", "string")]
+_ALIGNED = [("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string"), ("pairs", "binary"), ("times", "binary")]
+_ALIGNED_ARROW = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t] for _, t in _ALIGNED]
+_ROW = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
 def align_documents(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", pass_keys: int = PASS_KEYS) -> DataFrame:
@@ -431,97 +484,57 @@ def align_documents(docs: DataFrame, first: str, second: str, id_col: str = "doc
 
     first: a byte-level BPE file; second: a sentencepiece file; both readable on every executor. Texts null, empty or
     with tokens of other bytes than their own (as with the sign U+2581) have zeros and ''. Repeated rows count each and
-    each have a row; ids of any type, null too, are handed on. A very long text is aligned piece by piece, so only its
-    parts are held. A link's count is the number of documents (rows) that hold its id pair linked.
+    each have a row; ids of any type that Parquet holds, null too, are handed on. A very long text is aligned piece by
+    piece, so only its parts and its distinct pairs are held. A link's count is the number of documents (rows) that hold
+    its id pair linked.
 
-    Two passes over the texts, nothing of them shuffled: the first counts pairs (see pair_counts), the second aligns
-    again and looks counts up by the hash, whose stored keys verify each. Where the counts are more than pass_keys, the
-    second pass is made once for each part of them and its sums are added.
+    Texts are read and aligned once; a document's distinct pairs, and how often it links each, are written to the shared
+    folder. From there pairs are counted (see pair_counts), and the counts looked up by the hash, whose stored keys
+    verify each. Where the counts are more than pass_keys, that is done once for each part of them and its sums are added.
     """
     spark: SparkSession = docs.sparkSession
-    partial = materialize(pair_documents(docs, first, second, text_col), "align-partial")
+    rows = aligned_texts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), first, second)
+    aligned = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "align-texts")
+    partial = materialize(pair_documents(aligned), "align-partial")
     table, shards = pair_counts(partial, pass_keys)
     size = _aligner(first, second).n_b
     highest = {r.a: r.top for r in counted_pairs(table, size).groupBy("a").agg(F.max("docs").alias("top")).toLocalIterator()}
     tops = np.zeros(max(highest, default=0) + 1, np.int64)
     for a, top in highest.items():
         tops[a] = top
-    blocks = _blocks(table, pass_keys) or [[]]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    if len(blocks) > 1:
-        rows = rows.select(F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("doc_id"), "text")
+    own = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    schema = f"doc_id {aligned.schema['doc_id'].dataType.simpleString()}, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
     parts = []
-    for block in blocks:
+    for block in _blocks(table, pass_keys) or [[]]:
         found = table.filter(F.col("shard").between(block[0], block[-1])).orderBy("shard").collect() if block else []
         keys, counts = (np.frombuffer(b"".join(bytes(r[c]) for r in found), "<i8") for c in ("keys", "counts"))
         sent = spark.sparkContext.broadcast((PairHash(shards, [(r.shard, list(r.sizes), bytes(r.bits)) for r in found]), keys, counts, tops))
-        schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in _ROW)
-        parts.append(rows.mapInArrow(_second_pass(first, second, sent), schema))
+        parts.append(aligned.select("doc_id", "row", *own, "pairs", "times").mapInArrow(_look_up(size, sent), schema))
     if len(parts) == 1:
-        return parts[0]
+        return parts[0].select(*_ROW)
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    # rows of one id and text are alike in every part: their sums are so many times a row's
-    each = F.col("n_rows") / len(parts)
-    summed = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), *[F.first(n).alias(n) for n, _ in _ROW if n not in ("n_best", "count_sum")], F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    own = {n: (F.col(n) / each).cast("long") if n in ("n_best", "count_sum") else F.col(n) for n, _ in _ROW}
-    copies = summed.withColumn("__copy", F.explode(F.sequence(F.lit(1), each.cast("int"))))
-    return copies.select(F.col("doc_id.doc_id").cast(id_type).alias("doc_id"), *[own[n].alias(n) for n, _ in _ROW])
+    return whole.groupBy("row").agg(*[F.first(n).alias(n) for n in ("doc_id", *own)], F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")).select(*_ROW)
 
 
-def _second_pass(first: str, second: str, sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _look_up(second_size: int, sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of aligned_texts() with n_best and count_sum, by the counts that were sent, for their pairs and times."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(first, second)
-        pairs, keys, counts, tops = sent.value
+        hashed, keys, counts, tops = sent.value
         for b in batches:
-            n = b.num_rows
-            whole = np.zeros((n, 6), np.int64)
-            digests = [""] * n
-            held: list[np.ndarray] = []
-            rows: list[int] = []
-
-            def look_up() -> None:
-                if not held:
-                    return
-                links, row = np.concatenate(held).astype(np.int64), np.repeat(rows, [len(h) for h in held])
-                at = pairs.of(links)
+            pairs, times = _numbers(b.column(7)), _numbers(b.column(8))
+            row = np.repeat(np.arange(b.num_rows, dtype=np.int32), [n // 4 for n in pc.binary_length(b.column(7)).to_pylist()])
+            n_best, count_sum = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            for start in range(0, len(pairs), _HELD_LINKS):
+                links = pairs[start : start + _HELD_LINKS].astype(np.int64)
+                at = hashed.of(links)
                 mine = at >= 0
                 mine[mine] = keys[at[mine]] == links[mine]
-                docs = counts[at[mine]]
-                best = docs == tops[links[mine] // aligner.n_b]
-                np.add.at(whole[:, 4], row[mine], best)
-                np.add.at(whole[:, 5], row[mine], docs)
-                held.clear()
-                rows.clear()
-
-            total = 0
-            for k, (text, words) in enumerate(_texts(aligner, b.column(1))):
-                if not text:
-                    continue
-                digest, late, fine = hashlib.sha256(), b"", True
-                try:
-                    for n_a, n_b, n_groups, links, written in aligner.aligned(text, words):
-                        whole[k, :4] += n_a, n_b, n_groups, len(links)
-                        digest.update(late)
-                        digest.update(written[:-1])
-                        late = b";"
-                        held.append(links)
-                        rows.append(k)
-                        total += len(links)
-                        if total > _HELD_LINKS:
-                            look_up()
-                            total = 0
-                except Unaligned:
-                    fine = False
-                    look_up()
-                if fine:
-                    digests[k] = digest.hexdigest()
-                else:
-                    whole[k] = 0
-            look_up()
-            columns = [pa.array(whole[:, j]) for j in range(6)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(digests, pa.string())], ["doc_id", *[c for c, _ in _ROW]])
+                docs, held, often = counts[at[mine]], row[start : start + _HELD_LINKS][mine], times[start : start + _HELD_LINKS][mine].astype(np.int64)
+                np.add.at(n_best, held, often * (docs == tops[links[mine] // second_size]))
+                np.add.at(count_sum, held, often * docs)
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(n_best), pa.array(count_sum)], [*b.schema.names[:7], "n_best", "count_sum"])
 
     return work
