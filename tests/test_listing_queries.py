@@ -38,3 +38,13 @@ def differences(spark, folder, name, tables=("lineitem", "part")):
 def test_ids_that_stand_twice(spark, dense, name):
     got, want = differences(spark, dense, name)
     assert got == want and len(want) > 10
+
+
+def test_occurrences(spark, tmp_path):
+    """Every day of a leap year and all hours, against the SQL; a time is read once, so the columns stay small."""
+    days = [(k, dt.datetime(1996, 1, 1) + dt.timedelta(days=k % 366)) for k in range(4026)]
+    spark.createDataFrame(days, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = differences(spark, str(tmp_path), "e22_occurrences", ("orders",))
+    assert got == want and len(want) == 4026
+    plan = registry.queries()["e22_occurrences"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") < 20, plan.count("regexp_extract(")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,20 +27,26 @@ def to_float(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once however often use names it: a plain column is worked out at each place."""
+    return F.transform(F.array(value), use)[0]
+
+
 def resolve_year(month: Column, day: Column, today: Column) -> Column:
     """The date with this month and day nearest to today among last, this and next year; the earliest on ties; null where no such date exists."""
-    def candidate(add: int) -> Column:
-        made = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", F.year(today) + add, month, day), F.lit("yyyy-MM-dd")).cast("date")
-        return F.when(made.isNotNull(), F.struct(F.abs(F.datediff(made, today)).alias("off"), made.alias("date")))
-
-    return F.array_min(F.array_compact(F.array(candidate(-1), candidate(0), candidate(1))))["date"]
+    years = F.array(*[F.year(today) + add for add in (-1, 0, 1)])
+    made = F.transform(years, lambda y: F.try_make_timestamp(y, month, day, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")).cast("date"))
+    return F.array_min(F.transform(F.array_compact(made), lambda d: F.struct(F.abs(F.datediff(d, today)).alias("off"), d.alias("date"))))["date"]
 
 
 def _clock(text: Column) -> Column:
     """Minutes of the day of `9:00 AM`, `9 am`, `9 a.m.`; null where none."""
-    bare = F.upper(F.regexp_replace(text, r"[.\s]", ""))
-    hour, minute = F.regexp_extract(bare, r"^(\d{1,2})(?::(\d{2}))?[AP]M$", 1).try_cast("int"), F.coalesce(F.nullif(F.regexp_extract(bare, r"^(\d{1,2})(?::(\d{2}))?[AP]M$", 2), F.lit("")), F.lit("0")).try_cast("int")
-    return F.when(hour.between(1, 12) & (minute < 60), (hour % 12 + F.when(bare.endswith("PM"), 12).otherwise(0)) * 60 + minute)
+    def minutes(bare: Column) -> Column:
+        part = lambda k: F.regexp_extract(bare, r"^(\d{1,2})(?::(\d{2}))?[AP]M$", k)
+        return let(F.struct(part(1).try_cast("int").alias("hour"), F.coalesce(F.nullif(part(2), F.lit("")), F.lit("0")).try_cast("int").alias("minute")),
+                   lambda t: F.when(t["hour"].between(1, 12) & (t["minute"] < 60), (t["hour"] % 12 + F.when(bare.endswith("PM"), 12).otherwise(0)) * 60 + t["minute"]))
+
+    return let(F.upper(F.regexp_replace(text, r"[.\s]", "")), minutes)
 
 
 def occurrence(text: Column, now: Column, zone: str = LOCAL) -> Column:
@@ -47,11 +55,17 @@ def occurrence(text: Column, now: Column, zone: str = LOCAL) -> Column:
     part = lambda k: F.regexp_extract(text, pattern, k)
     names = F.array(*map(F.lit, ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]))
     month = F.nullif(F.array_position(names, F.lower(F.left(part(1), F.lit(3)))), F.lit(0)).cast("int")
-    date = resolve_year(month, part(2).try_cast("int"), F.from_utc_timestamp(now, zone).cast("date"))
-    begin, finish = _clock(part(3)), _clock(part(4))
-    at = lambda minutes, days: F.to_utc_timestamp((F.unix_seconds(F.date_add(date, days).cast("timestamp")) + minutes * 60).cast("timestamp"), zone)
-    start, end = at(begin, F.lit(0)), at(finish, F.when(finish <= begin, 1).otherwise(0))
-    return F.when(start.isNotNull() & end.isNotNull() & (end >= now), F.struct(start.alias("start"), end.alias("end")))
+    at = lambda date, minutes, days: F.to_utc_timestamp((F.unix_seconds(F.date_add(date, days).cast("timestamp")) + minutes * 60).cast("timestamp"), zone)
+
+    def span(p: Column) -> Column:
+        return F.struct(at(p["date"], p["begin"], F.lit(0)).alias("start"), at(p["date"], p["finish"], F.when(p["finish"] <= p["begin"], 1).otherwise(0)).alias("end"))
+
+    def dated(p: Column) -> Column:
+        return F.struct(resolve_year(p["month"], p["day"], F.from_utc_timestamp(now, zone).cast("date")).alias("date"), p["begin"].alias("begin"), p["finish"].alias("finish"))
+
+    read = F.struct(month.alias("month"), part(2).try_cast("int").alias("day"), _clock(part(3)).alias("begin"), _clock(part(4)).alias("finish"))
+    kept = lambda s: F.when(s["start"].isNotNull() & s["end"].isNotNull() & (s["end"] >= now), s)
+    return let(read, lambda p: let(dated(p), lambda d: let(span(d), kept)))
 
 
 def observed_at(date: Column, hour: Column, zone: Column) -> Column:
