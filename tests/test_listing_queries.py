@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from tidemark.operators import listings
 
 NAMES = ["large ring", "hot bolt", "blue ring", "old plate", "hot bolts", "large rings"]
 
@@ -34,6 +35,16 @@ def differences(spark, folder, name, tables=("lineitem", "part")):
     return sorted(got, key=key), sorted(want, key=key)
 
 
+@pytest.mark.parametrize("titles", [0, 16], ids=["in time", "once"])
+@pytest.mark.parametrize("name", ["e04_title_pairs", "e05_event_pairs"])
+def test_titles_either_way(spark, dense, monkeypatch, name, titles):
+    """Titles compared once for all their times, and only near each other in time: the same pairs."""
+    monkeypatch.setattr(listings, "_TITLES", titles)
+    monkeypatch.setattr(listings, "_TRIES", 100_000 if titles else 0)
+    got, want = differences(spark, dense, name)
+    assert got == want and len(want) > 100
+
+
 @pytest.mark.parametrize("name", ["e06_known_events", "e07_drifted_keys"])
 def test_ids_that_stand_twice(spark, dense, name):
     got, want = differences(spark, dense, name)

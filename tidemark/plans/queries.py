@@ -583,9 +583,10 @@ def e03(spark, sf):
 
 
 def _titles_at(spark, sf):
-    """The order lines as listings, those of equal title, start and venue once."""
+    """The order lines as listings, those of equal title, start and venue once; written, so that their titles are read once each and not on every line."""
     r = raw_events(spark, sf)
-    return r.groupBy("title", "start_time", "venue_name").agg(F.min("seq").alias("id"), F.max("latitude").alias("latitude"), F.max("longitude").alias("longitude")).withColumn("address", F.lit(None).cast("string"))
+    once = r.groupBy("title", "start_time", "venue_name").agg(F.min("seq").alias("id"), F.max("latitude").alias("latitude"), F.max("longitude").alias("longitude"))
+    return materialize(once.withColumn("address", F.lit(None).cast("string")), "titles-at")
 
 
 _TOKENS_OF = f"""WITH {RAW_EVENTS}, n AS (SELECT min(seq) AS id, title, start_time AS sec, venue_name, max(latitude) AS latitude, max(longitude) AS longitude FROM raws GROUP BY title, start_time, venue_name),
