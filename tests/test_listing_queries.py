@@ -45,6 +45,16 @@ def test_titles_either_way(spark, dense, monkeypatch, name, titles):
     assert got == want and len(want) > 100
 
 
+def test_titles_are_compared_once(spark, monkeypatch):
+    """Two titles over a thousand hours: what is compared are the titles, not their rows."""
+    compared = []
+    real = listings.materialize
+    monkeypatch.setattr(listings, "materialize", lambda df, name: (made := real(df, name), compared.append((name, made.count())))[0])
+    rows = spark.range(2000).selectExpr("id", "IF(id % 2 = 0, 'Jazz Night', 'Jazz Nights Downtown') AS title", "id DIV 2 * 3600 AS at")
+    assert listings.title_pairs(rows, 2).count() == 999 + 998 + 1000 + 2 * 999 + 2 * 998 + 999 + 998
+    assert dict(compared)["like-titles"] == 3
+
+
 @pytest.mark.parametrize("name", ["e06_known_events", "e07_drifted_keys"])
 def test_ids_that_stand_twice(spark, dense, name):
     got, want = differences(spark, dense, name)
